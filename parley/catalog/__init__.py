@@ -1,0 +1,4 @@
+"""All registered queries."""
+
+from parley.catalog import records, sampling, store, texts  # noqa: F401
+from parley.catalog.base import ORACLES, QUERIES  # noqa: F401
