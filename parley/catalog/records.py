@@ -21,6 +21,7 @@ from parley.functions.text import strip
 from parley.operators import pairing, validate
 from parley.operators.sampling import split_rows
 from parley.plans.folds import Order, carry, last_rows, measure
+from parley.plans.once import once
 
 NL = "chr(10)"
 SYS = fixed.CHAT_SYSTEM.replace("'", "''")
@@ -63,8 +64,7 @@ SFT_TEXT = (
 def sft_split_counts(spark, sf):
     """Messages -> pairs -> valid turns -> training text -> exact split -> counts."""
     good = (
-        _pairs(spark, sf)
-        .withColumn("sft", R.sft_example(F.col("user"), F.col("assistant")))
+        once(_pairs(spark, sf), "sft", R.sft_example(F.col("user"), F.col("assistant")))
         .where(F.col("sft").isNotNull())
         .where(render.valid_turn(F.col("user"), F.col("sft.response")))
         .select("conv_id", "turn", F.col("sft.text").alias("text"))
@@ -86,8 +86,7 @@ def sft_split_counts(spark, sf):
 )
 def sft_triples(spark, sf):
     return (
-        _pairs(spark, sf)
-        .withColumn("sft", R.sft_example(F.col("user"), F.col("assistant")))
+        once(_pairs(spark, sf), "sft", R.sft_example(F.col("user"), F.col("assistant")))
         .where(F.col("sft").isNotNull())
         .select("conv_id", "turn", "sft.prompt", "sft.response", "sft.text")
     )
@@ -322,7 +321,7 @@ def stage_two_mapping(spark, sf):
 
 def _texts(records, user, reply):
     return (
-        records.withColumn("sft", R.sft_example(user, reply))
+        once(records, "sft", R.sft_example(user, reply))
         .where(F.col("sft").isNotNull())
         .select("conv_id", "turn", "sft.text")
     )
@@ -393,7 +392,7 @@ def preference_rows(spark, sf):
         )
     )
     return (
-        records.withColumn("p", R.preference_row())
+        once(records, "p", R.preference_row())
         .where(F.col("p").isNotNull())
         .select("conv_id", "turn", "p.prompt", "p.chosen", "p.rejected")
     )

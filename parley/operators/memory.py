@@ -6,11 +6,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parley import fixed
 from parley.functions.cues import memory_candidate
 from parley.functions.vectors import embed
 from parley.plans.folds import last_rows
+from parley.plans.once import once
 from parley.plans.ranks import newest_rows, rank_by_ordinal, running_rows
 from parley.plans.sizes import checked_broadcast
 
@@ -21,7 +23,7 @@ SEQ_BLOCK = 65_536
 
 def remember(turns: DataFrame, mem_id: Column, seq: Column, user_id: str = "user_id") -> DataFrame:
     """Memory rows of the turns worth keeping: who said it, when, and with which score."""
-    found = turns.withColumn("__m", memory_candidate(F.col("user"))).where(F.col("__m").isNotNull())
+    found = once(turns, "__m", memory_candidate(F.col("user"))).where(F.col("__m").isNotNull())
     meta = F.create_map(
         F.lit("character"), F.col("character_id"), F.lit("score"), F.col("__m.score").cast("string")
     )
@@ -80,10 +82,10 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 def _search(left: pa.Table, right: pa.Table, fetch: int, own_first: bool) -> pa.Table:
     """Nearest memories of one tile for one set of queries: at most ``fetch`` per query."""
-    q, m = _matrix(left["vec"]), _matrix(right["vec"])
+    q, m = _matrix(left["vec"]), _matrix(right["mem_vec"])
     pos = right["pos"].to_numpy()
     lo, hi = left["lo"].to_numpy(), left["hi"].to_numpy()
-    m_users, q_users = right["user_id"].to_numpy(), left["user_id"].to_numpy()
+    m_users, q_users = right["mem_user"].to_numpy(), left["user_id"].to_numpy()
     m_norm = (m * m).sum(axis=1)
     rows, hits, dists = [], [], []
     for start in range(0, len(q), 256):
@@ -112,7 +114,7 @@ def _search(left: pa.Table, right: pa.Table, fetch: int, own_first: bool) -> pa.
             "query_id": left["query_id"].take(pa.array(at)),
             "user_id": left["user_id"].take(pa.array(at)),
             "mem_id": right["mem_id"].take(pa.array(hit)),
-            "mem_user": right["user_id"].take(pa.array(hit)),
+            "mem_user": right["mem_user"].take(pa.array(hit)),
             "pos": right["pos"].take(pa.array(hit)),
             "distance": np.sqrt(np.concatenate(dists)),
         }
@@ -141,11 +143,13 @@ def nearest(
     if earlier_only:
         asked, stored = _positions(queries, memory)
     else:
-        total = F.coalesce(memory.agg(F.count("*")).scalar(), F.lit(0))
+        total = F.lit(memory.count()).cast("bigint")
         stored = rank_by_ordinal(memory, "seq", (), "__rank", SEQ_BLOCK).select(
             "mem_id", "user_id", "vec", (F.col("__rank") - 1).alias("pos")
         )
         asked = queries.select("query_id", "user_id", "vec", total.alias("hi"))
+    # names of their own: queries and memories may come from one table
+    stored = stored.select("mem_id", F.col("user_id").alias("mem_user"), F.col("vec").alias("mem_vec"), "pos")
     asked = asked.withColumn("lo", F.greatest(F.col("hi") - capacity, F.lit(0))).where(F.col("hi") > 0)
     first, last = F.floor(F.col("lo") / TILE), F.floor((F.col("hi") - 1) / TILE)
     spans = asked.select("query_id", first.alias("__a"), last.alias("__b"))
@@ -162,9 +166,9 @@ def nearest(
         "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("sets") - 1))
     ).drop("sets")
     schema = asked.select("query_id", "user_id").schema
-    for name, kind in (("mem_id", None), ("mem_user", "user_id")):
-        schema = schema.add(name, stored.schema[kind or name].dataType)
-    schema = schema.add("pos", "bigint").add("distance", "double")
+    for name in ("mem_id", "mem_user"):
+        schema = schema.add(name, stored.schema[name].dataType)
+    schema = schema.add("pos", T.LongType()).add("distance", T.DoubleType())
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         return _search(left, right, fetch, own_first)

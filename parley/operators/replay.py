@@ -18,6 +18,7 @@ from parley.functions.text import parse_salvaged, slug, strip
 from parley.operators.pairing import pair_messages
 from parley.operators.validate import valid_profiles
 from parley.plans.folds import Order, carry, items_before, last_rows, settle
+from parley.plans.once import once
 from parley.plans.sizes import checked_broadcast
 
 DYNAMIC = "dynamic/"
@@ -25,7 +26,7 @@ DYNAMIC = "dynamic/"
 
 def hear_personas(turns: DataFrame, keep_text: bool = False) -> DataFrame:
     """Add ``persona`` (null without an instruction); the rest of the message becomes ``user``."""
-    heard = turns.withColumn("persona", persona_instruction(F.col("user")))
+    heard = once(turns, "persona", persona_instruction(F.col("user")))
     if keep_text:
         return heard
     return heard.withColumn("user", F.coalesce("persona.remainder", "user"))
@@ -220,7 +221,7 @@ def switch_replay(
     end: str = fixed.END_MARK,
 ) -> DataFrame:
     """Replay with start-of-message persona switches: ``persona`` and the tagged ``prompt``."""
-    heard = turns.withColumn("__switch", persona_switch(F.col("user"))).withColumn(
+    heard = once(turns, "__switch", persona_switch(F.col("user"))).withColumn(
         "__persona", F.col("__switch.persona")
     )
     if use_remainder:

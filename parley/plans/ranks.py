@@ -92,10 +92,10 @@ def cutoff_keys(
     )
 
 
-def _with_one_row(df: DataFrame, row: DataFrame) -> DataFrame:
-    """Attach a table of at most one row; null columns when it is empty."""
-    found = {c: row.select(c).scalar() for c in row.columns}
-    return df.withColumns(found)
+def _found(row: DataFrame):
+    """The single value of a table of at most one row."""
+    first = row.first()
+    return None if first is None else first[0]
 
 
 def first_by_key(df: DataFrame, key: str, n: int, groups: Sequence[str] = (), digits: int = DIGITS) -> DataFrame:
@@ -104,21 +104,21 @@ def first_by_key(df: DataFrame, key: str, n: int, groups: Sequence[str] = (), di
     if groups:
         # one row per group: broadcast when few, so that a hot group is not moved
         marked = df.join(checked_broadcast(cut), list(groups), "left")
-    else:
-        marked = _with_one_row(df, cut)
-    return marked.where(F.col("__cutoff").isNull() | (F.col(key) <= F.col("__cutoff"))).drop("__cutoff")
+        inside = F.col("__cutoff").isNull() | (F.col(key) <= F.col("__cutoff"))
+        return marked.where(inside).drop("__cutoff")
+    last = _found(cut)
+    return df if last is None else df.where(F.col(key) <= last)
 
 
 def mark_first_share(
     df: DataFrame, key: str, fraction: float, name: str, digits: int = DIGITS
 ) -> DataFrame:
-    """Add a flag for exactly ``ceil(rows * fraction)`` rows with the smallest keys."""
-    cut = cutoff_keys(df, key, F.ceil(F.col("__total") * F.lit(fraction)), (), digits)
-    return (
-        _with_one_row(df, cut)
-        .withColumn(name, F.coalesce(F.col(key) <= F.col("__cutoff"), F.lit(False)))
-        .drop("__cutoff")
-    )
+    """Add a flag for exactly ``ceil(rows * fraction)`` rows with the smallest keys.
+
+    One key comes back to the driver; marking the wide rows is then a comparison with it.
+    """
+    last = _found(cutoff_keys(df, key, F.ceil(F.col("__total") * F.lit(fraction)), (), digits))
+    return df.withColumn(name, F.lit(False) if last is None else F.col(key) <= last)
 
 
 def key_range(df: DataFrame, key: str, first: int, last: int, digits: int = DIGITS) -> DataFrame:
@@ -126,12 +126,8 @@ def key_range(df: DataFrame, key: str, first: int, last: int, digits: int = DIGI
     upto = first_by_key(df, key, last, digits=digits)
     if first <= 1:
         return upto
-    cut = cutoff_keys(df, key, F.lit(first - 1), (), digits)
-    return (
-        _with_one_row(upto, cut)
-        .where(F.col(key) > F.col("__cutoff"))
-        .drop("__cutoff")
-    )
+    before = _found(cutoff_keys(df, key, F.lit(first - 1), (), digits))
+    return df.limit(0) if before is None else upto.where(F.col(key) > before)
 
 
 def running_rows(cells: DataFrame, groups: Sequence[str], cell: str) -> DataFrame:
@@ -186,8 +182,8 @@ def newest_rows(df: DataFrame, by: str, n: int, block: int = BLOCK) -> DataFrame
         .where(F.col("__rn") == F.col("__nth"))
         .select(F.col(by).alias("__cutoff"))
     )
-    oldest = cutoff.scalar()
-    return df.where(oldest.isNull() | (F.col(by) >= oldest))
+    oldest = _found(cutoff)
+    return df if oldest is None else df.where(F.col(by) >= oldest)
 
 
 def number_rows(df: DataFrame, by: Sequence[Column], name: str = "rank") -> DataFrame:
