@@ -44,9 +44,13 @@ CUE_PREFIX = [
 
 def chat(spark: SparkSession, folder: str) -> DataFrame:
     """Messages with cue prefixes: conv_id, user_id, turn, role, text."""
+    return with_cues(table(spark, folder, "conversations"))
+
+
+def with_cues(messages: DataFrame) -> DataFrame:
     n = (F.col("conv_id") * 7 + F.col("turn")) % 8
     prefix = F.get(F.array(*[F.lit(p) for p in CUE_PREFIX]), n.cast("int"))
-    return table(spark, folder, "conversations").select(
+    return messages.select(
         "conv_id",
         (F.col("conv_id") % 10).alias("user_id"),
         "turn",

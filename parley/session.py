@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -31,14 +32,21 @@ def local_session(cpus: int | str = "*", app: str = "parley", shuffle: int = 8)
     return spark
 
 
-def checkpoint_ready(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints and working tables.
 
-    The cluster names the shared folder in ``spark.checkpoint.dir``; a folder of our own is
-    taken only where neither that setting nor a checkpoint folder exists (tests).
+    A folder of our own is taken only where ``spark.checkpoint.dir`` is unset, as in tests.
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="parley-checkpoint-"))
+    return named or tempfile.mkdtemp(prefix="parley-")
+
+
+def checkpoint_ready(spark: SparkSession) -> None:
+    """Make ``DataFrame.checkpoint`` usable without moving a folder that is set already."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def working_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for one run, in the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
