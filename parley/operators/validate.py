@@ -11,6 +11,7 @@ from parley import fixed
 from parley.functions.arrays import tail
 from parley.functions.render import chat_text
 from parley.functions.text import strip
+from parley.plans.once import once
 
 
 def filled_turns(turns: Column) -> Column:
@@ -34,29 +35,32 @@ def validate_rows(
     ``max_chars`` becomes a single turn holding its tail.
     """
     system = strip(F.coalesce(F.nullif("system", F.lit("")), F.lit(fixed.CHAT_SYSTEM)))
-    kept = (
-        rows.withColumns({"system": system, "turns": tail(filled_turns(F.col("turns")), max_turns)})
-        .where(F.size("turns") > 0)
-        .withColumn("__text", chat_text(F.col("system"), F.col("turns")))
+    kept = once(rows, "turns", tail(filled_turns(F.col("turns")), max_turns)).where(
+        F.size("turns") > 0
+    )
+    first = once(
+        kept.withColumn("system", system), "__text", chat_text(F.col("system"), F.col("turns"))
     )
     too_long = F.length("__text") > max_chars
-    cut = F.array(
-        F.struct(
-            F.lit(fixed.TRUNCATED_USER).alias("user"),
-            F.right("__text", F.lit(max_chars)).alias("assistant"),
-        )
+    cut = F.when(
+        too_long,
+        F.array(
+            F.struct(
+                F.lit(fixed.TRUNCATED_USER).alias("user"),
+                F.right("__text", F.lit(max_chars)).alias("assistant"),
+            )
+        ),
     )
-    framed = kept.withColumns(
+    framed = first.withColumn("__cut", cut)
+    # only the cut rows are rendered again; for the others the turns are null here
+    again = chat_text(F.lit(fixed.CHAT_SYSTEM), F.col("__cut"))
+    return framed.withColumns(
         {
             "system": F.when(too_long, F.lit(fixed.CHAT_SYSTEM)).otherwise(F.col("system")),
-            "turns": F.when(too_long, cut).otherwise(F.col("turns")),
-            "__long": too_long,
+            "turns": F.coalesce("__cut", "turns"),
+            "text": F.when(too_long, again).otherwise(F.col("__text")),
         }
-    )
-    again = chat_text(F.col("system"), F.col("turns"))
-    return framed.withColumn(
-        "text", F.when(F.col("__long"), again).otherwise(F.col("__text"))
-    ).drop("__text", "__long")
+    ).drop("__text", "__cut")
 
 
 def require_rows(df: DataFrame, what: str = "dataset is empty after validation") -> DataFrame:

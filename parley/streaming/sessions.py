@@ -23,6 +23,14 @@ from parley.operators.validate import valid_profiles
 WORLD = list(fixed.WORLD_DEFAULTS)
 
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _use_state_store(df: DataFrame) -> None:
+    """Named states need the RocksDB store; it has to be set before the stream starts."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+
 def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(batches), ignore_index=True).sort_values("turn", kind="stable")
 
@@ -54,6 +62,7 @@ class PairMessages(StatefulProcessor):
 
 def pair_stream(messages: DataFrame) -> DataFrame:
     """Answered turns of a message stream (conv_id, user_id, turn, role, text)."""
+    _use_state_store(messages)
     role = F.lower("role")
     talk = messages.where(
         role.isin(fixed.USER_ROLES + fixed.ASSISTANT_ROLES) & (strip(F.col("text")) != "")
@@ -126,6 +135,7 @@ def follow_sessions(
 
     ``uses`` counts the switch messages to the turn's dynamic persona, 0 on other turns.
     """
+    _use_state_store(turns)
     known = valid_profiles(profiles).select(
         F.col("id").alias("__slug"), F.col("name").alias("__known")
     )
