@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parley import fixed
-from parley.catalog.base import CHAT, chat, pairs_sql, query, squeeze_sql, table
+from parley.catalog.base import CHAT, chat, pairs_sql, query, squeeze_sql, table, texts
 from parley.functions import cues, render
 from parley.functions.persona import persona_instruction, persona_switch
 from parley.functions.vectors import embed
@@ -105,7 +105,7 @@ def persona_instructions(spark, sf):
 )
 def persona_instructions_in_documents(spark, sf):
     return (
-        once(table(spark, sf, "documents"), "p", persona_instruction(F.col("text")))
+        once(texts(spark, sf, "documents", "doc_id", "text"), "p", persona_instruction(F.col("text")))
         .select("doc_id", "p.name", "p.remainder")
     )
 
@@ -187,7 +187,7 @@ def emotion_cues(spark, sf):
 def emotion_totals_in_documents(spark, sf):
     cue = cues.known_emotion(cues.emotion_cue(F.col("text"), F.lit("")))
     return (
-        table(spark, sf, "documents")
+        texts(spark, sf, "documents", "source", "text")
         .select("source", cue.alias("emotion"))
         .groupBy("source", "emotion")
         .agg(F.count("*").alias("rows"))
@@ -641,7 +641,7 @@ def memory_prompts(spark, sf):
 
 @query("embed_texts")
 def embed_texts(spark, sf):
-    return embed(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "vec")
+    return embed(texts(spark, sf, "documents", "doc_id", "text")).select("doc_id", "vec")
 
 
 @query("rebuild_memory_vectors")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parley.catalog.base import query, squeeze_sql, symbols_sql, table
+from parley.catalog.base import query, squeeze_sql, symbols_sql, table, texts
 from parley.functions import text as X
 from parley.functions.tokens import hashed_pieces, pad, tokenize
 from parley.operators import sampling as S
@@ -137,7 +137,7 @@ _CLEAN = squeeze_sql(symbols_sql("text"))
 )
 def worker_shards(spark, sf):
     clean = X.squeeze(X.strip_symbols(F.col("text")))
-    valid = table(spark, sf, "documents").where(F.length(clean) >= 300).select("doc_id", "source")
+    valid = texts(spark, sf, "documents", "doc_id", "source", "text").where(F.length(clean) >= 300).select("doc_id", "source")
     return S.assign_shards(valid, "source", "doc_id", 4)
 
 
@@ -209,7 +209,7 @@ _IDS = (
     f"FROM ({_IDS}) WHERE len(ids) > 0",
 )
 def tokenize_texts(spark, sf):
-    tokens = tokenize(table(spark, sf, "documents").select("doc_id", "text"), limit=LIMIT)
+    tokens = tokenize(texts(spark, sf, "documents", "doc_id", "text"), limit=LIMIT)
     return tokens.select(
         "doc_id",
         F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("ids"),
@@ -225,7 +225,7 @@ def tokenize_texts(spark, sf):
     "WHERE n > 0 GROUP BY source",
 )
 def token_totals(spark, sf):
-    tokens = tokenize(_docs(spark, sf, "text"), tokenizer=hashed_pieces)
+    tokens = tokenize(texts(spark, sf, "documents", "source", "text"), tokenizer=hashed_pieces)
     size = F.size("input_ids")
     return tokens.groupBy("source").agg(F.sum(size).alias("tokens"), F.max(size).alias("longest"))
 
@@ -240,7 +240,7 @@ def token_totals(spark, sf):
     FROM ({_IDS}) WHERE len(ids) > 0""",
 )
 def pad_tokens(spark, sf):
-    tokens = pad(tokenize(table(spark, sf, "documents").select("doc_id", "text"), limit=LIMIT), LIMIT)
+    tokens = pad(tokenize(texts(spark, sf, "documents", "doc_id", "text"), limit=LIMIT), LIMIT)
     joined = lambda c: F.array_join(F.col(c).cast("array<string>"), " ")
     return tokens.select(
         "doc_id",

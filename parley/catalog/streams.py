@@ -57,7 +57,9 @@ def stream_corpus_texts(spark, sf):
             F.col("text").alias("assistant"),
         )
     )
-    lines = _stream(spark, sf, "documents").select(line.alias("value"))
+    # the table is one file, so one task would read and render all of it
+    cores = spark.sparkContext.defaultParallelism
+    lines = _stream(spark, sf, "documents").select(line.alias("value")).repartition(cores)
     return _finished(spark, jobs.corpus_texts(lines, max_chars=1_000_000)).select("text")
 
 

@@ -14,13 +14,14 @@ from parley.catalog.base import (
     symbols_sql,
     table,
     tags_sql,
+    texts,
 )
 from parley.functions import text as X
 
 
 @query("normalize_basic", f"SELECT doc_id, {squeeze_sql('text')} AS clean FROM documents")
 def normalize_basic(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.normalize_basic(F.col("text")).alias("clean"))
+    return texts(spark, sf, "documents", "doc_id", "text").select("doc_id", X.normalize_basic(F.col("text")).alias("clean"))
 
 
 @query("strip_html_tags", f"SELECT page_id, {tags_sql('html')} AS clean FROM pages")
@@ -30,7 +31,7 @@ def strip_html_tags(spark, sf):
 
 @query("strip_symbols", f"SELECT doc_id, {symbols_sql('text')} AS clean FROM documents")
 def strip_symbols(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.strip_symbols(F.col("text")).alias("clean"))
+    return texts(spark, sf, "documents", "doc_id", "text").select("doc_id", X.strip_symbols(F.col("text")).alias("clean"))
 
 
 @query(
@@ -40,7 +41,7 @@ def strip_symbols(spark, sf):
     + " SELECT id AS doc_id, t AS clean FROM one",
 )
 def collapse_repeated_words(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.collapse_repeats(F.col("text")).alias("clean"))
+    return texts(spark, sf, "documents", "doc_id", "text").select("doc_id", X.collapse_repeats(F.col("text")).alias("clean"))
 
 
 @query(
@@ -50,7 +51,7 @@ def collapse_repeated_words(spark, sf):
     + " SELECT id AS doc_id, t AS clean FROM done",
 )
 def normalize_aggressive(spark, sf):
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents", "doc_id", "text").select(
         "doc_id", X.normalize_aggressive(F.col("text")).alias("clean")
     )
 
@@ -62,7 +63,7 @@ def normalize_aggressive(spark, sf):
     + " SELECT id AS page_id, t AS clean FROM done",
 )
 def normalize_aggressive_pages(spark, sf):
-    return table(spark, sf, "pages").select(
+    return texts(spark, sf, "pages", "page_id", "html").select(
         "page_id", X.normalize_aggressive(F.col("html")).alias("clean")
     )
 
@@ -83,7 +84,7 @@ def _slug_sql(kept: str, fallback: bool = True) -> str:
 )
 def slugify_names(spark, sf):
     t = F.col("text")
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents", "doc_id", "text").select(
         "doc_id",
         X.slug(t).alias("ascii_slug"),
         X.slug(t, "letters").alias("letter_slug"),

@@ -13,7 +13,7 @@ from parley.functions.text import WORD, normalize_basic, strip
 
 
 def _mentions(text: Column, phrases: Sequence[str]) -> Column:
-    return text.rlike("|".join(phrases))
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in phrases])
 
 
 def emotion_cue(

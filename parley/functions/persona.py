@@ -56,7 +56,9 @@ def persona_instruction(message: Column) -> Column:
         found = []
         for lead in fixed.PERSONA_LEADS:
             head = _unicode_space(lead + fixed.PERSONA_ARTICLE)
-            pattern = rf"(?iu)(?<![{WORD}]){head}{fixed.PERSONA_NAME}[\s\S]*"
+            # the first letter is looked at before anything dearer is tried
+            first = lead.removeprefix("(?:")[0]
+            pattern = rf"(?iu)(?=[{first}])(?<![{WORD}]){head}{fixed.PERSONA_NAME}[\s\S]*"
             found.append(
                 F.struct(
                     F.regexp_extract(text, pattern, 0).alias("tail"),

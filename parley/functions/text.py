@@ -16,23 +16,33 @@ from parley import fixed
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\p{IsWhite_Space}\x1c-\x1f"
 
-_EDGE_SPACE = f"^[{SPACE}]+|[{SPACE}]+$"
-_SPACE_RUN = f"[{SPACE}]+"
+_BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+# a run that is not one plain blank already
+_SPACE_RUN = f" [{SPACE}]+|[{SPACE}&&[^ ]][{SPACE}]*"
 _TAG = "<[^>]+>"
 _SYMBOL = rf"[^{WORD}{SPACE}.,!?;:'\"()\-]"
-_REPEATED = rf"(?iu)(?<![{WORD}])([{WORD}]+)(?:[{SPACE}]+\1(?![{WORD}])){{2,}}"
+_REPEATED = rf"(?iu)(?<![{WORD}])([{WORD}]++)(?:[{SPACE}]+\1(?![{WORD}])){{2,}}"
 
 # Code points that are starters, do not change under NFKC and never compose with a
-# neighbour from the same list: ASCII, Latin letters, basic Greek and Cyrillic letters,
-# dashes and quotes, kana and the common Han block.
-_NFKC_STABLE = (
-    r"\x00-\x9F¡-§©«-®°±¶·»¿-ı"
-    r"Ĵ-ľŁ-ňŊ-žΑ-ΡΣ-ωЀ-џ"
+# neighbour from the same list. First those below 256, which Java checks in a bit table;
+# then Latin letters, basic Greek and Cyrillic letters, dashes and quotes, kana and the
+# common Han block.
+_LATIN1_STABLE = r"\x00-\x9F¡-§©«-®°±¶·»¿-ÿ"
+_NFKC_STABLE = _LATIN1_STABLE + (
+    r"Ā-ıĴ-ľŁ-ňŊ-žΑ-ΡΣ-ωЀ-џ"
     r"‐‒-‖‘-‣€ぁ-ゖァ-ヺ一-龥"
 )
 NEEDS_NFKC = f"[^{_NFKC_STABLE}]"
 
 
+def needs_nfkc(text: Column) -> Column:
+    """True when NFKC may change the text; the cheap test runs first."""
+    return text.rlike(f"[^{_LATIN1_STABLE}]") & text.rlike(NEEDS_NFKC)
+
+
 @F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
@@ -48,18 +58,18 @@ def _nfkc_each(lists: pd.Series) -> pd.Series:
 
 def nfkc(text: Column) -> Column:
     """NFKC. Only texts holding a character that NFKC may touch travel to Python."""
-    return F.coalesce(_nfkc(F.when(text.rlike(NEEDS_NFKC), text)), text)
+    return F.coalesce(_nfkc(F.when(needs_nfkc(text), text)), text)
 
 
 def nfkc_each(texts: Column) -> Column:
     """NFKC of every element of ARRAY<STRING> (Python functions cannot run inside lambdas)."""
-    touched = F.exists(texts, lambda x: x.rlike(NEEDS_NFKC))
+    touched = F.exists(texts, needs_nfkc)
     return F.coalesce(_nfkc_each(F.when(touched, texts)), texts)
 
 
 def strip(text: Column) -> Column:
     """Remove all Unicode white space at both ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(text, _EDGE_SPACE, "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def squeeze(text: Column) -> Column:
@@ -103,12 +113,11 @@ def slug(name: Column, letters: str = "ascii") -> Column:
     ``alphanumeric`` also marks and other numbers and has no name for an empty result.
     """
     kept = {
-        "ascii": "a-z0-9_",
-        "letters": r"\p{L}\p{Nd}_",
-        "alphanumeric": r"\p{L}\p{M}\p{N}_",
+        "ascii": "a-z0-9",
+        "letters": r"\p{L}\p{Nd}",
+        "alphanumeric": r"\p{L}\p{M}\p{N}",
     }[letters]
-    joined = F.regexp_replace(F.lower(strip(name)), f"[^{kept}]+", "_")
-    trimmed = F.btrim(F.regexp_replace(joined, "_+", "_"), F.lit("_"))
+    trimmed = F.btrim(F.regexp_replace(F.lower(name), f"[^{kept}]+", "_"), F.lit("_"))
     if letters == "alphanumeric":
         return trimmed
     return F.coalesce(F.nullif(trimmed, F.lit("")), F.lit(fixed.DEFAULT_SLUG))
@@ -131,7 +140,7 @@ def attachment_block(name: Column, content: Column, limit: int = fixed.ATTACHMEN
 
 def attach(message: Column, block: Column) -> Column:
     """Append an attachment block to the message being written."""
-    body = F.regexp_replace(message, f"[{SPACE}]+$", "")
+    body = F.rtrim(message, F.lit(_BLANKS))
     return F.when(body == "", block).otherwise(F.concat(body, F.lit("\n\n"), block))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parley import fixed
 from parley.functions.text import WORD
+from parley.plans.once import once
 
 VOCABULARY = 32_000
 Tokenizer = Callable[[Column, int], Column]
@@ -32,7 +33,7 @@ def tokenize(
 ) -> DataFrame:
     """Add ``input_ids`` and ``attention_mask``; rows without tokens are dropped."""
     return (
-        df.withColumn("input_ids", tokenizer(F.col(text), limit))
+        once(df, "input_ids", tokenizer(F.col(text), limit))
         .where(F.size("input_ids") > 0)
         .withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
     )

@@ -197,7 +197,7 @@ def unique_ids(
     for _ in range(rounds):
         given = _free_numbers(open_, _readings(taken)).withColumn(
             "id", _numbered_id(F.col("base"), F.col("number"))
-        )
+        ).persist()
         first = given.groupBy("id").agg(F.min("newcomer").alias("__first"))
         judged = given.join(first, "id").withColumn("lost", F.col("newcomer") != F.col("__first"))
         lost_from = judged.where("lost").groupBy("base").agg(F.min("newcomer").alias("__from"))
