@@ -22,6 +22,7 @@ from parley.plans.once import once
 from parley.plans.sizes import checked_broadcast
 
 DYNAMIC = "dynamic/"
+WHOLE_HISTORY_TURNS = 2_000
 
 
 def hear_personas(turns: DataFrame, keep_text: bool = False) -> DataFrame:
@@ -61,8 +62,11 @@ def resolve_switches(turns: DataFrame, profiles: DataFrame, order: Order) -> Dat
     )
     called = F.col("persona.name")
     if order.block is None:
+        # dealt out by session here, so that this window and all later folds share the shuffle
+        named = named.repartition(*order.keys)
         window = Window.partitionBy(*order.keys, "switch_id").orderBy(order.by)
-        named = named.withColumn("__first", F.first(called).over(window))
+        from_start = window.rowsBetween(Window.unboundedPreceding, 0)
+        named = named.withColumn("__first", F.first(called).over(from_start))
     else:
         first = named.where(asked).groupBy(*order.keys, "switch_id").agg(
             F.min_by(called, order.by).alias("__first")
@@ -89,26 +93,49 @@ def carry_persona(
     ).drop("__who")
 
 
+_EMOTION_CUE = "__cue_emotion"
+_WORLD_CUES = {n: f"__cue_{n}" for n in fixed.WORLD_DEFAULTS}
+
+
+def hear_cues(turns: DataFrame) -> DataFrame:
+    """Add the mood and scene cues of every turn, for the folds below.
+
+    The cues hold the only Python step of a replay (NFKC of the few texts that need it), and a
+    Python step makes Spark forget how rows are partitioned. With all cues taken before the
+    first fold, the folds share one shuffle.
+    """
+    reply = F.coalesce("assistant", F.lit(""))
+    named = {_EMOTION_CUE: cues.emotion_cue(F.col("user"), reply)}
+    named |= {_WORLD_CUES[n]: c for n, c in cues.world_cues(F.col("user"), reply).items()}
+    return turns.withColumns(named)
+
+
+def _with_cues(turns: DataFrame) -> DataFrame:
+    return turns if _EMOTION_CUE in turns.columns else hear_cues(turns)
+
+
+def without_cues(turns: DataFrame) -> DataFrame:
+    return turns.drop(_EMOTION_CUE, *_WORLD_CUES.values())
+
+
 def carry_emotion(
     turns: DataFrame, order: Order, character: str = "character_id", *, before: bool = False
 ) -> DataFrame:
     """Add ``emotion`` of the character: after the turn, or as the turn's prompt sees it."""
-    cue = cues.emotion_cue(F.col("user"), F.coalesce("assistant", F.lit("")))
-    heard = turns.withColumn("__cue_now", cue)
-    carried = carry(heard, order.within(character), {"emotion": F.col("__cue_now")}, before=before)
-    return carried.withColumn(
-        "emotion", F.coalesce("emotion", F.lit(fixed.DEFAULT_EMOTION))
-    ).drop("__cue_now")
+    heard = _with_cues(turns)
+    carried = carry(heard, order.within(character), {"emotion": F.col(_EMOTION_CUE)}, before=before)
+    filled = carried.withColumn("emotion", F.coalesce("emotion", F.lit(fixed.DEFAULT_EMOTION)))
+    return filled if heard is turns else without_cues(filled)
 
 
 def carry_world(turns: DataFrame, order: Order, *, before: bool = False) -> DataFrame:
     """Add ``location``, ``time``, ``current_event`` and ``story_progress``."""
-    named = cues.world_cues(F.col("user"), F.col("assistant"))
-    seen = turns.withColumns({f"__w_{n}": c for n, c in named.items()})
-    carried = carry(seen, order, {n: F.col(f"__w_{n}") for n in named}, before=before)
-    return carried.withColumns(
-        {n: F.coalesce(n, F.lit(fixed.WORLD_DEFAULTS[n])) for n in named}
-    ).drop(*[f"__w_{n}" for n in named])
+    seen = _with_cues(turns)
+    carried = carry(seen, order, {n: F.col(c) for n, c in _WORLD_CUES.items()}, before=before)
+    filled = carried.withColumns(
+        {n: F.coalesce(n, F.lit(d)) for n, d in fixed.WORLD_DEFAULTS.items()}
+    )
+    return filled if seen is turns else without_cues(filled)
 
 
 def carry_history(turns: DataFrame, order: Order, pairs: int = fixed.HISTORY_PAIRS) -> DataFrame:
@@ -118,9 +145,13 @@ def carry_history(turns: DataFrame, order: Order, pairs: int = fixed.HISTORY_PAI
 
 
 def whole_history(turns: DataFrame, order: Order) -> DataFrame:
-    """Add ``history``: every earlier turn. Output grows with the square of a session's length."""
-    if order.block is not None:
-        raise ValueError("sessions are too long for whole histories; use carry_history")
+    """Add ``history``: every earlier turn.
+
+    The output grows with the square of a session's length, so the longest session is checked
+    and longer ones need a bounded history (``carry_history``).
+    """
+    if order.block is not None or order.longest is None or order.longest > WHOLE_HISTORY_TURNS:
+        raise ValueError("sessions are too long for whole histories; give a number of pairs")
     item = F.struct(F.col("user").alias("user"), F.coalesce("assistant", F.lit("")).alias("assistant"))
     window = order.window().rowsBetween(Window.unboundedPreceding, -1)
     return turns.withColumn("history", F.collect_list(item).over(window))
@@ -139,12 +170,12 @@ def replay_states(
 
     ``before=True`` gives what the turn's prompt sees, ``False`` the state after the turn.
     """
-    heard = hear_personas(turns)
+    heard = hear_cues(hear_personas(turns))
     switched = resolve_switches(settle(heard, order), profiles, order)
     voiced = settle(carry_persona(switched, order, initial_id, initial_name), order)
     placed = settle(carry_world(voiced, order, before=before), order)
     recalled = settle(carry_history(placed, order), order)
-    return carry_emotion(recalled, order, before=before)
+    return without_cues(carry_emotion(recalled, order, before=before))
 
 
 def synthesize_profiles(requests: DataFrame, name: str = "name", reply: str = "reply") -> DataFrame:

@@ -17,7 +17,7 @@ Both give the same rows.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -31,15 +31,16 @@ _BLOCK = "__block"
 
 @dataclass(frozen=True)
 class Order:
-    """Group keys, order column (unique inside a group) and whether blocks are needed."""
+    """Group keys, order column (unique inside a group), block size if needed, largest order number."""
 
     keys: tuple[str, ...]
     by: str
     block: int | None = None
+    longest: int | None = None
 
     def within(self, *more: str) -> "Order":
         """The same order inside smaller groups."""
-        return Order(self.keys + more, self.by, self.block)
+        return replace(self, keys=self.keys + more)
 
     def cells(self, df: DataFrame) -> DataFrame:
         if self.block is None:
@@ -60,8 +61,8 @@ class Order:
 
 def measure(df: DataFrame, keys: Sequence[str], by: str, block: int = BLOCK) -> Order:
     """Decide between plain windows and blocks: one aggregate over one column, one value back."""
-    longest = df.agg(F.max(by)).first()[0]
-    return Order(tuple(keys), by, block if longest is not None and longest >= block else None)
+    longest = df.agg(F.max(by)).first()[0] or 0
+    return Order(tuple(keys), by, block if longest >= block else None, longest)
 
 
 def settle(df: DataFrame, order: Order) -> DataFrame:

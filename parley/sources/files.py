@@ -95,10 +95,10 @@ def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
 
     Such a file cannot be split, so one file is one row until its records are exploded.
     """
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if _matching(path, JSON_DOCUMENT):
         reader = reader.option("pathGlobFilter", _glob("json"))
-    whole = reader.text(path).select(
+    whole = reader.text(path, wholetext=True).select(
         strip(F.col("value")).alias("value"), F.col("_metadata.file_path").alias("path")
     )
     records = T.ArrayType(RECORD)

@@ -16,10 +16,9 @@ VERSION = "snapshot"
 def read_profiles(spark: SparkSession, folder: str) -> DataFrame:
     """Profile table from flat ``key: value`` files; ``id`` is the path below ``folder`` without ending."""
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
+        spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.{yaml,yml}")
-        .text(folder)
+        .text(folder, wholetext=True)
         .select("value", F.col("_metadata.file_path").alias("path"))
     )
 
@@ -42,7 +41,7 @@ def read_turn_scripts(spark: SparkSession, path: str) -> DataFrame:
 
     A file is a JSON list of texts, or one JSON text or object with ``user`` or ``text`` a line.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(
+    whole = spark.read.text(path, wholetext=True).select(
         strip(F.col("value")).alias("value"), F.col("_metadata.file_path").alias("path")
     )
     texts = T.ArrayType(T.StringType())
