@@ -510,6 +510,21 @@ def profile_prompts(spark, sf):
     return valid.select("id", render.profile_prompt({f: F.col(f) for f in fields}).alias("prompt"))
 
 
+@query(
+    "short_profile_prompts",
+    f"WITH {_PROFILE_SQL} SELECT id, 'You are \"' || name || '\".' || {NL} || 'Personality: ' || role || {NL} || "
+    f"'Backstory: ' || background || {NL} || 'Speech style: ' || motivations || {NL} || 'Behavior rules: ' || name || {NL} "
+    f"|| 'Emotional traits: ' || role || {NL} || '{fixed.KEEP_CHARACTER_SHORT}' AS prompt FROM profiles",
+)
+def short_profile_prompts(spark, sf):
+    c = F.col
+    fields = {
+        "name": c("name"), "personality": c("role"), "backstory": c("background"),
+        "speech_style": c("motivations"), "behavior_rules": c("name"), "emotional_traits": c("role"),
+    }
+    return _profiles(spark, sf).select("id", render.short_profile_prompt(fields).alias("prompt"))
+
+
 @query(
     "safe_ids",
     """

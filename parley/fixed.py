@@ -22,6 +22,7 @@ INTRODUCE_USER = "Introduce yourself in-character."
 ACT_SYSTEM = "Roleplay as: "
 NONE_BLOCK = "(none)"
 KEEP_CHARACTER_LINE = "Never break character unless explicitly instructed by the system."
+KEEP_CHARACTER_SHORT = "Never break character unless explicitly asked by system instructions."
 
 # --- fixed values: role names ------------------------------------------------------------
 USER_ROLES = ["user", "human"]

@@ -114,6 +114,22 @@ def profile_prompt(profile: Mapping[str, Column]) -> Column:
     )
 
 
+def short_profile_prompt(profile: Mapping[str, Column]) -> Column:
+    """System prompt of the six-field profile with a backstory; every line is always there."""
+    labelled = lambda label, key: F.concat(F.lit(f"{label}: "), profile[key], F.lit("\n"))
+    return F.concat(
+        F.lit('You are "'),
+        profile["name"],
+        F.lit('".\n'),
+        labelled("Personality", "personality"),
+        labelled("Backstory", "backstory"),
+        labelled("Speech style", "speech_style"),
+        labelled("Behavior rules", "behavior_rules"),
+        labelled("Emotional traits", "emotional_traits"),
+        F.lit(fixed.KEEP_CHARACTER_SHORT),
+    )
+
+
 def persona_prompt(persona: Column) -> Column:
     """Rule list for a persona name, with hints for known kinds of persona."""
     name = strip(persona)

@@ -3,7 +3,6 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from parley.catalog import QUERIES
 from parley.catalog.base import table
@@ -66,11 +65,3 @@ def test_texts_without_special_characters_stay_in_the_jvm(spark):
     """Only texts that need it are handed to Python: the others arrive there as null."""
     text = QUERIES["normalize_basic"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"_nfkc\(CASE WHEN ", text)
-
-
-def test_no_query_uses_a_cross_join(spark):
-    for name, query in QUERIES.items():
-        if name.startswith("stream") or "memory" in name or "unique" in name:
-            continue
-        text = plan(query(spark, FOLDER))
-        assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
