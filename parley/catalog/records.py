@@ -17,7 +17,6 @@ from parley.catalog.base import (
 from parley.functions import records as R
 from parley.functions import render
 from parley.functions.arrays import first_filled, first_present
-from parley.functions.text import strip
 from parley.operators import pairing, validate
 from parley.operators.sampling import split_rows
 from parley.plans.folds import Order, carry, last_rows, measure

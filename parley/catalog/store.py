@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parley.catalog.base import CHAT, chat, query, table
-from parley.functions.cues import memory_candidate
+from parley import fixed
+from parley.catalog.base import query, table
 from parley.operators import memory as M
 from parley.operators import store as ST
 
@@ -181,8 +181,6 @@ def _characters(spark, sf):
 
 
 def _defaults_sql(only=None):
-    from parley import fixed
-
     rows = [r for r in fixed.STORE_CHARACTERS if only is None or r[0] in only]
     values = ", ".join("(" + ", ".join(f"'{v}'" for v in r) + ")" for r in rows)
     return f"defaults AS (SELECT * FROM (VALUES {values}) d(id, name, personality, world, tone))"

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley import fixed
 from parley.catalog.base import (
     aggressive_sql,
     collapse_sql,

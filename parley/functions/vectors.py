@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from parley import fixed
 from parley.functions.text import WORD

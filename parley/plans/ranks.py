@@ -30,7 +30,7 @@ def seeded_key(*ids: Column, seed: int = fixed.SEED) -> Column:
     return F.md5(F.concat_ws("-", F.lit(str(seed)), *ids).cast("binary"))
 
 
-def _running(cells: DataFrame, groups: Sequence[str], cell: str) -> DataFrame:
+def rows_before(cells: DataFrame, groups: Sequence[str], cell: str) -> DataFrame:
     """(groups, cell, __before, __rows): rows in earlier cells of the group, exclusive."""
     earlier = Window.partitionBy(*groups, F.lit(0)).orderBy(cell)
     return cells.withColumn(
@@ -48,7 +48,7 @@ def histogram(df: DataFrame, key: str, groups: Sequence[str] = (), digits: int =
         .groupBy(*groups, "__cell")
         .agg(F.count("*").alias("__rows"))
     )
-    return _running(cells, groups, "__cell")
+    return rows_before(cells, groups, "__cell")
 
 
 def rank_by_key(
@@ -137,7 +137,7 @@ def running_rows(cells: DataFrame, groups: Sequence[str], cell: str) -> DataFram
     """
     upper = cells.withColumn("__super", F.floor(F.col(cell) / _SUPER)).persist()
     low = Window.partitionBy(*groups, "__super").orderBy(cell)
-    supers = _running(
+    supers = rows_before(
         upper.groupBy(*groups, "__super").agg(F.sum("__rows").alias("__rows")), groups, "__super"
     ).select(*groups, "__super", F.col("__before").alias("__base"))
     return (
@@ -201,7 +201,7 @@ def number_rows(df: DataFrame, by: Sequence[Column], name: str = "rank") -> Data
         df.orderBy(*by).withColumn("__id", F.monotonically_increasing_id()).checkpoint()
     ).withColumn("__part", F.shiftright("__id", 33))
     sizes = numbered.groupBy("__part").agg(F.count("*").alias("__rows"))
-    offsets = _running(sizes, (), "__part").drop("__rows")
+    offsets = rows_before(sizes, (), "__part").drop("__rows")
     low = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
     return (
         numbered.join(offsets, "__part")

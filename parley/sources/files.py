@@ -16,7 +16,7 @@ from parley.functions.records import RECORD, map_chat_record, with_record_keys
 from parley.functions.text import strip
 from parley.operators.sampling import concatenate
 from parley.operators.validate import split_rejects
-from parley.plans.ranks import _running
+from parley.plans.ranks import rows_before
 
 CORRUPT = "_corrupt_record"
 # fixed values: supported file name endings
@@ -54,7 +54,7 @@ def with_line_numbers(lines: DataFrame) -> DataFrame:
     Lines are counted per file split, so the work per task is one split however long a file is.
     """
     counts = lines.groupBy("path", "block").agg(F.count("*").alias("__rows"))
-    before = _running(counts, ["path"], "block").drop("__rows")
+    before = rows_before(counts, ["path"], "block").drop("__rows")
     inside = Window.partitionBy("path", "block").orderBy("row_id")
     return (
         lines.withColumn("__rn", F.row_number().over(inside))
