@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from parley.catalog.base import Query, table
-from parley.llm import exact, packing, shards, simhash
+from parley.llm import chat, exact, neighbours, packing, pieces, pii, quality, shards, simhash, toxicity
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -36,12 +37,54 @@ def op1_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op2_piece_transducer")
+def op2_piece_transducer(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded, and decoded again from its ids."""
+    coded = pieces.encode_pieces(table(spark, folder, "documents").select(F.struct("doc_id", "text").alias("row"), "text"), "row")
+    both = coded.select(F.struct("row.doc_id", "row.text", "ids").alias("row"), "ids")
+    back = pieces.decode_pieces(both, "row")
+    return back.select(
+        "row.doc_id",
+        F.size("row.ids").cast("bigint").alias("n_pieces"),
+        F.crc32(F.array_join(F.col("row.ids").cast("array<string>"), " ").cast("binary")).alias("ids_crc32"),
+        (F.col("text") == F.coalesce(F.col("row.text"), F.lit(""))).alias("round_trip"),
+    )
+
+
 @query("op3_simhash_gray")
 def op3_simhash_gray(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_copies(table(spark, folder, "documents"))
     return found.select("doc_id", simhash.hex_code(F.col("code")).alias("fingerprint"), "component_id")
 
 
+@query("op4_weak_label_quality")
+def op4_weak_label_quality(spark: SparkSession, folder: str) -> DataFrame:
+    scored = quality.quality(table(spark, folder, "documents"))
+    return scored.select(
+        "doc_id", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+@query("op5_pii_disclosure")
+def op5_pii_disclosure(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_personal(table(spark, folder, "documents"))
+
+    def of(*kinds: str) -> Column:
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    return found.select(
+        "doc_id",
+        *[F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.spans_text(of(*pii.KINDS)), 256).alias("base_sha256"),
+        pii.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
+@query("op6_learned_partitions")
+def op6_learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest_rows(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query("op7_jump_shards")
 def op7_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
     rows = shards.shard_rows(table(spark, folder, "documents"), 40)
@@ -66,3 +109,46 @@ def op8_exact_salted(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )
+
+
+_HEAD = (
+    "'<|im_start|>' || CASE WHEN l.who = s.speaker THEN 'assistant' WHEN l.who = 'system' THEN 'system' "
+    "ELSE 'user name=' || l.who END || chr(10)"
+)
+
+
+@query(
+    "op9_perspectives",
+    f"""
+    WITH lines AS (
+      SELECT conv_id, coalesce(turn, -1) AS at, replace(coalesce(role, 'unknown'), '<|im_', '< |im_') AS who,
+        replace(coalesce(text, ''), '<|im_', '< |im_') AS said
+      FROM conversations WHERE conv_id IS NOT NULL),
+    speakers AS (SELECT DISTINCT conv_id, who AS speaker FROM lines WHERE who <> 'system'),
+    seg AS (
+      SELECT l.conv_id, s.speaker, CAST(floor(l.at / {chat.PART}) AS BIGINT) AS part, l.at, l.who, l.said,
+        {_HEAD} AS head, l.said || '<|im_end|>' || chr(10) AS body
+      FROM lines l JOIN speakers s ON l.conv_id = s.conv_id),
+    placed AS (
+      SELECT *, sum(length(head) + length(body)) OVER (
+        PARTITION BY conv_id, speaker, part ORDER BY at, who, said ROWS UNBOUNDED PRECEDING) AS upto FROM seg)
+    SELECT conv_id, speaker, part, CAST(count(*) AS INTEGER) AS turns,
+      string_agg(head || body, '' ORDER BY at, who, said) AS text,
+      coalesce(string_agg(CAST(CAST(upto - length(body) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(upto AS BIGINT) AS VARCHAR), ','
+        ORDER BY at, who, said) FILTER (WHERE who = speaker), '') AS mask
+    FROM placed GROUP BY conv_id, speaker, part
+    """,
+)
+def op9_perspectives(spark: SparkSession, folder: str) -> DataFrame:
+    views = chat.perspectives(table(spark, folder, "conversations"))
+    return views.withColumn("mask", chat.mask_text(F.col("mask")))
+
+
+@query("op10_factorization_toxicity")
+def op10_factorization_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)

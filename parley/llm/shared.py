@@ -76,3 +76,21 @@ def ragged_take(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     steps = np.repeat(starts - (ends - lengths), lengths)
     return steps + np.arange(ends[-1])
+
+
+def ragged_join(sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of given sizes laid end to end: positions that spell ``codes``, and each code's run length."""
+    starts, lengths = np.cumsum(sizes) - sizes, sizes[codes]
+    return ragged_take(starts[codes], lengths), lengths
+
+
+def terms_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Runs of letters in lower case: the distinct ones, their number at each place, the row ends."""
+    words, codes, ends = words_of(texts)
+    bare = pc.replace_substring_regex(pc.utf8_lower(words), r"[^\pL]+", " ")
+    terms, inner, inner_ends = words_of(bare)
+    filled = pc.binary_length(terms).to_numpy(zero_copy_only=False).astype(np.int64) > 0
+    keep = filled[inner] if len(inner) else np.empty(0, bool)
+    sizes = np.diff(np.append(0, np.cumsum(keep))[inner_ends])
+    places, lengths = ragged_join(sizes, codes)
+    return terms, inner[keep][places], np.append(0, np.cumsum(lengths))[ends]
