@@ -147,7 +147,7 @@ def estimate(seen: np.ndarray, weight: np.ndarray, rounds: int = 200) -> Labelle
 
 
 def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bucket, value): root share of every hashed word shape, and of echoes."""
+    """(row, bucket, value) by row: root share of every hashed word shape and of echoes, and a mark of few words."""
     words = Words(texts)
     shapes = _shapes(words.words).dictionary_encode()
     hashed = np.fromiter((zlib.crc32(s.encode()) % BUCKETS for s in shapes.dictionary.to_pylist()), np.int64, len(shapes.dictionary))
@@ -156,7 +156,12 @@ def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keys = np.concatenate([words.rows * BUCKETS + of_word[words.codes], words.rows * BUCKETS + echo])
     pairs, times = np.unique(keys, return_counts=True)
     rows = pairs // BUCKETS
-    return rows, pairs % BUCKETS, np.sqrt(times / (words.total + DAMP)[rows])
+    values = np.sqrt(times / (words.total + DAMP)[rows])
+    # on so few words no labeller votes: the scorer is to learn that apart from their shapes
+    few = np.flatnonzero(words.total < FEW_WORDS)
+    rows, order = np.append(rows, few), np.argsort(np.append(rows, few), kind="stable")
+    buckets = np.append(pairs % BUCKETS, np.full(len(few), zlib.crc32(b"few") % BUCKETS))
+    return rows[order], buckets[order], np.append(values, np.ones(len(few)))[order]
 
 
 @dataclass(frozen=True)
