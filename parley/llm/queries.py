@@ -121,21 +121,21 @@ _HEAD = (
     "op9_perspectives",
     f"""
     WITH lines AS (
-      SELECT conv_id, coalesce(turn, -1) AS at, replace(coalesce(role, 'unknown'), '<|im_', '< |im_') AS who,
+      SELECT conv_id, coalesce(turn, -1) AS place, replace(coalesce(role, 'unknown'), '<|im_', '< |im_') AS who,
         replace(coalesce(text, ''), '<|im_', '< |im_') AS said
       FROM conversations WHERE conv_id IS NOT NULL),
     speakers AS (SELECT DISTINCT conv_id, who AS speaker FROM lines WHERE who <> 'system'),
     seg AS (
-      SELECT l.conv_id, s.speaker, CAST(floor(l.at / {chat.PART}) AS BIGINT) AS part, l.at, l.who, l.said,
+      SELECT l.conv_id, s.speaker, CAST(floor(l.place / {chat.PART}) AS BIGINT) AS part, l.place, l.who, l.said,
         {_HEAD} AS head, l.said || '<|im_end|>' || chr(10) AS body
       FROM lines l JOIN speakers s ON l.conv_id = s.conv_id),
     placed AS (
       SELECT *, sum(length(head) + length(body)) OVER (
-        PARTITION BY conv_id, speaker, part ORDER BY at, who, said ROWS UNBOUNDED PRECEDING) AS upto FROM seg)
+        PARTITION BY conv_id, speaker, part ORDER BY place, who, said ROWS UNBOUNDED PRECEDING) AS upto FROM seg)
     SELECT conv_id, speaker, part, CAST(count(*) AS INTEGER) AS turns,
-      string_agg(head || body, '' ORDER BY at, who, said) AS text,
+      string_agg(head || body, '' ORDER BY place, who, said) AS text,
       coalesce(string_agg(CAST(CAST(upto - length(body) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(upto AS BIGINT) AS VARCHAR), ','
-        ORDER BY at, who, said) FILTER (WHERE who = speaker), '') AS mask
+        ORDER BY place, who, said) FILTER (WHERE who = speaker), '') AS mask
     FROM placed GROUP BY conv_id, speaker, part
     """,
 )
