@@ -371,15 +371,19 @@ def _persona_prompt_sql(persona: str) -> str:
     said AS (SELECT conv_id, turn, rest AS u, reply,
       coalesce(last_value(persona IGNORE NULLS) {_UPTO.format('CURRENT ROW')}, '{fixed.SWITCH_DEFAULT_PERSONA}') AS persona
       FROM sw),
-    told AS (SELECT *, list('<|user|>' || {NL} || u || '</s>' || {NL} || '<|assistant|>' || {NL} || reply || '</s>' || {NL})
-      OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hist FROM said)
-    SELECT conv_id, turn, persona, '<|system|>' || {NL} || {_persona_prompt_sql('persona')} || '</s>' || {NL}
-      || coalesce(array_to_string(hist, ''), '') || '<|user|>' || {NL} || u || '</s>' || {NL} || '<|assistant|>' || {NL}
-      AS prompt FROM told""",
+    lined AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS no,
+      '<|user|>' || {NL} || u || '</s>' || {NL} || '<|assistant|>' || {NL} || reply || '</s>' || {NL} AS line FROM said),
+    parts AS (SELECT *, no // {replay.HISTORY_PART} AS last, unnest(range(0, no // {replay.HISTORY_PART} + 1)) AS part FROM lined),
+    told AS (SELECT p.conv_id, p.turn, p.part, string_agg(e.line, '' ORDER BY e.no) AS hist FROM parts p JOIN lined e
+      ON e.conv_id = p.conv_id AND e.no // {replay.HISTORY_PART} = p.part AND e.no < p.no GROUP BY p.conv_id, p.turn, p.part)
+    SELECT p.conv_id, p.turn, p.persona, p.part, CASE WHEN p.part = 0 THEN '<|system|>' || {NL}
+      || {_persona_prompt_sql('p.persona')} || '</s>' || {NL} ELSE '' END || coalesce(hist, '') || CASE WHEN p.part = p.last
+      THEN '<|user|>' || {NL} || u || '</s>' || {NL} || '<|assistant|>' || {NL} ELSE '' END AS prompt
+    FROM parts p LEFT JOIN told t ON p.conv_id = t.conv_id AND p.turn = t.turn AND p.part = t.part""",
 )
 def switch_prompts(spark, sf):
     turns, order = _turns(spark, sf)
-    return replay.switch_replay(turns, order).select("conv_id", "turn", "persona", "prompt")
+    return replay.switch_replay(turns, order).select("conv_id", "turn", "persona", "part", "prompt")
 
 
 _TEMPLATE = {

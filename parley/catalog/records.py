@@ -154,41 +154,32 @@ def first_key_with_value(spark, sf):
     )
 
 
-MESSAGES = 13
-
-
 def _message_lists(spark, sf, role: str, value: str):
-    """The last messages of every conversation as one record with a message list."""
-    last = last_rows(table(spark, sf, "conversations"), ["conv_id"], [F.desc("turn")], MESSAGES)
+    """Every conversation as one record with its whole message list, as such files hold it."""
+    messages = table(spark, sf, "conversations")
     name = F.when(F.col("role") == "assistant", F.lit("gpt")).otherwise(F.col("role"))
     fields = {f: F.lit(None).cast("string") for f in ("role", "from", "content", "value", "text")}
     fields[role], fields[value] = name, F.col("text")
     item = F.struct("turn", *[c.alias(n) for n, c in fields.items()])
-    rows = last.groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    rows = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     return rows.select(
         "conv_id",
         F.transform("items", lambda m: F.struct(*[m[f].alias(f) for f in fields])).alias("list"),
     )
 
 
-LAST = (
-    "last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn "
-    f"FROM conversations) WHERE rn <= {MESSAGES})"
-)
-
-
 @query(
     "map_message_lists",
     f"""
-    WITH {LAST}, {pairs_sql('last')},
-    sys AS (SELECT conv_id, arg_max(text, turn) AS system FROM last WHERE role = 'system' GROUP BY conv_id)
+    WITH {pairs_sql('conversations')},
+    sys AS (SELECT conv_id, arg_max(text, turn) AS system FROM conversations WHERE role = 'system' GROUP BY conv_id)
     SELECT p.conv_id, row_number() OVER (PARTITION BY p.conv_id ORDER BY turn) - 1 AS place,
       coalesce(system, '{SYS}') AS system, user_text AS user, reply AS assistant
     FROM pairs p LEFT JOIN sys ON p.conv_id = sys.conv_id
     UNION ALL
     SELECT l.conv_id, 0, coalesce(any_value(system), '{SYS}'), '',
       coalesce(arg_max(text, l.turn) FILTER (WHERE role = 'assistant'), '')
-    FROM last l LEFT JOIN sys ON l.conv_id = sys.conv_id
+    FROM conversations l LEFT JOIN sys ON l.conv_id = sys.conv_id
     WHERE l.conv_id NOT IN (SELECT conv_id FROM pairs) GROUP BY l.conv_id""",
 )
 def map_message_lists(spark, sf):
@@ -201,7 +192,7 @@ def map_message_lists(spark, sf):
 
 @query(
     "map_conversation_lists",
-    f"WITH {LAST}, {pairs_sql('last')} SELECT conv_id, row_number() OVER "
+    f"WITH {pairs_sql('conversations')} SELECT conv_id, row_number() OVER "
     "(PARTITION BY conv_id ORDER BY turn) - 1 AS place, user_text AS user, reply AS assistant FROM pairs",
 )
 def map_conversation_lists(spark, sf):
@@ -348,8 +339,8 @@ LINE_SQL = (
 
 @query(
     "transcripts",
-    f"SELECT conv_id, 0 AS part, string_agg({LINE_SQL}, {NL} ORDER BY turn) AS text "
-    "FROM conversations WHERE text <> '' GROUP BY conv_id",
+    f"SELECT conv_id, turn // 1000 AS part, string_agg({LINE_SQL}, {NL} ORDER BY turn) AS text "
+    "FROM conversations WHERE text <> '' GROUP BY conv_id, turn // 1000",
 )
 def transcripts(spark, sf):
     line = F.when(F.col("text") != "", R.transcript_line(F.col("role"), F.col("text")))
@@ -358,7 +349,7 @@ def transcripts(spark, sf):
 
 @query(
     "transcript_lists",
-    f"WITH {LAST} SELECT conv_id, string_agg({LINE_SQL}, {NL} ORDER BY turn) AS text FROM last GROUP BY conv_id",
+    f"SELECT conv_id, string_agg({LINE_SQL}, {NL} ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
 )
 def transcript_lists(spark, sf):
     records = R.with_record_keys(
@@ -563,18 +554,18 @@ def decode_store_rows(spark, sf):
     return validate.decode_store_rows(rows, ["event_id", "content"], "role").drop("content")
 
 
-def _chat_rows(spark, sf):
+def _chat_rows(spark, sf, pairs_kept: int | None):
     messages = chat(spark, sf)
     pairs = pairing.pair_messages(messages.drop("user_id"))
-    turns = pairing.gather_turns(pairs, "conv_id", "turn", 3)
+    turns = pairing.gather_turns(pairs, "conv_id", "turn", pairs_kept)
     return turns.join(pairing.last_system(messages, "conv_id", "turn"), "conv_id", "left")
 
 
-def _rendered_sql(tail: str) -> str:
+def _rendered_sql(tail: str, kept: str = "true") -> str:
     return f"""
     WITH {CHAT}, {pairs_sql('chat')},
     recent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM pairs)
-      WHERE rn <= 3),
+      WHERE {kept}),
     sys AS (SELECT conv_id, arg_max(text, turn) AS t FROM chat WHERE role = 'system' GROUP BY conv_id),
     src AS (SELECT conv_id || '/' || turn || '/u' AS id, user_text AS t FROM recent
       UNION ALL SELECT conv_id || '/' || turn || '/a', reply FROM recent
@@ -593,7 +584,7 @@ def _rendered_sql(tail: str) -> str:
 
 @query("chat_texts", _rendered_sql("SELECT conv_id, text FROM texts"))
 def chat_texts(spark, sf):
-    rows = _chat_rows(spark, sf)
+    rows = _chat_rows(spark, sf, None)
     return rows.select("conv_id", render.chat_text(F.col("system"), F.col("turns")).alias("text"))
 
 
@@ -608,11 +599,12 @@ CUT = 900
         SELECT conv_id, text, 'kept' AS how FROM texts WHERE length(text) <= {CUT}
         UNION ALL
         SELECT id, '<|system|>' || {NL} || '{SYS}' || {NL} || '<|user|>' || {NL} || '(truncated)' || {NL}
-          || '<|assistant|>' || {NL} || t || {NL}, 'cut' FROM cut"""
+          || '<|assistant|>' || {NL} || t || {NL}, 'cut' FROM cut""",
+        "rn <= 3",
     ),
 )
 def validated_rows(spark, sf):
-    valid = validate.validate_rows(_chat_rows(spark, sf), max_turns=3, max_chars=CUT)
+    valid = validate.validate_rows(_chat_rows(spark, sf, 3), max_turns=3, max_chars=CUT)
     how = F.when(F.get("turns", F.lit(0))["user"] == fixed.TRUNCATED_USER, "cut").otherwise("kept")
     return valid.select("conv_id", "text", how.alias("how"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from parley import fixed
 from parley.catalog.base import query, squeeze_sql, symbols_sql, table, texts
 from parley.functions import text as X
 from parley.functions.tokens import hashed_pieces, pad, tokenize
@@ -62,11 +63,9 @@ def concatenate_sources(spark, sf):
     )
 
 
+# every source feeds a stage, every fourth one two
 ROUTES = {
-    "src0": ["stage1_instruction"],
-    "src1": ["stage1_instruction"],
-    "src2": ["stage2_roleplay"],
-    "src3": ["stage2_roleplay", "stage3_preference"],
+    f"src{i}": [fixed.STAGES[i % 3], *([fixed.STAGES[(i + 1) % 3]] if i % 4 == 3 else [])] for i in range(20)
 }
 _ROUTE_ROWS = ", ".join(f"('{s}', '{t}')" for s, stages in ROUTES.items() for t in stages)
 

@@ -87,12 +87,15 @@ def history_chat(history: Column, end: str = "") -> Column:
 
 def tagged_prompt(system: Column, history: Column, user: Column, end: str = fixed.END_MARK) -> Column:
     """System, earlier turns and the open user turn; ``end`` closes every block."""
-    return F.concat(
-        _block(fixed.SYSTEM_MARK, system, end),
-        history_chat(history, end),
-        _block(fixed.USER_MARK, user, end),
-        F.lit(f"{fixed.ASSISTANT_MARK}\n"),
-    )
+    return F.concat(tagged_opening(system, end), history_chat(history, end), tagged_question(user, end))
+
+
+def tagged_opening(system: Column, end: str = fixed.END_MARK) -> Column:
+    return _block(fixed.SYSTEM_MARK, system, end)
+
+
+def tagged_question(user: Column, end: str = fixed.END_MARK) -> Column:
+    return F.concat(_block(fixed.USER_MARK, user, end), F.lit(f"{fixed.ASSISTANT_MARK}\n"))
 
 
 def profile_prompt(profile: Mapping[str, Column]) -> Column:

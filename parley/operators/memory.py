@@ -97,20 +97,22 @@ def _search(left: pa.Table, right: pa.Table, fetch: int, own_first: bool) -> pa.
         part = q[start : start + 256]
         # |q - m|^2 without the |q|^2 that is the same for all memories
         rough = m_norm - 2.0 * (part @ m.T)
-        for i, line in enumerate(rough, start):
-            open_ = (pos >= lo[i]) & (pos < hi[i])
-            if own_first:
-                open_ &= m_users == q_users[i]
-            index = np.flatnonzero(open_)
-            if len(index) > fetch:
-                values = line[index]
-                bound = np.partition(values, fetch - 1)[fetch - 1] + 1e-9
-                index = index[values <= bound]
-            gap = ((m[index] - q[i]) ** 2).sum(axis=1)
-            best = np.lexsort((pos[index], gap))[:fetch]
-            rows.append(np.full(len(best), i))
-            hits.append(index[best])
-            dists.append(gap[best])
+        ask = np.arange(start, start + len(part))
+        open_ = (pos >= lo[ask, None]) & (pos < hi[ask, None])
+        if own_first:
+            open_ &= m_users == q_users[ask, None]
+        rough = np.where(open_, rough, np.inf)
+        at = min(fetch, len(m)) - 1
+        # the product rounds; whatever may be among the nearest is measured again
+        bound = np.partition(rough, at, axis=1)[:, at] + 1e-9
+        i, index = np.nonzero(open_ & (rough <= bound[:, None]))
+        gap = ((m[index] - part[i]) ** 2).sum(axis=1)
+        order = np.lexsort((pos[index], gap, i))
+        i, index, gap = i[order], index[order], gap[order]
+        best = np.arange(len(i)) - np.searchsorted(i, i) < fetch
+        rows.append(ask[i[best]])
+        hits.append(index[best])
+        dists.append(gap[best])
     if not rows:
         rows, hits, dists = [np.array([], dtype=int)] * 2 + [np.array([], dtype=float)]
     at, hit = np.concatenate(rows), np.concatenate(hits)
@@ -131,15 +133,15 @@ def nearest(
     memory: DataFrame,
     fetch: int = fixed.RETRIEVE_K * fixed.OVERFETCH,
     *,
-    capacity: int = fixed.MEMORY_CAPACITY,
+    capacity: int | None = None,
     earlier_only: bool = False,
     own_first: bool = False,
 ) -> DataFrame:
     """Exact L2 neighbours: query_id, user_id, mem_id, mem_user, distance, ``rank``.
 
     ``queries`` are (query_id, user_id, vec) and, for ``earlier_only``, ``seq``; ``memory`` is
-    (mem_id, user_id, seq, vec). A query searches the ``capacity`` newest memories, with
-    ``earlier_only`` those newest at its own ``seq``. Equal distances go to the older memory.
+    (mem_id, user_id, seq, vec). A query searches all memories, with ``capacity`` that many of the
+    newest, with ``earlier_only`` those there were at its own ``seq``. Equal distances go to the older memory.
 
     Memories are cut into tiles by insertion number and queries into sets; every tile meets a set
     in one task that returns ``fetch`` rows per query, and the rows of all tiles are merged. So
@@ -155,7 +157,8 @@ def nearest(
         asked = queries.select("query_id", "user_id", "vec", total.alias("hi"))
     # names of their own: queries and memories may come from one table
     stored = stored.select("mem_id", F.col("user_id").alias("mem_user"), F.col("vec").alias("mem_vec"), "pos")
-    asked = asked.withColumn("lo", F.greatest(F.col("hi") - capacity, F.lit(0))).where(F.col("hi") > 0)
+    lowest = F.lit(0).cast("bigint") if capacity is None else F.greatest(F.col("hi") - capacity, F.lit(0))
+    asked = asked.withColumn("lo", lowest).where(F.col("hi") > 0)
     first, last = F.floor(F.col("lo") / TILE), F.floor((F.col("hi") - 1) / TILE)
     spans = asked.select("query_id", first.alias("__a"), last.alias("__b"))
     sets = (
@@ -192,7 +195,7 @@ def retrieve(
     memory: DataFrame,
     k: int = fixed.RETRIEVE_K,
     *,
-    capacity: int = fixed.MEMORY_CAPACITY,
+    capacity: int | None = None,
     earlier_only: bool = False,
     own_first: bool = False,
 ) -> DataFrame:

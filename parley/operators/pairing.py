@@ -55,9 +55,9 @@ def last_pairs(pairs: DataFrame, key: str, by: str, n: int = fixed.MAX_TURNS) ->
     return last_rows(pairs, [key], [F.desc(by)], n, "__rn").drop("__rn")
 
 
-def gather_turns(pairs: DataFrame, key: str, by: str, n: int = fixed.MAX_TURNS) -> DataFrame:
-    """(key, turns): the last ``n`` pairs of a conversation as one array, oldest first."""
-    rows = last_pairs(pairs, key, by, n).groupBy(key).agg(
+def gather_turns(pairs: DataFrame, key: str, by: str, n: int | None = fixed.MAX_TURNS) -> DataFrame:
+    """(key, turns): the last ``n`` pairs of a conversation (None: all) as one array, oldest first."""
+    rows = (pairs if n is None else last_pairs(pairs, key, by, n)).groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct(by, "user", "assistant"))).alias("__rows")
     )
     return rows.select(

@@ -17,12 +17,12 @@ from parley.functions.persona import persona_instruction, persona_switch
 from parley.functions.text import parse_salvaged, slug, strip
 from parley.operators.pairing import pair_messages
 from parley.operators.validate import valid_profiles
-from parley.plans.folds import Order, carry, items_before, last_rows, settle
+from parley.plans.folds import Order, carry, items_before, last_rows, number, settle
 from parley.plans.once import once
 from parley.plans.sizes import checked_broadcast
 
 DYNAMIC = "dynamic/"
-WHOLE_HISTORY_TURNS = 2_000
+HISTORY_PART = 64
 
 
 def hear_personas(turns: DataFrame, keep_text: bool = False) -> DataFrame:
@@ -144,17 +144,31 @@ def carry_history(turns: DataFrame, order: Order, pairs: int = fixed.HISTORY_PAI
     return items_before(turns, order, item, pairs, "history")
 
 
-def whole_history(turns: DataFrame, order: Order) -> DataFrame:
-    """Add ``history``: every earlier turn.
+def history_parts(turns: DataFrame, order: Order, line: Column, part: int = HISTORY_PART) -> DataFrame:
+    """Every turn once per part of its whole history: adds ``part``, ``last`` and ``told``.
 
-    The output grows with the square of a session's length, so the longest session is checked
-    and longer ones need a bounded history (``carry_history``).
+    Part ``p`` tells the ``line`` of turns ``p * part`` to ``(p + 1) * part - 1`` of the session,
+    as far as they are earlier than the turn. A part that lies behind a turn is put together once
+    and joined to all later turns, so a task holds parts, never a session; the rows written grow
+    with the square of a session's length because the histories do.
     """
-    if order.block is not None or order.longest is None or order.longest > WHOLE_HISTORY_TURNS:
-        raise ValueError("sessions are too long for whole histories; give a number of pairs")
-    item = F.struct(F.col("user").alias("user"), F.coalesce("assistant", F.lit("")).alias("assistant"))
-    window = order.window().rowsBetween(Window.unboundedPreceding, -1)
-    return turns.withColumn("history", F.collect_list(item).over(window))
+    numbered = settle(number(turns, order, "__no"), order)
+    cut = numbered.withColumns({"__line": line, "last": F.floor((F.col("__no") - 1) / part)})
+    keys = [*order.keys, "last"]
+    lines = F.array_sort(F.collect_list(F.struct("__no", "__line")))
+    whole = (
+        cut.groupBy(*keys)
+        .agg(F.array_join(F.transform(lines, lambda x: x["__line"]), "").alias("told"))
+        .withColumnRenamed("last", "part")
+    )
+    earlier = Window.partitionBy(*keys).orderBy("__no").rowsBetween(Window.unboundedPreceding, -1)
+    own = cut.withColumns(
+        {"part": F.col("last"), "told": F.array_join(F.collect_list("__line").over(earlier), "")}
+    )
+    behind = cut.where(F.col("last") > 0).withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last") - 1))
+    )
+    return own.unionByName(behind.join(whole, [*order.keys, "part"])).drop("__no", "__line")
 
 
 def replay_states(
@@ -251,7 +265,11 @@ def switch_replay(
     pairs: int | None = None,
     end: str = fixed.END_MARK,
 ) -> DataFrame:
-    """Replay with start-of-message persona switches: ``persona`` and the tagged ``prompt``."""
+    """Replay with start-of-message persona switches: ``persona`` and the tagged ``prompt``.
+
+    With a number of ``pairs`` there is one prompt a turn. Without, the whole history is told: the
+    prompt of a turn is the text of its rows in order of ``part``.
+    """
     heard = once(turns, "__switch", persona_switch(F.col("user"))).withColumn(
         "__persona", F.col("__switch.persona")
     )
@@ -262,8 +280,18 @@ def switch_replay(
     heard = settle(heard.drop("__switch"), order)
     voiced = settle(carry(heard, order, {"persona": F.col("__persona")}), order)
     voiced = voiced.withColumn("persona", F.coalesce("persona", F.lit(initial)))
-    told = whole_history(voiced, order) if pairs is None else carry_history(voiced, order, pairs)
-    prompt = render.tagged_prompt(
-        render.persona_prompt(F.col("persona")), F.col("history"), F.col("user"), end
+    system = render.persona_prompt(F.col("persona"))
+    if pairs is not None:
+        told = carry_history(voiced, order, pairs)
+        prompt = render.tagged_prompt(system, F.col("history"), F.col("user"), end)
+        return told.withColumn("prompt", prompt).drop("__persona", "history")
+    line = render.history_chat(
+        F.array(F.struct(F.col("user").alias("user"), F.coalesce("assistant", F.lit("")).alias("assistant"))), end
+    )
+    parts = history_parts(voiced, order, line)
+    prompt = F.concat(
+        F.when(F.col("part") == 0, render.tagged_opening(system, end)).otherwise(""),
+        F.col("told"),
+        F.when(F.col("part") == F.col("last"), render.tagged_question(F.col("user"), end)).otherwise(""),
     )
-    return told.withColumn("prompt", prompt).drop("__persona", "history")
+    return parts.withColumn("prompt", prompt).drop("__persona", "told", "last")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley import fixed
+from parley.plans.folds import last_rows
 from parley.plans.ranks import (
     first_by_key,
     key_range,
@@ -69,9 +70,8 @@ def interleave(
     Slots are counted on raw rows; ``take`` bounds the raw rows per source, and only then does
     ``keep`` drop the rows whose mapper gave nothing. The order is (slot, source).
     """
-    slotted = with_slot(df, source, by)
-    if take is not None:
-        slotted = slotted.where(F.col("slot") <= take)
+    # a bounded take keeps that many rows per source and task before anything moves
+    slotted = with_slot(df, source, by) if take is None else last_rows(df, [source], [F.col(by)], take, "slot")
     if keep is not None:
         slotted = slotted.where(keep)
     return slotted.orderBy("slot", source)

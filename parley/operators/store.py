@@ -83,8 +83,8 @@ def delete_sessions(
 def rename(
     sessions: DataFrame, changes: DataFrame, key: str, title: str, updated: str
 ) -> DataFrame:
-    """Set title and update time of known sessions; changes of unknown ones do nothing."""
-    new = changes.select(
+    """Set title and update time of known sessions: the newest change of each; unknown ones do nothing."""
+    new = newest_versions(changes, key, updated).select(
         key, F.col(title).alias("__title"), F.col(updated).alias("__updated")
     )
     return (
@@ -184,7 +184,7 @@ def _readings(ids: DataFrame) -> DataFrame:
 
 
 def unique_ids(
-    new: DataFrame, existing: DataFrame, requested: str, name: str, newcomer: str, rounds: int = 10
+    new: DataFrame, existing: DataFrame, requested: str, name: str, newcomer: str
 ) -> DataFrame:
     """Add ``id`` to new characters: slug, then ``_2``, ``_3``, ... while taken.
 
@@ -197,7 +197,8 @@ def unique_ids(
     asked = F.coalesce(F.nullif(strip(F.col(requested)), F.lit("")), F.col(name))
     open_ = new.select(F.col(newcomer).alias("newcomer"), slug(asked, "letters").alias("base"))
     taken, done = existing.select("id"), None
-    for _ in range(rounds):
+    # the first arrival of all that are open always keeps its id, so every round settles some
+    while True:
         given = _free_numbers(open_, _readings(taken)).withColumn(
             "id", _numbered_id(F.col("base"), F.col("number"))
         ).checkpoint()
@@ -213,8 +214,6 @@ def unique_ids(
         if open_.isEmpty():
             break
         taken = taken.unionByName(kept.select("id"))
-    else:
-        raise ValueError("names still collide; raise rounds")
     return new.join(done.withColumnRenamed("newcomer", newcomer), newcomer)
 
 

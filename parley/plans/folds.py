@@ -5,11 +5,12 @@ A fold ("last known value", "row before", "running number", "last n items") is a
 that holds a third of the table. So the order column, a dense message number, is also cut into
 blocks of ``BLOCK`` numbers:
 
-* no group reaches the first cut (checked with one ``max`` over one column): plain windows,
-  one shuffle and one sort shared by all folds;
+* no group holds a block's worth of rows: plain windows, one shuffle and one sort shared by all
+  folds. One ``max`` over one column tells when the numbers are dense; only if they are large are
+  the rows of every group counted;
 * some group does: windows run inside (group, block), so no task holds more than a block, and
   what a block needs from earlier ones comes from one small row per block, folded by group and
-  joined back.
+  joined back. Sparse numbers (milliseconds) are cut into blocks as wide as hold that many rows.
 
 Both give the same rows.
 """
@@ -31,7 +32,7 @@ _BLOCK = "__block"
 
 @dataclass(frozen=True)
 class Order:
-    """Group keys, order column (unique inside a group), block size if needed, largest order number."""
+    """Group keys, order column (unique inside a group), width of a block if needed, most rows of a group."""
 
     keys: tuple[str, ...]
     by: str
@@ -60,9 +61,16 @@ class Order:
 
 
 def measure(df: DataFrame, keys: Sequence[str], by: str, block: int = BLOCK) -> Order:
-    """Decide between plain windows and blocks: one aggregate over one column, one value back."""
-    longest = df.agg(F.max(by)).first()[0] or 0
-    return Order(tuple(keys), by, block if longest >= block else None, longest)
+    """Decide between plain windows and blocks, and how wide blocks are; a few values come back."""
+    largest = df.agg(F.max(by)).first()[0] or 0
+    if largest < block:
+        return Order(tuple(keys), by, None, largest)
+    groups = df.groupBy(*keys).agg(F.count("*").alias("n"), (F.max(by) - F.min(by) + 1).alias("span"))
+    rows, span = groups.agg(F.max("n"), F.max_by("span", "n")).first()
+    if rows < block:
+        return Order(tuple(keys), by, None, rows)
+    # dense numbers: blocks of ``block`` numbers; sparse ones: as wide as hold that many rows
+    return Order(tuple(keys), by, max(block, int(span) * block // rows), rows)
 
 
 def settle(df: DataFrame, order: Order) -> DataFrame:

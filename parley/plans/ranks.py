@@ -133,9 +133,9 @@ def key_range(df: DataFrame, key: str, first: int, last: int, digits: int = DIGI
 def running_rows(cells: DataFrame, groups: Sequence[str], cell: str) -> DataFrame:
     """Rows before every integer cell, in two levels so that no task sees all cells.
 
-    The counts, one small row per cell, are kept: both levels read them.
+    Both levels read the counts, one small row per cell.
     """
-    upper = cells.withColumn("__super", F.floor(F.col(cell) / _SUPER)).persist()
+    upper = cells.withColumn("__super", F.floor(F.col(cell) / _SUPER))
     low = Window.partitionBy(*groups, "__super").orderBy(cell)
     supers = rows_before(
         upper.groupBy(*groups, "__super").agg(F.sum("__rows").alias("__rows")), groups, "__super"
@@ -171,7 +171,7 @@ def newest_rows(df: DataFrame, by: str, n: int, block: int = BLOCK) -> DataFrame
     block are sorted, and the wide rows are just compared with the one number found.
     """
     cut = df.select(by, F.floor(F.col(by) / block).alias("__cell"))
-    counts = cut.groupBy(-F.col("__cell")).agg(F.count("*").alias("__rows")).toDF("__cell", "__rows").persist()
+    counts = cut.groupBy(-F.col("__cell")).agg(F.count("*").alias("__rows")).toDF("__cell", "__rows")
     edge = (
         running_rows(counts, (), "__cell")
         .join(counts, "__cell")

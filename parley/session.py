@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -35,10 +36,16 @@ def local_session(cpus: int | str = "*", app: str = "parley", shuffle: int = 8)
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names for checkpoints and working tables.
 
-    A folder of our own is taken only where ``spark.checkpoint.dir`` is unset, as in tests.
+    A folder of our own is taken only where ``spark.checkpoint.dir`` is unset and driver and
+    executors are one process, as in tests: elsewhere executors could not see it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="parley-")
+    if named:
+        return named
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="parley-")
 
 
 def checkpoint_ready(spark: SparkSession) -> None:

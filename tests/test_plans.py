@@ -85,7 +85,23 @@ def test_pairing(spark, skewed, block):
 def test_measure_looks_at_the_longest_group(spark, skewed):
     df = spark.createDataFrame(skewed, "k int, turn bigint, role string, text string")
     assert measure(df, ["k"], "turn").block is None
-    assert measure(df, ["k"], "turn", 100).block == 100
+    order = measure(df, ["k"], "turn", 100)
+    longest = max(len(rows) for rows in groups(skewed).values())
+    assert order.longest == longest and order.block >= 100
+    most = order.cells(df).groupBy(*order.cell_keys).count().agg({"count": "max"}).first()[0]
+    assert most <= 200  # blocks of sparse numbers still hold about as many rows
+
+
+def test_measure_of_milliseconds(spark):
+    """Large order numbers alone do not make blocks; a long group gets blocks of about BLOCK rows."""
+    start = 1_700_000_000_000
+    few = spark.range(1_000).select((F.col("id") % 7).alias("k"), (F.col("id") * 977 + start).alias("at"))
+    assert measure(few, ["k"], "at").block is None
+    many = spark.range(3_000).select(F.lit(1).alias("k"), (F.col("id") * 977 + start).alias("at"))
+    order = measure(many, ["k"], "at", 500)
+    assert order.cells(many).select(*order.cell_keys).distinct().count() <= 8
+    got = number(many, order, "n").orderBy("at").select("n").collect()
+    assert [r["n"] for r in got] == list(range(1, 3_001))
 
 
 @pytest.fixture(scope="module")

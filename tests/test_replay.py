@@ -108,12 +108,25 @@ def test_switch_replay(spark, use_remainder):
     assert got[1]["prompt"].endswith(
         f"</s>\n<|user|>\n{said}</s>\n<|assistant|>\nok</s>\n<|user|>\nnow?</s>\n<|assistant|>\n"
     )
-    with pytest.raises(ValueError):
-        replay.switch_replay(df, Order(("session",), "turn", 1))
+    assert [r["part"] for r in got] == [0, 0]
     bounded = replay.switch_replay(df, Order(("session",), "turn", 1), use_remainder=use_remainder, pairs=12)
     assert [r["prompt"] for r in bounded.orderBy("turn").collect()] == [r["prompt"] for r in got]
 
 
+@pytest.mark.parametrize("block", [None, 4])
+def test_history_parts(spark, block):
+    rows = [("s", 2 * i, f"u{i}", f"a{i}") for i in range(11)] + [("t", 5, "x", None)]
+    df = spark.createDataFrame(rows, "session string, turn int, user string, assistant string")
+    line = F.concat_ws("/", "user", "assistant")
+    got = replay.history_parts(df, Order(("session",), "turn", block), line, part=3).orderBy("session", "turn", "part").collect()
+    want = []
+    for i in range(11):
+        for p in range(i // 3 + 1):
+            want.append(("s", 2 * i, p, i // 3, "".join(f"u{j}/a{j}" for j in range(3 * p, min(3 * p + 3, i)))))
+    want.append(("t", 5, 0, 0, ""))
+    assert [(r["session"], r["turn"], r["part"], r["last"], r["told"]) for r in got] == want
+
+
 def messages(spark):
     """Chat of five sessions, one of them long, with gaps in the pairing."""
     rows = []
