@@ -43,10 +43,12 @@ def rows_of(names, rows):
     return sorted(tuple(plain(r[i]) for i in order) for r in rows)
 
 
-def connect(folder):
+def connect(folder, inside=""):
+    """``inside`` is the pattern of files where the conversations are a folder of them."""
     con = duckdb.connect()
     for name in TABLES:
-        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+        path = f"{folder}/{name}.parquet" + (inside if name == "conversations" else "")
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{path}'")
     return con
 
 
