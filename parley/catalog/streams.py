@@ -8,7 +8,7 @@ from parley.catalog.base import aggressive_sql, query, squeeze_sql, table, with_
 from parley.catalog.chats import _POINTS, _STATE_COLUMNS, AFRICA, NL, PAIRS, _profiles, _states_sql
 from parley.catalog.records import SYS
 from parley.session import working_folder
-from parley.sources.tables import load_snapshot
+from parley.sources.snapshots import load_snapshot, load_view
 from parley.streaming import jobs, sessions
 
 
@@ -72,7 +72,7 @@ def stream_store_view(spark, sf):
     changes = _stream(spark, sf, "events").select("user_id", "event_id", "event_type")
     folder = working_folder(spark, "view")
     jobs.keep_view(changes, f"{folder}/view", f"{folder}/state", "user_id", "event_id").awaitTermination()
-    return load_snapshot(spark, f"{folder}/view", changes.schema)
+    return load_view(spark, f"{folder}/view", changes.schema)
 
 
 @query(

@@ -1,4 +1,4 @@
-"""Profiles, turn scripts, logs, run records, attachments and table snapshots."""
+"""Profiles, turn scripts, logs, run records and attachments."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from parley import fixed
 from parley.functions.text import attachment_block, strip
 
 LOG = "ts timestamp, user_id string, character string, user string, assistant string, quality_score double"
-VERSION = "snapshot"
 
 
 def read_profiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,41 +101,3 @@ def read_attachments(spark: SparkSession, path: str, limit: int = fixed.ATTACHME
     files = spark.read.format("binaryFile").load(path)
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     return files.select("path", name.alias("name"), attachment_block(name, F.col("content"), limit).alias("block"))
-
-
-def _versions(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    full = T.StructType([*schema.fields, T.StructField(VERSION, T.LongType())])
-    return spark.read.schema(full).option("basePath", folder).parquet(folder)
-
-
-def last_version(spark: SparkSession, folder: str, before: int | None = None) -> int | None:
-    """Highest complete snapshot number of a table (names of folders only)."""
-    try:
-        table = _versions(spark, folder, T.StructType([]))
-        if before is not None:
-            table = table.where(F.col(VERSION) < before)
-        return table.agg(F.max(VERSION)).first()[0]
-    except Exception:  # noqa: BLE001 - no table yet, or none that can be read
-        return None
-
-
-def save_snapshot(rows: DataFrame, folder: str, version: int | None = None) -> int:
-    """Write a new version of a table next to the old ones and return its number.
-
-    Readers keep the version they have; a failed write leaves the older versions untouched.
-    Saving a given version again replaces it, so a repeated batch is harmless.
-    """
-    if version is None:
-        version = (last_version(rows.sparkSession, folder) or 0) + 1
-    rows.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{VERSION}={version}")
-    return version
-
-
-def load_snapshot(
-    spark: SparkSession, folder: str, schema: T.StructType, before: int | None = None
-) -> DataFrame:
-    """The newest version (below ``before``); an empty table where none can be read."""
-    version = last_version(spark, folder, before)
-    if version is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{folder.rstrip('/')}/{VERSION}={version}")

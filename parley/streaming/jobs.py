@@ -16,10 +16,10 @@ from pyspark.sql.streaming import StreamingQuery
 from parley import fixed
 from parley.functions.records import map_chat_record
 from parley.operators.memory import keep_capacity, remember
-from parley.operators.store import upsert
 from parley.operators.validate import curate, validate_rows
 from parley.sources.files import CORRUPT, parse_json_lines
-from parley.sources.tables import LOG, load_snapshot, save_snapshot
+from parley.sources.snapshots import load_snapshot, save_snapshot, save_view
+from parley.sources.tables import LOG
 
 FILES_PER_BATCH = 1_000
 
@@ -42,12 +42,31 @@ def append_to(rows: DataFrame, target: str, checkpoint: str, kind: str = "parque
 def corpus_texts(
     lines: DataFrame, max_turns: int = fixed.MAX_TURNS, max_chars: int = fixed.MAX_CHARS
 ) -> DataFrame:
-    """Validated training texts of JSON lines as they arrive; rows of no known shape are left out."""
-    records = parse_json_lines(lines)
-    known = map_chat_record(records.where(F.col(CORRUPT).isNull())).where(F.col("turns").isNotNull())
+    """Validated training texts of JSON lines as they arrive. ``corpus_rejects`` has the other lines."""
+    records = map_chat_record(parse_json_lines(lines))
+    known = records.where(F.col(CORRUPT).isNull() & F.col("turns").isNotNull())
     return validate_rows(known, max_turns, max_chars).select("system", "turns", "text")
 
 
+def corpus_rejects(lines: DataFrame) -> DataFrame:
+    """(path, value, reason) of the lines that ``corpus_texts`` cannot use; run both on one source."""
+    path = F.col("path") if "path" in lines.columns else F.lit(None).cast("string")
+    kept = lines.withColumns({"__path": path, "__value": F.col("value")})
+    records = map_chat_record(parse_json_lines(kept.drop("path")))
+    reason = F.when(F.col(CORRUPT).isNotNull(), "not a JSON object").when(F.col("turns").isNull(), "no known shape")
+    return records.select(F.col("__path").alias("path"), F.col("__value").alias("value"), reason.alias("reason")).where(
+        F.col("reason").isNotNull()
+    )
+
+
+def strict_corpus_texts(lines: DataFrame, **limits) -> DataFrame:
+    """As ``corpus_texts``, but the first line that cannot be used fails the batch."""
+    records = map_chat_record(parse_json_lines(lines.withColumn("__value", F.col("value"))))
+    bad = F.col(CORRUPT).isNotNull() | F.col("turns").isNull()
+    wrong = F.raise_error(F.concat(F.lit("unusable corpus line: "), F.col("__value"))).cast("boolean")
+    return validate_rows(records.where(F.when(bad, wrong).otherwise(True)), **limits).select("system", "turns", "text")
+
+
 def curated_logs(logs: DataFrame, min_score: float = fixed.MIN_LOG_SCORE) -> DataFrame:
     return curate(logs, min_score)
 
@@ -84,15 +103,12 @@ def keep_memory(
 def keep_view(
     changes: DataFrame, folder: str, checkpoint: str, key: str, version: str, **trigger
 ) -> StreamingQuery:
-    """Maintain a store table: every batch of changes writes a new version of it.
+    """Maintain a store table: every batch of changes rewrites the buckets of its keys.
 
     The table keeps the ``version`` column, so a late change never replaces a newer row.
     """
-    schema = changes.schema
 
     def work(batch: DataFrame, number: int) -> None:
-        held = load_snapshot(batch.sparkSession, folder, schema, before=number + 1)
-        touched = held.join(batch.select(key).distinct(), key, "left_semi")
-        save_snapshot(upsert(held, batch.unionByName(touched), key, version), folder, number + 1)
+        save_view(batch, folder, key, version, number + 1)
 
     return _each_batch(changes, work, checkpoint, trigger)

@@ -177,7 +177,7 @@ def test_stream_of_files_and_views(spark, tmp_path):
     jobs.append_to(kept, str(tmp_path / "kept"), str(tmp_path / "c2"), "json").awaitTermination()
     assert [r["user"] for r in spark.read.json(str(tmp_path / "kept")).collect()] == ["0.8"]
 
-    from parley.sources.tables import load_snapshot
+    from parley.sources.snapshots import load_view
 
     schema = "id string, title string, at bigint"
     changes = tmp_path / "changes"
@@ -187,7 +187,7 @@ def test_stream_of_files_and_views(spark, tmp_path):
         text = "\n".join(json.dumps(dict(zip(("id", "title", "at"), r))) for r in rows)
         (changes / f"{i}.json").write_text(text)
         jobs.keep_view(view, str(tmp_path / "view"), str(tmp_path / "c3"), "id", "at").awaitTermination()
-    held = load_snapshot(spark, str(tmp_path / "view"), view.schema).orderBy("id").collect()
+    held = load_view(spark, str(tmp_path / "view"), view.schema).orderBy("id").collect()
     assert [tuple(r) for r in held] == [("a", "2", 3), ("b", "1", 1), ("c", "1", 4)]
 
 

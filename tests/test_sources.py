@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from parley import fixed
 from parley.operators.replay import synthesize_profiles
 from parley.operators.validate import refuse_rejects, valid_profiles
-from parley.sources import files, tables
+from parley.sources import files, snapshots, tables
 
 
 def write(path, text):
@@ -163,12 +163,49 @@ def test_logs_round_trip(spark, tmp_path):
 def test_snapshots(spark, tmp_path):
     folder = str(tmp_path / "memory")
     df = spark.createDataFrame([(1, "a", {"k": "v"})], "seq bigint, text string, meta map<string,string>")
-    assert tables.load_snapshot(spark, folder, df.schema).isEmpty()
-    assert tables.save_snapshot(df, folder) == 1
-    assert tables.save_snapshot(df.union(df), folder) == 2
-    assert tables.load_snapshot(spark, folder, df.schema).count() == 2
-    assert tables.load_snapshot(spark, folder, df.schema, before=2).count() == 1
-    assert tables.save_snapshot(df, folder, 2) == 2
-    assert tables.load_snapshot(spark, folder, df.schema).first()["meta"] == {"k": "v"}
-    broken = write(tmp_path / "other/snapshot=1/part-0.parquet", "junk")
-    assert tables.load_snapshot(spark, os.path.dirname(os.path.dirname(broken)), df.schema) is not None
+    assert snapshots.load_snapshot(spark, folder, df.schema).isEmpty()
+    assert snapshots.save_snapshot(df, folder) == 1
+    assert snapshots.save_snapshot(df.union(df), folder) == 2
+    assert snapshots.load_snapshot(spark, folder, df.schema).count() == 2
+    assert snapshots.load_snapshot(spark, folder, df.schema, before=2).count() == 1
+    assert snapshots.save_snapshot(df, folder, 2) == 2
+    assert snapshots.load_snapshot(spark, folder, df.schema).first()["meta"] == {"k": "v"}
+    # an empty version is a version
+    assert snapshots.save_snapshot(df.limit(0), folder) == 3
+    assert snapshots.load_snapshot(spark, folder, df.schema).isEmpty()
+    assert snapshots.versions(spark, folder) == [2, 3]
+
+
+def test_unreadable_snapshots(spark, tmp_path):
+    schema = "seq bigint, text string"
+    df = spark.createDataFrame([(1, "a")], schema)
+    # a write that never ended is no version
+    write(tmp_path / "half/snapshot=1/part-0.parquet", "junk")
+    assert snapshots.load_snapshot(spark, str(tmp_path / "half"), df.schema).isEmpty()
+    # one that ended and cannot be read is an error, and nothing is written over it
+    folder = str(tmp_path / "broken")
+    write(tmp_path / "broken/snapshot=1/part-0.parquet", "junk")
+    write(tmp_path / "broken/snapshot=1/_SUCCESS", "")
+    with pytest.raises(Exception):
+        snapshots.load_snapshot(spark, folder, df.schema).collect()
+    assert snapshots.load_snapshot_or_empty(spark, folder, df.schema).isEmpty()
+
+
+def test_views_rewrite_touched_buckets(spark, tmp_path):
+    folder, kept = str(tmp_path / "view"), {}
+    caches = spark.sparkContext._jsc.getPersistentRDDs().size()
+    for number in range(1, 11):
+        rows = [(k, number if k % 3 else 10 - number, f"{number}") for k in range(number, 40, number)]
+        for k, at, text in rows:
+            if k not in kept or at >= kept[k][0]:
+                kept[k] = (at, text)
+        changes = spark.createDataFrame(rows, "id bigint, at int, text string")
+        snapshots.save_view(changes, folder, "id", "at", number, buckets=8)
+        if number == 4:  # a repeated batch changes nothing
+            snapshots.save_view(changes, folder, "id", "at", number, buckets=8)
+    got = {r["id"]: (r["at"], r["text"]) for r in snapshots.load_view(spark, folder, changes.schema).collect()}
+    assert got == kept
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == caches
+    assert snapshots.versions(spark, f"{folder}/manifest") == [9, 10]
+    files = [p for p in (tmp_path / "view/data").rglob("bucket=*")]
+    assert len(files) <= 16  # two versions' worth
