@@ -72,7 +72,7 @@ def require_rows(df: DataFrame, what: str = "dataset is empty after validation")
 
 def split_rejects(rows: DataFrame, corrupt: str = "_corrupt_record") -> tuple[DataFrame, DataFrame]:
     """(valid, rejects): rows that could not be parsed or have no known shape, with a reason."""
-    no_turns = F.when(F.col("turns").isNull(), F.lit("no system/user/assistant and no messages"))
+    no_turns = F.when(F.col("turns").isNull(), F.lit("record of no known shape"))
     reason = no_turns
     if corrupt in rows.columns:
         reason = F.coalesce(F.when(F.col(corrupt).isNotNull(), F.lit("malformed row")), no_turns)

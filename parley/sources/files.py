@@ -86,7 +86,7 @@ def parse_json_lines(lines: DataFrame) -> DataFrame:
 
 def read_json_lines(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
     """``numbered`` adds the line number ``row_no``, which costs a shuffle."""
-    lines = read_lines(spark, path, *_matching(path, JSON_LINES))
+    lines = read_lines(spark, path, *_matching(spark, path, JSON_LINES))
     return parse_json_lines(with_line_numbers(lines) if numbered else lines)
 
 
@@ -96,7 +96,7 @@ def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
     Such a file cannot be split, so one file is one row until its records are exploded.
     """
     reader = spark.read
-    if _matching(path, JSON_DOCUMENT):
+    if _matching(spark, path, JSON_DOCUMENT):
         reader = reader.option("pathGlobFilter", _glob("json"))
     whole = reader.text(path, wholetext=True).select(
         strip(F.col("value")).alias("value"), F.col("_metadata.file_path").alias("path")
@@ -107,34 +107,55 @@ def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
         "value", T.StructType([T.StructField("data", records)]), {"mode": "FAILFAST"}
     )["data"]
     wrong = F.raise_error(
-        F.concat(F.lit("JSON must be an array of objects or an object with a 'data' array: "), F.col("path"))
+        F.concat(F.lit("neither a list of records nor an object with such a list under data: "), F.col("path"))
     ).cast(records)
     found = F.when(F.startswith("value", F.lit("[")), listed).when(F.startswith("value", F.lit("{")), wrapped)
     rows = whole.select("path", F.posexplode(F.coalesce(found, wrong)).alias("row_id", "r"))
     checked = F.when(
         F.col("r").isNull(),
-        F.raise_error(F.concat(F.lit("JSON array must contain objects: "), F.col("path"))).cast(RECORD),
+        F.raise_error(F.concat(F.lit("a record of the list is no object: "), F.col("path"))).cast(RECORD),
     ).otherwise(F.col("r"))
     return rows.select("path", F.col("row_id").cast("bigint").alias("row_id"), checked.alias("r")).select(
         *[F.col(f"r.{f.name}").alias(f.name) for f in RECORD.fields], "path", "row_id"
     )
 
 
-def read_delimited(spark: SparkSession, path: str, ending: str) -> DataFrame:
-    """Records of CSV or TSV files with a header; an empty cell is an empty text, not a missing key."""
-    reader = spark.read.options(
-        header=True, sep=DELIMITED[ending], multiLine=True, escape='"', inferSchema=False
-    )
-    if _matching(path, (ending,)):
-        reader = reader.option("pathGlobFilter", _glob(ending))
-    rows = reader.csv(path)
-    keys = [c for c in rows.columns if c in RECORD.fieldNames()]
-    named = rows.na.fill("").select(
-        *keys,
-        F.col("_metadata.file_path").alias("path"),
-        F.monotonically_increasing_id().alias("row_id"),
-    )
-    return with_record_keys(named)
+def _header_groups(spark: SparkSession, path: str, ending: str) -> list[list[str]]:
+    """Files of a folder in groups of the same header line (names and first lines come to the driver)."""
+    lines = read_lines(spark, path, *_matching(spark, path, (ending,))).where(F.col("block") == 0)
+    heads = lines.groupBy("path").agg(F.min_by("value", "row_id").alias("head"))
+    groups = heads.groupBy("head").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    return [r["paths"] for r in groups.orderBy("head").collect()]
+
+
+def read_delimited(spark: SparkSession, path: str, ending: str, quoted_newlines: bool = True) -> DataFrame:
+    """Records of CSV or TSV files, each read by its own header; an empty cell is an empty text.
+
+    A file with line ends inside quotes cannot be split; without them (``quoted_newlines=False``)
+    one long file is many tasks.
+    """
+    options = {"header": True, "sep": DELIMITED[ending], "multiLine": quoted_newlines, "escape": '"', "inferSchema": False}
+    parts = []
+    for paths in _header_groups(spark, path, ending):
+        rows = spark.read.options(**options).csv(paths)
+        keys = [c for c in rows.columns if c in RECORD.fieldNames()]
+        named = rows.na.fill("").select(
+            *keys,
+            F.col("_metadata.file_path").alias("path"),
+            F.monotonically_increasing_id().alias("row_id"),
+        )
+        parts.append(with_record_keys(named))
+    if not parts:  # no file, or only empty ones
+        schema = T.StructType([*RECORD.fields, T.StructField("path", T.StringType()), T.StructField("row_id", T.LongType())])
+        return spark.createDataFrame([], schema)
+    return concatenate(parts)
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    """Asked of the file system: a folder may have a dot in its name, and a file none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(place) and files.getFileStatus(place).isDirectory()
 
 
 def _ending(path: str) -> str:
@@ -142,14 +163,14 @@ def _ending(path: str) -> str:
     return name.rsplit(".", 1)[-1].lower() if "." in name else ""
 
 
-def _matching(path: str, endings: tuple[str, ...]) -> tuple[str, ...]:
+def _matching(spark: SparkSession, path: str, endings: tuple[str, ...]) -> tuple[str, ...]:
     """Endings to filter a folder by; none for a single file, whose path says it all."""
-    return () if _ending(path) in ENDINGS else endings
+    return endings if _is_folder(spark, path) or _ending(path) not in ENDINGS else ()
 
 
 def _read_as(spark: SparkSession, path: str, ending: str) -> DataFrame:
     if ending in JSON_LINES:
-        return parse_json_lines(read_lines(spark, path, *_matching(path, (ending,))))
+        return parse_json_lines(read_lines(spark, path, *_matching(spark, path, (ending,))))
     if ending in JSON_DOCUMENT:
         return read_json_documents(spark, path)
     return read_delimited(spark, path, ending)
@@ -168,10 +189,11 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     if not path:
         raise ValueError("a corpus path is required")
     ending = _ending(path)
-    if ending in ENDINGS:
-        return concatenate([_read_as(spark, path, ending)])
-    if ending:
-        raise ValueError(f"unsupported corpus format: .{ending}")
+    if not _is_folder(spark, path):
+        if ending in ENDINGS:
+            return concatenate([_read_as(spark, path, ending)])
+        if ending:
+            raise ValueError(f"no reader for files that end in .{ending}")
     endings = folder_endings(spark, path)
     if not endings:
         raise ValueError(f"no corpus files in folder: {path}")

@@ -29,7 +29,7 @@ def test_json_lines_and_rejects(spark, tmp_path):
     rows, rejects = files.load_rows(spark, path)
     assert users(rows) == ["u0", "u1"]
     assert sorted(r["reason"] for r in rejects.collect()) == ["malformed row"] * 3 + [
-        "no system/user/assistant and no messages"
+        "record of no known shape"
     ]
     numbered = files.read_json_lines(spark, path, numbered=True)
     bad = numbered.where(F.col(files.CORRUPT).isNotNull()).select("row_no").collect()
@@ -71,6 +71,25 @@ def test_delimited(spark, tmp_path):
     assert users(files.load_rows(spark, str(tmp_path / "f.tsv"))[0]) == ["u3"]
 
 
+def test_headers_differ(spark, tmp_path):
+    """Every file by its own header, columns in any order."""
+    write(tmp_path / "c/a.csv", "system,user,assistant\ns,u1,a1\n")
+    write(tmp_path / "c/b.csv", "assistant,user\na2,u2\na3,u3\n")
+    write(tmp_path / "c/empty.csv", "")
+    for multi in (True, False):
+        rows = files.read_delimited(spark, str(tmp_path / "c"), "csv", multi)
+        assert sorted((r["system"] or "", r["user"], r["assistant"]) for r in rows.collect()) == [
+            ("", "u2", "a2"), ("", "u3", "a3"), ("s", "u1", "a1"),
+        ]
+
+
+def test_folder_with_a_dot(spark, tmp_path):
+    write(tmp_path / "corpus.v2/a.jsonl", json.dumps(FLAT[0]))
+    write(tmp_path / "corpus.csv/b.csv", "user,assistant\nu9,a9\n")
+    assert users(files.load_rows(spark, str(tmp_path / "corpus.v2"))[0]) == ["u0"]
+    assert users(files.load_rows(spark, str(tmp_path / "corpus.csv"))[0]) == ["u9"]
+
+
 def test_folder_of_all_formats(spark, tmp_path):
     write(tmp_path / "a.JSONL", json.dumps(FLAT[0]) + "\n")
     write(tmp_path / "b.jl", json.dumps({"messages": [{"role": "user", "content": "m"}, {"role": "assistant", "content": "x"}]}))
