@@ -14,6 +14,8 @@ from parley.operators import pairing, replay
 from parley.operators import prompts as P
 from parley.plans.folds import measure
 from parley.plans.once import once
+from parley.plans.ranks import number_rows
+from parley.session import cut_lineage
 
 NL = "chr(10)"
 PAIRS = f"{CHAT}, {pairs_sql('chat', 'p0')}, pairs AS (SELECT *, conv_id % 10 AS user_id FROM p0)"
@@ -464,8 +466,9 @@ def fallback_prompts(spark, sf):
 @query("turn_prompts_with_memory")
 def turn_prompts_with_memory(spark, sf):
     turns, order = _turns(spark, sf)
-    seq = F.col("turn") * 1_000_000 + F.col("conv_id")
-    prompts = P.replay_prompts(turns, _profiles(spark, sf), order, seq, initial_name=AFRICA)
+    # the order in which all users' turns come in: by turn, then conversation
+    numbered = number_rows(turns, [F.col("turn"), F.col("conv_id")], "said_at")
+    prompts = P.replay_prompts(numbered, _profiles(spark, sf), order, F.col("said_at"), initial_name=AFRICA)
     return prompts.select("conv_id", "turn", "prompt")
 
 
@@ -552,12 +555,13 @@ def memory_candidates(spark, sf):
 @query(
     "memory_capacity",
     f"WITH {_states_sql('CURRENT ROW')} SELECT seq, user_id, m AS text, character_id || ' ' || (points / 10.0) AS meta FROM "
-    f"(SELECT *, {_POINTS} AS points, conv_id * 1000 + turn AS seq FROM (SELECT *, {squeeze_sql('u')} AS m FROM states)) "
+    f"(SELECT *, {_POINTS} AS points, row_number() OVER (ORDER BY conv_id, turn) AS seq FROM (SELECT *, {squeeze_sql('u')} AS m FROM states)) "
     "WHERE m <> '' AND points >= 3 ORDER BY seq DESC LIMIT 30",
 )
 def memory_capacity(spark, sf):
-    seq = F.col("conv_id") * 1000 + F.col("turn")
-    memory = M.remember(_states(spark, sf, before=False), seq, seq)
+    states = number_rows(_states(spark, sf, before=False), [F.col("conv_id"), F.col("turn")], "seq")
+    # read for the capacity and for the rows
+    memory = cut_lineage(M.remember(states, F.col("seq"), F.col("seq")))
     meta = F.concat_ws(" ", F.col("meta")["character"], F.col("meta")["score"])
     return M.keep_capacity(memory, 30).select("seq", "user_id", "text", meta.alias("meta"))
 
@@ -651,6 +655,6 @@ def embed_texts(spark, sf):
 @query("rebuild_memory_vectors")
 def rebuild_memory_vectors(spark, sf):
     turns, _ = _turns(spark, sf)
-    seq = F.col("conv_id") * 1000 + F.col("turn")
-    memory = M.remember(turns.withColumn("character_id", F.lit("wizard")), seq, seq)
+    numbered = number_rows(turns.withColumn("character_id", F.lit("wizard")), [F.col("conv_id"), F.col("turn")], "seq")
+    memory = M.remember(numbered, F.col("seq"), F.col("seq"))
     return M.rebuild_vectors(memory).select("mem_id", "user_id", "text", "vec")

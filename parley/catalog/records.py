@@ -21,6 +21,7 @@ from parley.operators import pairing, validate
 from parley.operators.sampling import split_rows
 from parley.plans.folds import Order, carry, last_rows, measure
 from parley.plans.once import once
+from parley.session import cut_lineage
 
 NL = "chr(10)"
 SYS = fixed.CHAT_SYSTEM.replace("'", "''")
@@ -66,12 +67,13 @@ def sft_split_counts(spark, sf):
         once(_pairs(spark, sf), "sft", R.sft_example(F.col("user"), F.col("assistant")))
         .where(F.col("sft").isNotNull())
         .where(render.valid_turn(F.col("user"), F.col("sft.response")))
-        .select("conv_id", "turn", F.col("sft.text").alias("text"))
+        .select("conv_id", "turn", F.length("sft.text").alias("size"))
     )
+    # the split looks at its rows several times: the texts are made once, their lengths kept
     return (
-        split_rows(good, 0.1, "conv_id", "turn")
+        split_rows(cut_lineage(good), 0.1, "conv_id", "turn")
         .groupBy("split")
-        .agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars"))
+        .agg(F.count("*").alias("rows"), F.sum("size").alias("chars"))
     )
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from parley import fixed
 from parley.plans.sizes import checked_broadcast
-from parley.session import checkpoint_ready
+from parley.session import checkpoint_ready, cut_lineage
 
 DIGITS = 3
 BLOCK = 65_536
@@ -30,6 +30,14 @@ def seeded_key(*ids: Column, seed: int = fixed.SEED) -> Column:
     return F.md5(F.concat_ws("-", F.lit(str(seed)), *ids).cast("binary"))
 
 
+def digits_for(rows: int, cell: int = BLOCK) -> int:
+    """Leading digits after which about ``cell`` keys of ``rows`` are left."""
+    digits = 1
+    while rows > cell * 16**digits:
+        digits += 1
+    return digits
+
+
 def rows_before(cells: DataFrame, groups: Sequence[str], cell: str) -> DataFrame:
     """(groups, cell, __before, __rows): rows in earlier cells of the group, exclusive."""
     earlier = Window.partitionBy(*groups, F.lit(0)).orderBy(cell)
@@ -70,9 +78,11 @@ def cutoff_keys(
 ) -> DataFrame:
     """One row per group: ``__cutoff``, the key of rank ``n`` (null where the group is smaller).
 
-    ``n`` may use ``__total``, the rows of the group. Only narrow key columns are read, and only
-    the keys of one histogram cell per group are sorted.
+    ``n`` may use ``__total``, the rows of the group. The keys are computed once, and only those
+    of one histogram cell per group are sorted.
     """
+    df = cut_lineage(df.select(*groups, key))
+    digits = max(digits, digits_for(df.count()))
     whole = Window.partitionBy(*groups, F.lit(0))
     cells = (
         histogram(df, key, groups, digits)
@@ -170,7 +180,7 @@ def newest_rows(df: DataFrame, by: str, n: int, block: int = BLOCK) -> DataFrame
     Rows per block tell in which block the n-th newest row lies; only the order numbers of that
     block are sorted, and the wide rows are just compared with the one number found.
     """
-    cut = df.select(by, F.floor(F.col(by) / block).alias("__cell"))
+    cut = cut_lineage(df.select(by, F.floor(F.col(by) / block).alias("__cell")))
     counts = cut.groupBy(-F.col("__cell")).agg(F.count("*").alias("__rows")).toDF("__cell", "__rows")
     edge = (
         running_rows(counts, (), "__cell")

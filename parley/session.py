@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", app: str = "parley", shuffle: int = 8) -> SparkSession:
@@ -54,6 +54,12 @@ def checkpoint_ready(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows computed once and kept in the checkpoint folder, for several passes over them."""
+    checkpoint_ready(df.sparkSession)
+    return df.checkpoint()
+
+
 def working_folder(spark: SparkSession, name: str) -> str:
     """A new folder for one run, in the shared one."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
