@@ -410,18 +410,23 @@ _STORED = (
     f"'Motivations: peace of ' || r || {NL} || CASE WHEN k <> 1 THEN 'Behavior rules: rule of ' || r || {NL} ELSE '' END || "
     f"'{fixed.KEEP_CHARACTER_LINE}'"
 )
-_PROMPT = f"""
+def _prompt_sql(states: str = "states", memory: str = "'(none)'") -> str:
+    """CTEs ending in ``whole``: the prompt of every row of ``states``."""
+    return f"""
     texts AS (SELECT s.*, CASE WHEN starts_with(character_id, 'dynamic/') THEN {_MADE} ELSE {_STORED} END AS who
-      FROM states s LEFT JOIN profiles p ON s.character_id = p.id),
+      FROM {states} s LEFT JOIN profiles p ON s.character_id = p.id),
     whole AS (SELECT *, '<|system|>' || {NL} || '{fixed.CHAT_SYSTEM}' || {NL} || {NL} || 'CHARACTER:' || {NL} || who
       || {NL} || {NL} || 'EMOTION STATE:' || {NL} || character_id || ': ' || emotion || {NL} || {NL} || 'WORLD STATE:' || {NL}
       || 'location: ' || location || {NL} || 'time: ' || time || {NL} || 'characters_present: ' || character_name || {NL}
       || 'current_event: ' || current_event || {NL} || 'story_progress: ' || story_progress || {NL} || 'facts:' || {NL}
-      || '(none)' || {NL} || {NL} || 'MEMORY:' || {NL} || '(none)' || {NL} || {NL} || 'CHAT HISTORY:' || {NL}
+      || '(none)' || {NL} || {NL} || 'MEMORY:' || {NL} || {memory} || {NL} || {NL} || 'CHAT HISTORY:' || {NL}
       || coalesce(nullif(hist_text, ''), '(none)') || {NL} || {NL} || '<|user|>' || {NL} || u || {NL} || '<|assistant|>'
       || {NL} AS prompt FROM texts)"""
 
 
+_PROMPT = _prompt_sql()
+
+
 @query(
     "turn_prompts",
     f"WITH {_states_sql('1 PRECEDING')}, {_PROMPT} SELECT conv_id, turn, prompt FROM whole",
@@ -463,7 +468,49 @@ def fallback_prompts(spark, sf):
     return prompts.where(F.col("character_id") == "wizard").select("conv_id", "turn", "prompt")
 
 
-@query("turn_prompts_with_memory")
+_POINTS = (
+    "least(10, "
+    + " + ".join(
+        f"regexp_matches(m, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_]){p}(?:$|[^\\p{{L}}\\p{{N}}_])')::INT * 2"
+        for p in fixed.IMPORTANT_PHRASES
+    )
+    + " + (length(m) > 80)::INT + (strpos(m, '?') = 0)::INT)"
+)
+
+
+def embedded_sql(source: str, name: str) -> str:
+    """CTE ``name`` (id, e): vectors of the texts ``t`` of ``source``, as ``embed`` makes them."""
+    place = f"CAST('0x' || substr(md5(w), 1, 7) AS BIGINT) % {fixed.MEMORY_DIM}"
+    return (
+        f"{name}_n AS (SELECT id, b, count(*) AS c FROM (SELECT id, {place} AS b FROM (SELECT id, "
+        f"unnest(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM {source})) GROUP BY id, b), "
+        f"{name}_m AS (SELECT id, map(list(b), list(c)) AS places, sqrt(sum(c * c)) AS size FROM {name}_n GROUP BY id), "
+        f"{name} AS (SELECT s.id, list_transform(range({fixed.MEMORY_DIM}), lambda b: "
+        f"CAST(coalesce(places[b], 0) / coalesce(size, 1) AS FLOAT)) AS e FROM {source} s LEFT JOIN {name}_m v ON s.id = v.id)"
+    )
+
+
+@query(
+    "turn_prompts_with_memory",
+    f"""
+    WITH {_states_sql('1 PRECEDING')},
+    said AS (SELECT *, row_number() OVER (ORDER BY turn, conv_id) AS seq FROM states),
+    asked AS (SELECT seq AS id, u AS t, user_id FROM said WHERE u <> ''),
+    scored AS (SELECT *, {_POINTS} AS points FROM (SELECT seq AS id, user_id, {squeeze_sql('u')} AS m FROM said)),
+    kept AS (SELECT id, m AS t, user_id FROM scored WHERE m <> '' AND points >= 3),
+    {embedded_sql('asked', 'qv')}, {embedded_sql('kept', 'mv')},
+    gaps AS (SELECT q.id AS query_id, m.id AS mem_id,
+      round(list_sum(list_transform(list_zip(q.e, m.e), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)), 9) AS gap
+      FROM qv q JOIN mv m ON m.id < q.id),
+    near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gap, mem_id) AS rn FROM gaps)
+      WHERE rn <= 12),
+    mine AS (SELECT n.query_id, k.t, row_number() OVER (PARTITION BY n.query_id ORDER BY rn) AS place
+      FROM near n JOIN kept k ON n.mem_id = k.id JOIN asked a ON n.query_id = a.id AND a.user_id = k.user_id),
+    lists AS (SELECT query_id, string_agg('- ' || t, {NL} ORDER BY place) AS bullets FROM mine WHERE place <= 4
+      GROUP BY query_id),
+    told AS (SELECT s.*, coalesce(bullets, '(none)') AS bullets FROM said s LEFT JOIN lists ON seq = query_id),
+    {_prompt_sql('told', 'bullets')} SELECT conv_id, turn, prompt FROM whole""",
+)
 def turn_prompts_with_memory(spark, sf):
     turns, order = _turns(spark, sf)
     # the order in which all users' turns come in: by turn, then conversation
@@ -497,16 +544,6 @@ def _store_sql(gap: str, end: str) -> str:
     FROM told t LEFT JOIN best b ON t.conv_id = b.conv_id LEFT JOIN chars c ON c.id = 's' || t.conv_id"""
 
 
-_POINTS = (
-    "least(10, "
-    + " + ".join(
-        f"regexp_matches(m, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_]){p}(?:$|[^\\p{{L}}\\p{{N}}_])')::INT * 2"
-        for p in fixed.IMPORTANT_PHRASES
-    )
-    + " + (length(m) > 80)::INT + (strpos(m, '?') = 0)::INT)"
-)
-
-
 def _store_prompts(spark, sf, layout):
     turns, order = _turns(spark, sf)
     candidate = cues.memory_candidate(F.col("user"))
@@ -647,12 +684,21 @@ def memory_prompts(spark, sf):
     return joined.select(F.col("query_id").alias("vec_id"), prompt.alias("prompt"))
 
 
-@query("embed_texts")
+@query(
+    "embed_texts",
+    f"WITH src AS (SELECT doc_id AS id, text AS t FROM documents), {embedded_sql('src', 'v')} SELECT id AS doc_id, e AS vec FROM v",
+)
 def embed_texts(spark, sf):
     return embed(texts(spark, sf, "documents", "doc_id", "text")).select("doc_id", "vec")
 
 
-@query("rebuild_memory_vectors")
+@query(
+    "rebuild_memory_vectors",
+    f"WITH {PAIRS}, src AS (SELECT seq AS id, user_id, m AS t FROM (SELECT *, {_POINTS} AS points FROM (SELECT *, "
+    f"row_number() OVER (ORDER BY conv_id, turn) AS seq, {squeeze_sql('user_text')} AS m FROM pairs)) "
+    f"WHERE m <> '' AND points >= 3), {embedded_sql('src', 'v')} "
+    "SELECT src.id AS mem_id, user_id, t AS text, e AS vec FROM src JOIN v ON src.id = v.id",
+)
 def rebuild_memory_vectors(spark, sf):
     turns, _ = _turns(spark, sf)
     numbered = number_rows(turns.withColumn("character_id", F.lit("wizard")), [F.col("conv_id"), F.col("turn")], "seq")

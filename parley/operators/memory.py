@@ -19,6 +19,8 @@ from parley.session import checkpoint_ready
 
 TILE = 8_192
 QUERIES = 8_192
+#: Decimals of a squared distance that count; equal ones go by age, not by rounding.
+SAME = 9
 SEQ_BLOCK = 65_536
 
 
@@ -104,10 +106,10 @@ def _search(left: pa.Table, right: pa.Table, fetch: int, own_first: bool) -> pa.
         rough = np.where(open_, rough, np.inf)
         at = min(fetch, len(m)) - 1
         # the product rounds; whatever may be among the nearest is measured again
-        bound = np.partition(rough, at, axis=1)[:, at] + 1e-9
+        bound = np.partition(rough, at, axis=1)[:, at] + 10.0 ** (1 - SAME)
         i, index = np.nonzero(open_ & (rough <= bound[:, None]))
         gap = ((m[index] - part[i]) ** 2).sum(axis=1)
-        order = np.lexsort((pos[index], gap, i))
+        order = np.lexsort((pos[index], np.round(gap, SAME), i))
         i, index, gap = i[order], index[order], gap[order]
         best = np.arange(len(i)) - np.searchsorted(i, i) < fetch
         rows.append(ask[i[best]])
@@ -141,7 +143,8 @@ def nearest(
 
     ``queries`` are (query_id, user_id, vec) and, for ``earlier_only``, ``seq``; ``memory`` is
     (mem_id, user_id, seq, vec). A query searches all memories, with ``capacity`` that many of the
-    newest, with ``earlier_only`` those there were at its own ``seq``. Equal distances go to the older memory.
+    newest, with ``earlier_only`` those there were at its own ``seq``. Equal distances
+    (``SAME`` decimals of the square) go to the older memory.
 
     Memories are cut into tiles by insertion number and queries into sets; every tile meets a set
     in one task that returns ``fetch`` rows per query, and the rows of all tiles are merged. So
@@ -186,7 +189,7 @@ def nearest(
         .cogroup(tiles.groupBy("tile", "part"))
         .applyInArrow(search, schema)
     )
-    merged = Window.partitionBy("query_id").orderBy("distance", "pos")
+    merged = Window.partitionBy("query_id").orderBy(F.round(F.col("distance") * F.col("distance"), SAME), "pos")
     return near.withColumn("rank", F.row_number().over(merged)).where(F.col("rank") <= fetch).drop("pos")
 
 
