@@ -276,6 +276,32 @@ def state_before_turn(spark, sf):
     return _states(spark, sf, before=True).select(*_STATE_COLUMNS)
 
 
+_FACT = "'- gate: ' || place || chr(10) || '- key ' || s_suppkey || ': ' || who"
+
+
+@query(
+    "world_blocks",
+    "SELECT s_suppkey, 'location: ' || place || chr(10) || 'time: dusk' || chr(10) || 'characters_present: ' || "
+    "CASE WHEN s_suppkey % 3 = 0 THEN '(none)' ELSE who || ', guard' END || chr(10) || 'current_event: none' || chr(10) "
+    f"|| 'story_progress: begin' || chr(10) || 'facts:' || chr(10) || CASE WHEN s_suppkey % 2 = 0 THEN {_FACT} ELSE '(none)' "
+    "END AS block FROM (SELECT s_suppkey, s_name AS who, n_name AS place FROM supplier JOIN nation "
+    "ON s_nationkey = n_nationkey)",
+)
+def world_blocks(spark, sf):
+    """World state with facts and several characters, and without either."""
+    nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    rows = table(spark, sf, "supplier").join(nation, "s_nationkey")
+    key = F.concat(F.lit("key "), F.col("s_suppkey").cast("string"))
+    facts = F.when(F.col("s_suppkey") % 2 == 0, F.create_map(F.lit("gate"), F.col("n_name"), key, F.col("s_name")))
+    there = F.when(F.col("s_suppkey") % 3 != 0, F.array("s_name", F.lit("guard")))
+    block = render.world_block(
+        F.col("n_name"), F.lit("dusk"), F.lit("none"), F.lit("begin"),
+        F.coalesce(there, F.array().cast("array<string>")),
+        F.coalesce(facts, F.create_map().cast("map<string,string>")),
+    )
+    return rows.select("s_suppkey", block.alias("block"))
+
+
 @query(
     "emotion_carry",
     f"WITH {PAIRS}, c AS (SELECT *, {_emotion_sql('user_text', 'reply')} AS cue FROM pairs) "
@@ -320,7 +346,10 @@ def persona_usage(spark, sf):
     f"WITH {_states_sql('CURRENT ROW')}, usage AS (SELECT conv_id, substr(switch_id, 9) AS id, count(*) AS uses, "
     "arg_min(switch_name, turn) AS name FROM states WHERE starts_with(switch_id, 'dynamic/') GROUP BY 1, 2), "
     "saved AS (SELECT id FROM usage WHERE conv_id % 5 = 0) "
-    "SELECT id, min(name) AS name FROM usage WHERE uses >= 1 AND id NOT IN (SELECT id FROM saved) GROUP BY id",
+    "SELECT id, name, name AS role, "
+    + ", ".join(f"'{t.replace(chr(39), chr(39) * 2)}' AS {f}" for f, t in fixed.PROFILE_TEMPLATE.items())
+    + ", 'Respond like ' || name || '; do not mention being an AI unless asked.' AS behavior_rules FROM (SELECT id, "
+    "min(name) AS name FROM usage WHERE uses >= 1 AND id NOT IN (SELECT id FROM saved) GROUP BY id)",
 )
 def personas_to_save(spark, sf):
     usage = persona_usage(spark, sf)

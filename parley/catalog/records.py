@@ -361,6 +361,23 @@ def transcript_lists(spark, sf):
     return records.select("conv_id", text.alias("text"))
 
 
+@query(
+    "flat_transcripts",
+    f"WITH {pairs_sql('conversations')} SELECT conv_id, turn, trim('User: ' || user_text || {NL} || 'Assistant: ' || reply, "
+    "chr(10) || chr(32)) AS text FROM pairs",
+)
+def flat_transcripts(spark, sf):
+    """Question and answer under keys that change from record to record."""
+    kind = (F.col("conv_id") + F.col("turn")) % 3
+    under = lambda keys, c: [F.when(kind == i, F.col(c)).alias(k) for i, k in enumerate(keys)]
+    pairs = _pairs(spark, sf)
+    records = R.with_record_keys(
+        pairs.select("conv_id", "turn", *under(fixed.QUESTION_KEYS, "user"), *under(fixed.ANSWER_KEYS, "assistant"))
+    )
+    text = R.transcript_record(fixed.QUESTION_KEYS, fixed.ANSWER_KEYS)
+    return records.select("conv_id", "turn", text.alias("text"))
+
+
 @query(
     "preference_rows",
     f"""

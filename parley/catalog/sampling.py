@@ -9,7 +9,7 @@ from parley.catalog.base import query, squeeze_sql, symbols_sql, table, texts
 from parley.functions import text as X
 from parley.functions.tokens import hashed_pieces, pad, tokenize
 from parley.operators import sampling as S
-from parley.plans.ranks import rank_by_key
+from parley.plans.ranks import number_sorted, rank_by_key
 
 KEY = "md5('42-' || doc_id)"
 
@@ -27,9 +27,12 @@ def shuffle_positions(spark, sf):
     return rank_by_key(docs, S.KEY, name="position").drop(S.KEY)
 
 
-@query("shuffle_rows", "SELECT doc_id, source FROM documents")
+@query(
+    "shuffle_rows",
+    f"SELECT doc_id, source, row_number() OVER (ORDER BY {KEY}) AS position FROM documents",
+)
 def shuffle_rows(spark, sf):
-    return S.shuffle_rows(_docs(spark, sf), "doc_id")
+    return number_sorted(S.shuffle_rows(_docs(spark, sf), "doc_id"), "position")
 
 
 CAP = 20

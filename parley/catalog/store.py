@@ -8,6 +8,7 @@ from parley import fixed
 from parley.catalog.base import query, table
 from parley.operators import memory as M
 from parley.operators import store as ST
+from parley.plans.ranks import number_sorted
 
 SESSIONS = (
     "sessions AS (SELECT user_id AS id, min(ts) AS created_at, arg_max(ts, event_id) AS updated_at, "
@@ -25,9 +26,12 @@ def _sessions(spark, sf):
     )
 
 
-@query("sessions_newest_first", f"WITH {SESSIONS} SELECT * FROM sessions")
+@query(
+    "sessions_newest_first",
+    f"WITH {SESSIONS} SELECT *, row_number() OVER (ORDER BY updated_at DESC, id) AS position FROM sessions",
+)
 def sessions_newest_first(spark, sf):
-    return ST.newest_first(_sessions(spark, sf), "updated_at", "id")
+    return number_sorted(ST.newest_first(_sessions(spark, sf), "updated_at", "id"), "position")
 
 
 @query("find_row", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 77")
@@ -47,16 +51,21 @@ def find_rows_by_keys(spark, sf):
     return ST.find_many(orders, keys.select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
 
 
-@query("messages_of_session", "SELECT conv_id, turn, role, text FROM conversations WHERE conv_id = 3")
+@query(
+    "messages_of_session",
+    "SELECT conv_id, turn, role, text, row_number() OVER (ORDER BY turn) AS position FROM conversations WHERE conv_id = 3",
+)
 def messages_of_session(spark, sf):
-    return ST.messages_of(table(spark, sf, "conversations"), "conv_id", 3, "turn")
+    return number_sorted(ST.messages_of(table(spark, sf, "conversations"), "conv_id", 3, "turn"), "position")
 
 
-@query("messages_in_order", "SELECT conv_id, turn, role FROM conversations")
+@query(
+    "messages_in_order",
+    "SELECT conv_id, turn, role, row_number() OVER (ORDER BY conv_id, turn) AS position FROM conversations",
+)
 def messages_in_order(spark, sf):
-    return ST.messages_in_order(
-        table(spark, sf, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn"
-    )
+    messages = table(spark, sf, "conversations").select("conv_id", "turn", "role")
+    return number_sorted(ST.messages_in_order(messages, "conv_id", "turn"), "position")
 
 
 @query(
@@ -70,9 +79,13 @@ def recent_messages(spark, sf):
     return recent.select("user_id", "event_id", "rn")
 
 
-@query("characters_by_name", "SELECT c_custkey, c_name FROM customer")
+@query(
+    "characters_by_name",
+    "SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_name, c_custkey) AS position FROM customer",
+)
 def characters_by_name(spark, sf):
-    return ST.by_name(table(spark, sf, "customer").select("c_custkey", "c_name"), "c_name", "c_custkey")
+    customers = table(spark, sf, "customer").select("c_custkey", "c_name")
+    return number_sorted(ST.by_name(customers, "c_name", "c_custkey"), "position")
 
 
 CHANGES = (

@@ -77,13 +77,14 @@ def stream_store_view(spark, sf):
 
 @query(
     "stream_memory_store",
-    f"WITH {PAIRS} SELECT seq, user_id, m AS text FROM (SELECT *, {_POINTS} AS points, conv_id * 1000 + turn AS seq "
+    f"WITH {PAIRS} SELECT seq, user_id, m AS text FROM (SELECT *, {_POINTS} AS points, conv_id * 2147483648 + turn AS seq "
     f"FROM (SELECT *, {squeeze_sql('user_text')} AS m FROM pairs)) WHERE m <> '' AND points >= 3 "
     "ORDER BY seq DESC LIMIT 40",
 )
 def stream_memory_store(spark, sf):
     turns = sessions.pair_stream(with_cues(_stream(spark, sf, "conversations")))
-    seq = F.col("conv_id") * 1000 + F.col("turn")
+    # a number of its own for every turn of a stream: a conversation has less than 2^31 turns
+    seq = F.shiftleft("conv_id", 31) + F.col("turn")
     memories = jobs.extracted_memories(turns.withColumn("character_id", F.lit("wizard")), seq, seq)
     folder = working_folder(spark, "memory")
     jobs.keep_memory(memories, f"{folder}/view", f"{folder}/state", rows=40).awaitTermination()

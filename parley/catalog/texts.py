@@ -23,6 +23,15 @@ def normalize_basic(spark, sf):
     return texts(spark, sf, "documents", "doc_id", "text").select("doc_id", X.normalize_basic(F.col("text")).alias("clean"))
 
 
+@query("normalize_compatibility", f"SELECT doc_id, {squeeze_sql('text')} AS clean FROM documents")
+def normalize_compatibility(spark, sf):
+    """Full-width letters, a ligature and a wide space, which NFKC takes back."""
+    wide = F.translate("text", "eno ", "\uff45\uff4e\uff4f\u3000")
+    dressed = F.replace(wide, F.lit("fi"), F.lit("\ufb01"))
+    rows = texts(spark, sf, "documents", "doc_id", "text")
+    return rows.select("doc_id", X.normalize_basic(dressed).alias("clean"))
+
+
 @query("strip_html_tags", f"SELECT page_id, {tags_sql('html')} AS clean FROM pages")
 def strip_html_tags(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.strip_tags(F.col("html")).alias("clean"))

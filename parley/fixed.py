@@ -191,7 +191,6 @@ PROFILE_TEMPLATE = {
 }
 DEFAULT_CHARACTER = "wizard"
 DEFAULT_SLUG = "character"
-DEFAULT_TITLE = "New chat"
 
 # id, name, personality, world, tone
 STORE_CHARACTERS = [

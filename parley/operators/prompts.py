@@ -9,7 +9,7 @@ from parley import fixed
 from parley.functions import render
 from parley.functions.vectors import embed
 from parley.operators.memory import recalled_texts, remember, retrieve
-from parley.operators.replay import DYNAMIC, replay_states
+from parley.operators.replay import DYNAMIC, replay_states, template_profile
 from parley.operators.validate import valid_profiles
 from parley.plans.folds import Order
 from parley.plans.sizes import checked_broadcast
@@ -18,18 +18,6 @@ from parley.session import checkpoint_ready
 _FIELDS = [*fixed.PROFILE_REQUIRED, fixed.PROFILE_OPTIONAL]
 
 
-def template_profile(name: Column) -> dict[str, Column]:
-    """Profile of a persona known by its name alone."""
-    return {
-        "name": name,
-        "role": name,
-        **{f: F.lit(text) for f, text in fixed.PROFILE_TEMPLATE.items()},
-        fixed.PROFILE_OPTIONAL: F.concat(
-            F.lit("Respond like "), name, F.lit("; do not mention being an AI unless asked.")
-        ),
-    }
-
-
 def with_profile_prompt(states: DataFrame, profiles: DataFrame) -> DataFrame:
     """Add ``profile_prompt`` of the turn's character; null for an id nobody knows."""
     stored = valid_profiles(profiles).select(

@@ -71,7 +71,9 @@ def resolve_switches(turns: DataFrame, profiles: DataFrame, order: Order) -> Dat
         first = named.where(asked).groupBy(*order.keys, "switch_id").agg(
             F.min_by(called, order.by).alias("__first")
         )
-        named = named.join(first, [*order.keys, "switch_id"], "left")
+        # rows that ask for nobody stay where they are; they would all meet on one null key
+        quiet = named.where(~asked).withColumn("__first", F.lit(None).cast("string"))
+        named = named.where(asked).join(first, [*order.keys, "switch_id"], "left").unionByName(quiet)
     return named.withColumn(
         "switch_name", F.when(asked, F.coalesce("__known", "__first"))
     ).drop("__slug", "__known", "__first")
@@ -238,14 +240,27 @@ def persona_usage(turns: DataFrame, order: Order) -> DataFrame:
     )
 
 
+def template_profile(name: Column) -> dict[str, Column]:
+    """Profile of a persona known by its name alone."""
+    return {
+        "name": name,
+        "role": name,
+        **{f: F.lit(text) for f, text in fixed.PROFILE_TEMPLATE.items()},
+        fixed.PROFILE_OPTIONAL: F.concat(
+            F.lit("Respond like "), name, F.lit("; do not mention being an AI unless asked.")
+        ),
+    }
+
+
 def personas_to_save(
     usage: DataFrame, saved: DataFrame, uses: int = fixed.SAVE_PERSONA_AFTER
 ) -> DataFrame:
-    """Slugs of dynamic personas used often enough in a session and not saved yet."""
+    """Whole profiles of dynamic personas used often enough in a session and not saved yet, by slug."""
     often = usage.where(F.col("uses") >= uses).select(
         F.substring("switch_id", F.lit(len(DYNAMIC) + 1), F.length("switch_id")).alias("id"), "name"
     )
-    return often.groupBy("id").agg(F.min("name").alias("name")).join(saved.select("id"), "id", "left_anti")
+    new = often.groupBy("id").agg(F.min("name").alias("name")).join(saved.select("id"), "id", "left_anti")
+    return new.select("id", *[c.alias(f) for f, c in template_profile(F.col("name")).items()])
 
 
 def recent_pairs(

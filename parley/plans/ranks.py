@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from parley import fixed
 from parley.plans.sizes import checked_broadcast
-from parley.session import checkpoint_ready, cut_lineage
+from parley.session import cut_lineage
 
 DIGITS = 3
 BLOCK = 65_536
@@ -200,16 +200,20 @@ def newest_rows(df: DataFrame, by: str, n: int, block: int = BLOCK) -> DataFrame
 
 
 def number_rows(df: DataFrame, by: Sequence[Column], name: str = "rank") -> DataFrame:
-    """Add the exact global rank (from 1) for any sort order.
+    """Add the exact global rank (from 1) for any sort order."""
+    return number_sorted(df.orderBy(*by), name)
+
+
+def number_sorted(df: DataFrame, name: str = "rank") -> DataFrame:
+    """Add the place (from 1) of every row of a sorted table.
 
     A range-partitioned sort numbers rows per partition; the offset of a partition is the number
     of rows before it, a table of one row per partition. The sort is written to the checkpoint
     folder first, so both readers see the same partitions even if an executor is lost.
     """
-    checkpoint_ready(df.sparkSession)
-    numbered = (
-        df.orderBy(*by).withColumn("__id", F.monotonically_increasing_id()).checkpoint()
-    ).withColumn("__part", F.shiftright("__id", 33))
+    numbered = cut_lineage(df.withColumn("__id", F.monotonically_increasing_id())).withColumn(
+        "__part", F.shiftright("__id", 33)
+    )
     sizes = numbered.groupBy("__part").agg(F.count("*").alias("__rows"))
     offsets = rows_before(sizes, (), "__part").drop("__rows")
     low = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
