@@ -1,15 +1,16 @@
 """SentencePiece as a weighted finite-state transducer.
 
 Three machines are compiled from a model file: the normaliser (space to the word mark, a mark put
-before the text), the piece lexicon (a trie, each arc path of a piece giving its id at its cost)
-with byte fallback (a character that is no piece gives its UTF-8 bytes' ids), and, for merge (BPE)
+before a text that is not empty), the piece lexicon (an automaton that gives every piece of an input with its
+place, id and cost) with byte fallback (a character that is no piece gives its UTF-8 bytes' ids), and, for merge (BPE)
 models, an acceptor of neighbouring pieces: a pair has cost 0 if merging its joined text gives the
 pair back, else infinite. A text composed with them is a lattice; its tropical-semiring shortest
 path is the encoding. Of a merge model's lattice exactly one path is finite; of a unigram model's
 the cheapest one wins, ties to the piece that starts first.
 
-No piece goes across a point where the word mark follows another character (compiling checks
-that), so a text is composed word by word and a worker keeps the paths of frequent words.
+No piece goes across a point where the word mark follows another character, or between two
+characters that no piece holds side by side (compiling finds both), so a text is composed part by
+part and a worker keeps the paths of frequent words and parts.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
@@ -29,9 +31,12 @@ from parley.llm.shared import slices
 
 MARK = "▁"
 #: Words and piece pairs that a Python worker keeps; each store starts afresh beyond that.
-KEPT = 300_000
+KEPT = 100_000
+_LONG = 64
+_SLICE = 2 << 20
 _UNIGRAM, _MERGES = 1, 2
 _NORMAL, _BYTE = 1, 6
+_BITS = 24
 # Fixed value of the library: an unknown character costs this much more than the dearest piece.
 _UNKNOWN = 10.0
 
@@ -62,20 +67,26 @@ class Transducer:
             for p in proto.pieces
         ]
         self.byte_ids = {self.text[i][0]: i for i, p in enumerate(proto.pieces) if p.type == _BYTE}
-        self.trie: dict = {}
+        self.lexicon = ahocorasick.Automaton()
         for piece, i in self.ids.items():
-            node = self.trie
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = i
+            self.lexicon.add_word(piece, (i, len(piece)))
+        self.lexicon.make_automaton()
+        #: Whether a line end is always a word of its own.
+        self.lines = not any("\n" in piece for piece in self.ids if piece != "\n")
+        #: Pairs of characters that some piece holds side by side.
+        self.joined = {piece[i : i + 2] for piece in self.ids for i in range(len(piece) - 1)}
+        self.size = {i: len(piece) for piece, i in self.ids.items()}
+        self.symbol = {i: piece for piece, i in self.ids.items()}
+        self.letters = {piece for piece in self.ids if len(piece) == 1}
+        self.start = len(proto.pieces)  # stands before a part; characters that are no piece get numbers above it
+        self.unknown: dict[str, int] = {}
         self.words: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.old_words: dict[str, tuple[int, ...]] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
+        self.pairs: dict[int, bool] = {}
 
     # -- machines ---------------------------------------------------------------------------------
 
-    def normalise(self, text: str) -> str:
-        return self.prefix + text.replace(" ", MARK) if text else ""
-
     def merged(self, text: str) -> list[str]:
         """The model's merges: the best-scored neighbours first, leftmost among equals."""
         parts = list(text)
@@ -90,74 +101,105 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def neighbours(self, left: int, right: int) -> bool:
-        """The acceptor: whether merging the joined text of two pieces gives them back."""
-        known = self.pairs.get((left, right))
+        """The acceptor: whether merging the joined text of two pieces (or of one after the start) gives them back."""
+        known = self.pairs.get(left << _BITS | right)
         if known is None:
-            if len(self.pairs) >= KEPT:
+            if len(self.pairs) >= 4 * KEPT:
                 self.pairs.clear()
-            a, b = self.text[left].decode(), self.text[right].decode()
-            known = self.pairs[left, right] = self.merged(a + b) == [a, b]
+            both = ([] if left == self.start else [self.symbol[left]]) + [self.symbol[right]]
+            whole = self.ids.get("".join(both)) if len(both) > 1 else None
+            if whole is not None and self.neighbours(self.start, whole):
+                known = False  # the two would be merged into that piece
+            else:
+                known = self.merged("".join(both)) == both
+            self.pairs[left << _BITS | right] = known
         return known
 
     # -- composition and shortest path ------------------------------------------------------------
 
     def path(self, word: str) -> tuple[int, ...]:
-        """Ids of the shortest path through one word's lattice."""
-        n = len(word)
-        cost: list[float] = [0.0] + [math.inf] * n
-        last: list[int | None] = [None] * (n + 1)  # the piece that ends here on the best path, None for bytes
-        back = [0] * (n + 1)
-        for start in range(n):
-            here = cost[start]
-            if here == math.inf:
+        """Ids of the shortest path through one word's lattice, part by part."""
+        cuts = [i + 1 for i in range(len(word) - 1) if word[i : i + 2] not in self.joined]
+        if not cuts:
+            return self._part(word)
+        return sum((self._part(word[a:b]) for a, b in zip([0, *cuts], [*cuts, len(word)])), ())
+
+    def _shortest(self, part: str) -> tuple[int, ...]:
+        """The path through a part: its states in order, the best arc into each."""
+        cost: list[float] = [0.0] + [math.inf] * len(part)
+        last = [self.start] * (len(part) + 1)
+        costs, merges, pairs = self.cost, self.merges, self.pairs
+        for end, (piece, size) in self._arcs(part):
+            at = end + 1
+            start = at - size
+            through = cost[start] + costs[piece]
+            if through >= cost[at]:
                 continue
-            before, node = last[start], self.trie
-            for end in range(start, n):
-                node = node.get(word[end])
-                if node is None:
-                    break
-                piece = node.get("")
-                if piece is None or here + self.cost[piece] >= cost[end + 1]:
-                    continue
-                if self.merges and before is not None and not self.neighbours(before, piece):
+            if merges:
+                fits = pairs.get(last[start] << _BITS | piece)
+                if fits is None:
+                    fits = self.neighbours(last[start], piece)
+                if not fits:
                     continue
-                if self.merges and before is None and not self.own(piece):
-                    continue
-                cost[end + 1], last[end + 1], back[end + 1] = here + self.cost[piece], piece, start
-            if word[start] not in self.ids and here + self.unknown_cost < cost[start + 1]:
-                cost[start + 1], last[start + 1], back[start + 1] = here + self.unknown_cost, None, start
+            cost[at], last[at] = through, piece
         out: list[int] = []
-        at = n
+        at = len(part)
         while at:
-            start = back[at]
             piece = last[at]
-            out += [piece] if piece is not None else [self.byte_ids[b] for b in reversed(word[start:at].encode())]
-            at = start
+            out += [piece] if piece < self.start else [self.byte_ids[b] for b in reversed(part[at - 1].encode())]
+            at -= self.size[piece]
         return tuple(reversed(out))
 
-    def own(self, piece: int) -> bool:
-        """Whether merging a piece's own text gives the piece."""
-        known = self.pairs.get((piece, -1))
-        if known is None:
-            text = self.text[piece].decode()
-            known = self.pairs[piece, -1] = self.merged(text) == [text]
-        return known
+    def _arcs(self, part: str) -> Iterator[tuple[int, tuple[int, int]]]:
+        """(last place, (piece, length)) by place, long pieces first; a character that is no piece has an arc too."""
+        if self.letters.issuperset(part):
+            return self.lexicon.iter(part)
+        found = list(self.lexicon.iter(part))
+        for i, c in enumerate(part):
+            if c not in self.letters:
+                number = self.unknown.setdefault(c, self.start + 1 + len(self.unknown))
+                self.cost[number], self.size[number], self.symbol[number] = self.unknown_cost, 1, c
+                found.append((i, (number, 1)))
+        return iter(sorted(found, key=lambda x: (x[0], -x[1][1])))
 
     def _word(self, word: str) -> tuple[int, ...]:
-        ids = self.words.get(word)
+        """Ids of a word behind its mark, the mark left out of ``word``."""
+        ids = self.old_words.get(word) or self.path(MARK + word)
+        if len(self.words) >= KEPT:  # words seen since the last change stay at hand
+            self.words, self.old_words = {}, self.words
+        if len(word) <= _LONG:
+            self.words[word] = ids
+        return ids
+
+    def _part(self, part: str) -> tuple[int, ...]:
+        if len(part) == 1 and part not in self.ids:
+            return tuple(self.byte_ids[b] for b in part.encode())
+        ids = self.parts.get(part)
         if ids is None:
-            if len(self.words) >= KEPT:
-                self.words.clear()
-            ids = self.path(word)
-            if len(word) <= 64:
-                self.words[word] = ids
+            ids = self._shortest(part)
+            if len(self.parts) >= KEPT:
+                self.parts.clear()
+            if len(part) <= _LONG:
+                self.parts[part] = ids
         return ids
 
     def encode(self, text: str) -> array:
         out = array("I")
-        if text:
-            for word in _cut(self.normalise(text)):
-                out.extend(self._word(word))
+        if not text:
+            return out
+        for i, line in enumerate(text.split("\n") if self.lines else (text,)):
+            if i:
+                out.extend(self._part("\n"))
+            first, *marked = line.split(" ")
+            marked = [first, *marked] if self.prefix and not i else marked
+            if "" in marked or MARK in line:  # marks in a row make words of their own
+                for word in _cut((self.prefix if not i else "") + line.replace(" ", MARK)):
+                    out.extend(self.path(word))
+                continue
+            if first and (i or not self.prefix):
+                out.extend(self._part(first) if first in self.parts else self.path(first))
+            for word in marked:
+                out.extend(self.words.get(word) or self._word(word))
         return out
 
     def decode(self, ids: array) -> str:
@@ -167,19 +209,18 @@ class Transducer:
 
 
 def _cut(text: str) -> Iterator[str]:
-    """Words: each starts where a mark follows another character, or after a line end."""
-    for line in text.splitlines(keepends=True) if "\n" in text else (text,):
-        run = ""
-        first, *others = line.split(MARK)
-        if first:
-            yield first
-        for word in others:
-            run += MARK
-            if word:
-                yield run + word
-                run = ""
-        if run:
-            yield run
+    """Words: each starts where a mark follows another character."""
+    run = ""
+    first, *others = text.split(MARK)
+    if first:
+        yield first
+    for word in others:
+        run += MARK
+        if word:
+            yield run + word
+            run = ""
+    if run:
+        yield run
 
 
 @lru_cache(maxsize=2)
@@ -200,7 +241,7 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, _SLICE):
                 flat, ends = array("I"), array("i", [0])
                 for value in part.column(1):
                     flat.extend(machine.encode(value.as_py() or ""))
