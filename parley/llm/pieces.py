@@ -15,6 +15,7 @@ part and a worker keeps the paths of frequent words and parts.
 
 from __future__ import annotations
 
+import gc
 import math
 from array import array
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ from parley.llm.shared import slices
 
 MARK = "▁"
 #: Words and piece pairs that a Python worker keeps; each store starts afresh beyond that.
-KEPT = 100_000
+KEPT = 150_000
 _LONG = 64
 _SLICE = 2 << 20
 _UNIGRAM, _MERGES = 1, 2
@@ -239,7 +240,14 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = transducer(path)
+        # the stores hold many small tuples and no cycles: collecting would walk through them time and again
+        gc.disable()
+        try:
+            yield from encoded(transducer(path), batches)
+        finally:
+            gc.enable()
+
+    def encoded(machine: Transducer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, _SLICE):
                 flat, ends = array("I"), array("i", [0])
