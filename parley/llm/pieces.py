@@ -32,7 +32,7 @@ from parley.llm.shared import slices
 
 MARK = "▁"
 #: Words and piece pairs that a Python worker keeps; each store starts afresh beyond that.
-KEPT = 150_000
+KEPT = 300_000
 _LONG = 64
 _SLICE = 2 << 20
 _UNIGRAM, _MERGES = 1, 2
@@ -105,7 +105,7 @@ class Transducer:
         """The acceptor: whether merging the joined text of two pieces (or of one after the start) gives them back."""
         known = self.pairs.get(left << _BITS | right)
         if known is None:
-            if len(self.pairs) >= 4 * KEPT:
+            if len(self.pairs) >= 2 * KEPT:
                 self.pairs.clear()
             both = ([] if left == self.start else [self.symbol[left]]) + [self.symbol[right]]
             whole = self.ids.get("".join(both)) if len(both) > 1 else None
@@ -121,8 +121,8 @@ class Transducer:
     def path(self, word: str) -> tuple[int, ...]:
         """Ids of the shortest path through one word's lattice, part by part."""
         cuts = [i + 1 for i in range(len(word) - 1) if word[i : i + 2] not in self.joined]
-        if not cuts:
-            return self._part(word)
+        if not cuts and self.letters.issuperset(word):
+            return self._shortest(word)  # kept as a word, if at all
         return sum((self._part(word[a:b]) for a, b in zip([0, *cuts], [*cuts, len(word)])), ())
 
     def _shortest(self, part: str) -> tuple[int, ...]:
@@ -178,7 +178,7 @@ class Transducer:
         ids = self.parts.get(part)
         if ids is None:
             ids = self._shortest(part)
-            if len(self.parts) >= KEPT:
+            if len(self.parts) >= KEPT // 2:
                 self.parts.clear()
             if len(part) <= _LONG:
                 self.parts[part] = ids
