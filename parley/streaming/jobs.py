@@ -26,9 +26,11 @@ FILES_PER_BATCH = 1_000
 
 def read_stream(
     spark: SparkSession, folder: str, schema: T.StructType | str, kind: str = "parquet",
-    glob: str | None = None, files_per_batch: int = FILES_PER_BATCH,
+    glob: str | None = None, files_per_batch: int = FILES_PER_BATCH, bytes_per_batch: str | None = None,
 ) -> DataFrame:
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    """Arriving files; a batch is bounded by bytes (as ``"1g"``) where given, else by files."""
+    bound = ("maxFilesPerTrigger", files_per_batch) if bytes_per_batch is None else ("maxBytesPerTrigger", bytes_per_batch)
+    reader = spark.readStream.schema(schema).option(*bound)
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
     return reader.format(kind).load(folder)

@@ -31,6 +31,10 @@ def _use_state_store(df: DataFrame) -> None:
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
+#: Rows of a session that go out in one frame: each carries the turns before it.
+CHUNK = 1_000
+
+
 def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(batches), ignore_index=True).sort_values("turn", kind="stable")
 
@@ -94,6 +98,8 @@ class FollowSession(StatefulProcessor):
         who = tuple(self.persona.get()) if self.persona.exists() else self.initial
         scene = list(self.world.get()) if self.world.exists() else list(fixed.WORLD_DEFAULTS.values())
         past = [tuple(p) for p in self.history.get()]
+        columns = ["conv_id", "turn", "user", "assistant", "character_id", "character_name", "emotion"]
+        columns += [*WORLD, "uses", "history"]
         out = []
         for row in _in_order(rows).itertuples(index=False):
             uses = 0
@@ -114,11 +120,13 @@ class FollowSession(StatefulProcessor):
                 scene[i] = scene[i] if value is None else value
             past = [*past, (row.user, row.assistant)][-self.pairs :]
             out.append((row.conv_id, row.turn, row.user, row.assistant, *who, new_mood, *scene, uses, told))
+            if len(out) == CHUNK:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
         self.persona.update(who)
         self.world.update(tuple(scene))
         self.history.put(past)
-        columns = ["conv_id", "turn", "user", "assistant", "character_id", "character_name", "emotion"]
-        yield pd.DataFrame(out, columns=[*columns, *WORLD, "uses", "history"])
+        yield pd.DataFrame(out, columns=columns)
 
     def close(self) -> None:
         pass
