@@ -122,12 +122,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label:
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
         .join(F.broadcast(chosen), "id")  # at most ``sample`` narrow rows
         .select("text", "label")
-        .mapInArrow(_bucket_lists, "label double, buckets array<bigint>")
+        .mapInArrow(_bucket_lists, "label double, buckets array<int>")
         .limit(sample)
         .toArrow()
     )
     lists = rows.column("buckets").combine_chunks()
-    flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+    flat, ends = lists.flatten().to_numpy().astype(np.int64), lists.offsets.to_numpy()
     return fit(np.repeat(np.arange(len(lists)), np.diff(ends)), flat, rows.column("label").to_numpy())
 
 
@@ -136,7 +136,7 @@ def _bucket_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for part in slices(batch, 0):
             rows, buckets = hashed_terms(part.column(0))
             ends = np.searchsorted(rows, np.arange(part.num_rows + 1))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(buckets))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(buckets.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([part.column(1), lists], ["label", "buckets"])
 
 
