@@ -210,20 +210,15 @@ def load_sources(spark: SparkSession, sources: Mapping[str, str]) -> tuple[DataF
 
     The report has source, status and rows.
     """
-    parts, states = [], []
+    parts, report = [], []
     for name, path in sources.items():
         try:
             part = read_corpus(spark, path)
             part.isEmpty()
         except Exception as error:  # noqa: BLE001 - any failure skips this source only
-            states.append((name, f"failed: {type(error).__name__}"))
+            state = (name, f"failed: {type(error).__name__}", 0)
+            report.append(spark.createDataFrame([state], "source string, status string, rows bigint"))
             continue
         parts.append(part.withColumn("source", F.lit(name)))
-        states.append((name, "loaded"))
-    report = spark.createDataFrame(states, "source string, status string")
-    if not parts:
-        return None, report.withColumn("rows", F.lit(0).cast("bigint"))
-    records = concatenate(parts)
-    counts = records.groupBy("source").agg(F.count("*").alias("rows"))
-    filled = report.join(counts, "source", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
-    return records, filled
+        report.append(part.agg(F.lit(name).alias("source"), F.lit("loaded").alias("status"), F.count("*").alias("rows")))
+    return (concatenate(parts) if parts else None), concatenate(report)
