@@ -26,6 +26,8 @@ NOTHING, FINE, LOW = 0, 1, 2
 #: Words below which the labellers of shares say nothing.
 FEW_WORDS = 5
 BUCKETS = 1 << 16
+#: P(fine) of a text on which no labeller votes: in doubt it stays.
+IN_DOUBT = 0.9
 #: Words added to a text's length when shares are taken, so a few words are weak evidence.
 DAMP = 20
 #: Most documents that the scorer is fitted on.
@@ -102,7 +104,7 @@ def votes(texts: pa.Array) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Labellers:
-    """What expectation-maximisation found: P(low), and P(vote | class) as [labeller, class, vote]."""
+    """What expectation-maximisation found: P(low), and P(vote | class, voted) as [labeller, class, vote]."""
 
     low: float
     table: np.ndarray
@@ -114,30 +116,31 @@ class Labellers:
         )
         logs -= logs.max(1, keepdims=True)
         p = np.exp(logs)
-        return p[:, 0] / p.sum(1)
+        return np.where((seen == NOTHING).all(1), IN_DOUBT, p[:, 0] / p.sum(1))
 
     def accuracy(self) -> dict[str, float]:
         """Share of a labeller's votes that the model holds to be right."""
         prior = np.array([1 - self.low, self.low])
-        right = self.table[:, 0, FINE] * prior[0] + self.table[:, 1, LOW] * prior[1]
-        voted = (self.table[:, :, 1:].sum(2) * prior).sum(1)
-        return dict(zip(LABELLERS, right / voted))
+        return dict(zip(LABELLERS, self.table[:, 0, FINE] * prior[0] + self.table[:, 1, LOW] * prior[1]))
 
 
 def estimate(seen: np.ndarray, weight: np.ndarray, rounds: int = 200) -> Labellers:
-    """EM from vote combinations and how many documents have each. The start: any low vote means low."""
+    """EM from vote combinations and how many documents have each. The start: any low vote means low.
+
+    Texts without a vote take no part.
+    """
+    weight = np.where((seen == NOTHING).all(1), 0.0, weight)
     fine = np.where((seen == LOW).any(1), 0.1, 0.95)
-    model = Labellers(0.1, np.full((seen.shape[1], 2, 3), 1 / 3))
+    model = Labellers(0.1, np.full((seen.shape[1], 2, 3), 0.5))
     for _ in range(rounds):
         by_class = np.stack([fine * weight, (1 - fine) * weight], 1)
         total = by_class.sum(0)
         table = np.stack(
-            [
-                np.stack([by_class[seen[:, i] == v].sum(0) for v in (NOTHING, FINE, LOW)], 1)
-                for i in range(seen.shape[1])
-            ]
+            [np.stack([by_class[seen[:, i] == v].sum(0) for v in (FINE, LOW)], 1) for i in range(seen.shape[1])]
         )
-        table = (table + 0.5) / (total[:, None] + 1.5)
+        table = (table + 0.5) / (table.sum(2, keepdims=True) + 1.0)
+        # a labeller that says nothing says nothing about the class either
+        table = np.concatenate([np.ones((*table.shape[:2], 1)), table], 2)
         model = Labellers(float((total[1] + 0.5) / (total.sum() + 1)), table)
         new = model.posterior(seen)
         if len(new) == 0 or np.abs(new - fine).max() < 1e-9:

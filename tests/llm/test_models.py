@@ -36,6 +36,13 @@ def test_em_recovers_labellers():
     assert (fine != low).mean() > 0.97
 
 
+def test_nothing_said_is_no_evidence():
+    seen = np.array([[quality.NOTHING] * 7, [quality.FINE] * 7, [quality.LOW] * 2 + [quality.FINE] * 5])
+    model = quality.estimate(seen, np.array([50.0, 800.0, 150.0]))
+    fine = model.posterior(seen)
+    assert fine[0] == quality.IN_DOUBT and abs(model.low - 150 / 950) < 0.01 and fine[1] > 0.95 and fine[2] < 0.05
+
+
 def test_quality_on_labels(docs, labels):
     found = quality.quality(docs).join(labels, "doc_id").select("quality_score", "quality").toPandas()
     predicted = found.quality_score >= 0.5
