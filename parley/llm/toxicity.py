@@ -2,8 +2,9 @@
 
 A text is the set of its hashed terms. The score adds a weight per term and, for every pair of
 its terms, the product of their latent vectors, so an insult beside a mention of a group can
-count for more than both. The model is trained on a bounded sample of labelled rows; which terms
-take part is screened on that sample; every text is scored whole.
+count for more than both. The model is trained on a bounded sample of labelled rows; every term
+of that sample has a weight and a vector, because a term may tell only beside another; a term that
+tells little by itself, or is rare, moves by smaller steps. Every text is scored whole.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ from parley.llm.shared import slices, terms_of
 BUCKETS = 1 << 24
 #: Most labelled rows that the model is fitted on.
 SAMPLE = 20_000
-TERMS = 4_096
 FACTORS = 8
+#: Terms in fewer rows, or with a smaller score of their own, begin with damped steps.
 _LEAST_ROWS, _LEAST_Z = 5, 4.0
+_DAMPED = 0.1
 
 
 @dataclass(frozen=True)
@@ -63,52 +65,69 @@ def hashed_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return pairs // BUCKETS, pairs % BUCKETS
 
 
-def _screened(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Buckets whose share of positive rows differs most from the whole, by the normal score."""
-    known, at = np.unique(buckets, return_inverse=True)
-    seen = np.bincount(at, minlength=len(known))
-    hit = np.bincount(at, labels[rows], len(known))
-    p = labels.mean()
-    z = np.abs(hit - seen * p) / np.sqrt(np.maximum(seen * p * (1 - p), 1e-9))
-    z[(seen < _LEAST_ROWS) | (z < _LEAST_Z)] = 0
-    best = np.argsort(-z, kind="stable")[:TERMS]
-    return np.sort(known[best[z[best] > 0]])
+def _alone(at: np.ndarray, hits: np.ndarray, count: int, p: float) -> np.ndarray:
+    """Where a term tells by itself: its share of positive rows differs from the whole's, by the normal score."""
+    seen = np.bincount(at, minlength=count)
+    z = np.abs(np.bincount(at, hits, count) - seen * p) / np.sqrt(np.maximum(seen * p * (1 - p), 1e-9))
+    return (seen >= _LEAST_ROWS) & (z >= _LEAST_Z)
 
 
 def fit(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, epochs: int = 30, seed: int = 7) -> Machine:
-    """Logistic loss, L2, adaptive steps, small batches. No rows, or one class only: a constant score."""
+    """Logistic loss, L2, adaptive steps, small batches. No rows, or one class only: a constant score.
+
+    All buckets take part. Batches are put together once and come in another order every epoch; one
+    moves the parameters of its own terms only, so its cost does not depend on how many there are.
+    """
     p = (labels.sum() + 0.5) / (len(labels) + 1.0) if len(labels) else 0.0
     bias = float(np.log(p / (1 - p))) if 0 < p < 1 else -5.0
     if not len(labels) or labels.min() == labels.max():
         return Machine(np.empty(0, np.int64), bias, np.empty(0), np.empty((0, FACTORS)))
-    kept = _screened(rows, buckets, labels)
+    kept, at = np.unique(buckets, return_inverse=True)
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), FACTORS))
-    gw, gv, gb = np.full(len(kept), 1e-8), np.full(v.shape, 1e-8), 1e-8
-    at = np.searchsorted(kept, buckets)
-    known = at < len(kept)
-    known[known] = kept[at[known]] == buckets[known]
-    rows, at = rows[known], at[known]
-    start = np.searchsorted(rows, np.arange(len(labels) + 1))
+    w, v = np.zeros(len(kept), np.float32), rng.normal(0, 0.01, (len(kept), FACTORS)).astype(np.float32)
+    alone = _alone(at, labels[rows], len(kept), labels.mean())
+    gw = np.where(alone, 1e-8, _DAMPED).astype(np.float32)
+    gv, gb = np.repeat(gw[:, None], FACTORS, 1), 1e-8
+    batches = _batches(rows, at.astype(np.int32), rng.permutation(len(labels)))
     for _ in range(epochs):
-        order = rng.permutation(len(labels))
-        for batch in np.array_split(order, max(1, len(order) // 256)):
-            sizes = start[batch + 1] - start[batch]
-            inside = np.repeat(np.arange(len(batch)), sizes)
-            terms = at[np.concatenate([np.arange(start[b], start[b + 1]) for b in batch])] if sizes.sum() else at[:0]
-            machine = Machine(kept, bias, w, v)
-            loss = (_sigmoid(machine.margins(inside, terms, len(batch))) - labels[batch]) / len(batch)
-            step = loss[inside]
-            sums = np.stack([np.bincount(inside, v[terms, f], len(batch)) for f in range(FACTORS)], 1)
-            dw = np.bincount(terms, step, len(kept)) + 1e-4 * w
-            pull = step[:, None] * (sums[inside] - v[terms])
-            dv = np.stack([np.bincount(terms, pull[:, f], len(kept)) for f in range(FACTORS)], 1) + 1e-3 * v
-            gw, gv, gb = gw + dw**2, gv + dv**2, gb + loss.sum() ** 2
-            w, v = w - 0.3 * dw / np.sqrt(gw), v - 0.05 * dv / np.sqrt(gv)
-            bias -= 0.1 * float(loss.sum() / np.sqrt(gb))
+        for i in rng.permutation(len(batches)):
+            batch, inside, own, terms, by_term, ends = batches[i]
+            mine, vectors = w[own], v[own]
+            starts = np.flatnonzero(np.diff(inside, prepend=-1))
+            there, beside = inside[starts], vectors[terms]
+            sums, squares = np.zeros((2, len(batch), FACTORS), np.float32)
+            if len(terms):
+                sums[there] = np.add.reduceat(beside, starts, 0)
+                squares[there] = np.add.reduceat(beside * beside, starts, 0)
+            margin = bias + np.bincount(inside, mine[terms], len(batch)) + 0.5 * (sums**2 - squares).sum(1)
+            loss = ((_sigmoid(margin) - labels[batch]) / len(batch)).astype(np.float32)
+            if len(terms):
+                rows_by_term = inside[by_term]
+                dw = np.add.reduceat(loss[rows_by_term], ends)
+                dv = np.add.reduceat((loss[:, None] * sums)[rows_by_term], ends, 0) - dw[:, None] * vectors
+                dw, dv = dw + 1e-4 * mine, dv + 1e-3 * vectors
+                gw[own] += dw**2
+                gv[own] += dv**2
+                w[own] = mine - 0.3 * dw / np.sqrt(gw[own])
+                v[own] = vectors - 0.05 * dv / np.sqrt(gv[own])
+            gb += float(loss.sum()) ** 2
+            bias -= 0.1 * float(loss.sum()) / gb**0.5
     return Machine(kept, bias, w, v)
 
 
+def _batches(rows: np.ndarray, at: np.ndarray, order: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """Per batch: its rows, and for its pairs the place of the row, the terms, and the pairs by term."""
+    start, found = np.searchsorted(rows, np.arange(len(order) + 1)), []
+    for batch in np.array_split(order, max(1, len(order) // 256)):
+        inside = np.repeat(np.arange(len(batch), dtype=np.int16), start[batch + 1] - start[batch])
+        pairs = [at[start[b] : start[b + 1]] for b in batch]
+        own, terms = np.unique(np.concatenate(pairs), return_inverse=True)
+        by_term = np.argsort(terms, kind="stable").astype(np.int32)
+        starts = np.searchsorted(terms[by_term], np.arange(len(own)))
+        found.append((batch, inside, own, terms.astype(np.int32), by_term, starts))
+    return found
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str, sample: int = SAMPLE) -> Machine:
     """Fit on at most ``sample`` labelled rows, chosen by a hash of their ids."""
     chosen = (

@@ -105,6 +105,18 @@ def test_machine_learns_interaction():
     assert ((machine.scores(rows, flat, len(sets)) >= 0.5) == labels).mean() > 0.95
 
 
+def test_machine_learns_pairs_of_neutral_terms():
+    """As the production settings are: no single term tells anything here, and rare ones are there too."""
+    rng = np.random.default_rng(3)
+    sets = [[t for t in range(12) if rng.random() < 0.5] + [100 + i] for i in range(6000)]
+    labels = np.array([float((0 in s) == (1 in s)) for s in sets])
+    rows, flat = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets).astype(int)
+    seen = rows < 4000
+    machine = toxicity.fit(rows[seen], flat[seen], labels[:4000])
+    assert set(range(12)) <= set(machine.buckets.tolist()) and len(machine.buckets) == 4012
+    assert ((machine.scores(rows, flat, len(sets)) >= 0.5) == labels)[4000:].mean() > 0.95
+
+
 def test_toxicity_held_out(docs, labels):
     found = toxicity.toxicity(docs, labels).join(labels, "doc_id").toPandas()
     held = found[found.held_out]
