@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.shared import any_row, ascii_lower, first_of, repeats, settled
+from parley.llm.shared import ROW_KEY, any_row, ascii_lower, first_of, repeats, settled, with_row_key
 
 SALTS = 64
 
@@ -72,7 +72,10 @@ def exact_copies(
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns. Ids must not repeat between different texts."""
+    """The rows that stay, with all their columns. Where ids repeat or lack, rows are told apart by a key of their own."""
+    if repeats(docs, id_col):
+        keyed = with_row_key(docs, F.col(id_col).isNotNull(), F.col(id_col))
+        stay = exact_copies(keyed, ROW_KEY, text_col).where("kept").select(F.col(f"{ROW_KEY}.row").alias("__stays"))
+        return keyed.join(stay, F.col(f"{ROW_KEY}.row") == F.col("__stays"), "left_semi").drop(ROW_KEY)
     stay = exact_copies(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__stays"))
-    left = docs.join(stay, F.col(id_col).eqNullSafe(F.col("__stays")), "left_semi")
-    return left.dropDuplicates([id_col]) if repeats(docs, id_col) else left
+    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("__stays")), "left_semi")

@@ -14,6 +14,7 @@ from parley.session import working_folder
 
 #: Bytes of text that a Python step takes in hand at once; one longer text is a slice of its own.
 SLICE_BYTES = 8 << 20
+ROW_KEY = "__row_key"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,6 +42,12 @@ def repeats(df: DataFrame, key: str) -> bool:
     return any_row(df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"))
 
 
+def with_row_key(df: DataFrame, rank: Column, key: Column) -> DataFrame:
+    """The rows, written once, with a struct that no two share: ordered by ``rank``, then ``key``, then place."""
+    own = F.struct(rank.alias("rank"), key.alias("key"), F.monotonically_increasing_id().alias("row"))
+    return settled(df.withColumn(ROW_KEY, own), "keyed")
+
+
 def first_of(keys: list[str]) -> Column:
     """True for one row of each group of repeated keys."""
     return F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))) == 1

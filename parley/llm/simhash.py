@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.llm.components import components
-from parley.llm.shared import any_row, repeats, settled
+from parley.llm.shared import ROW_KEY, any_row, repeats, settled, with_row_key
 
 SHINGLE = 3
 BITS = 2
@@ -245,14 +245,21 @@ def near_copies(
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The row with the smallest id of every component, with all its columns."""
+    """The row with the smallest id of every component, with all its columns.
+
+    Where ids repeat or lack, rows are told apart by a key of their own.
+    """
+    if repeats(docs, id_col):
+        keyed = with_row_key(docs, F.col(id_col).isNull(), F.col(id_col))
+        found = near_copies(keyed, ROW_KEY, text_col, **how).where(F.col(ROW_KEY) == F.col("component_id"))
+        stay = found.select(F.col(f"{ROW_KEY}.row").alias("__stays"))
+        return keyed.join(stay, F.col(f"{ROW_KEY}.row") == F.col("__stays"), "left_semi").drop(ROW_KEY)
     stay = (
         near_copies(docs, id_col, text_col, **how)
         .where(F.col(id_col).eqNullSafe(F.col("component_id")))
         .select(F.col(id_col).alias("__stays"))
     )
-    left = docs.join(stay, F.col(id_col).eqNullSafe(F.col("__stays")), "left_semi")
-    return left.dropDuplicates([id_col]) if repeats(docs, id_col) else left
+    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("__stays")), "left_semi")
 
 
 def hex_code(code: Column) -> Column:

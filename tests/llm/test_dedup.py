@@ -145,3 +145,13 @@ def test_digest_of_query(small):
     found = exact.exact_copies(small).select("doc_id", F.lower(F.hex("digest")).alias("h")).collect()
     text = {r["doc_id"]: r["text"] for r in small.collect()}
     assert all(r["h"] == hashlib.sha256(lowered(text[r["doc_id"]])).hexdigest() for r in found)
+
+
+@pytest.mark.parametrize("drop", [exact.drop_exact_copies, simhash.drop_near_copies])
+def test_null_and_repeated_ids_keep_their_texts(spark, drop):
+    """Only copies by content go, whatever the ids are."""
+    texts = ["the cat sat on the mat today", "quarterly revenue rose by nine percent", "plant the bulbs in early autumn"]
+    rows = [(None, t) for t in texts] + [(7, t.replace("the", "our") + " indeed yes") for t in texts]
+    docs = spark.createDataFrame(rows + rows[:2] + [(3, texts[2])], "doc_id bigint, text string").repartition(3)
+    left = sorted(((r["doc_id"], r["text"]) for r in drop(docs).collect()), key=str)
+    assert left == sorted(rows[:2] + rows[3:] + [(3, texts[2])], key=str)
