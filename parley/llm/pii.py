@@ -75,8 +75,8 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return found
 
 
-def contexts(text: str, spans: dict[str, list[tuple[int, int]]], window: int) -> set[tuple[str, str, int, int]]:
-    """(entity, word in lower case, start, end) for the words around every mention, none inside a span."""
+def free_words(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int]]:
+    """The words outside every span."""
     taken = sorted(s for kind in spans.values() for s in kind)
     words, at, reach = [], 0, 0
     for m in _TERM.finditer(text):
@@ -85,6 +85,12 @@ def contexts(text: str, spans: dict[str, list[tuple[int, int]]], window: int) ->
             at += 1
         if m.start() >= reach:
             words.append(m.span())
+    return words
+
+
+def contexts(text: str, spans: dict[str, list[tuple[int, int]]], window: int) -> set[tuple[str, str, int, int]]:
+    """(entity, word in lower case, start, end) for the words around every mention, none inside a span."""
+    words = free_words(text, spans)
     starts = [s for s, _ in words]
     found = set()
     for kind, some in spans.items():
@@ -125,8 +131,14 @@ _CONTEXT = T.ArrayType(
 )
 
 
-def _mentions(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """(row, id, digest, spans, context) for every row; only texts that may hold an entity go to Python."""
+_WORDS = T.ArrayType(T.StructType(_CONTEXT.elementType.fields[1:]))
+
+
+def _mentions(docs: DataFrame, id_col: str, text_col: str, window: int, everywhere: bool = False) -> DataFrame:
+    """(row, id, digest, spans, context) for every row; only texts that may hold an entity go to Python.
+
+    ``everywhere`` adds ``words``, all (term, start, end) of a text that holds an entity.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).select(
         F.monotonically_increasing_id().alias("row"),
@@ -142,15 +154,19 @@ def _mentions(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataF
             T.StructField("context", _CONTEXT),
         ]
     )
+    if everywhere:
+        schema = schema.add("words", _WORDS)
     rows = rows.select("row", "id", "text", F.unhex(F.sha2("text", 256)).alias("digest"))
     spans_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     context_type = pa.list_(
         pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
     )
 
+    words_type = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, context = [], []
+            spans, context, words = [], [], []
             for value in batch.column(2):
                 text = value.as_py()
                 found = base_spans(text) if text else {}
@@ -159,10 +175,12 @@ def _mentions(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataF
                 )
                 near = contexts(text, found, window) if spans[-1] else ()
                 context.append([{"entity": x, "term": t, "start": s, "end": e} for x, t, s, e in sorted(near)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(3), pa.array(spans, spans_type), pa.array(context, context_type)],
-                names=schema.names,
-            )
+                if everywhere:
+                    places = free_words(text, found) if spans[-1] else ()
+                    words.append([{"term": text[s:e].lower(), "start": s, "end": e} for s, e in places])
+            columns = [batch.column(0), batch.column(1), batch.column(3), pa.array(spans, spans_type), pa.array(context, context_type)]
+            columns += [pa.array(words, words_type)] if everywhere else []
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -220,20 +238,29 @@ def find_personal(
     support: int = SUPPORT,
     generalise: float = GENERALISE,
     remove: float = REMOVE,
+    everywhere: bool = False,
 ) -> DataFrame:
     """One row per input row: id, digest (SHA-256 of a text that may hold an entity, else null), spans.
 
     ``spans`` are (kind, start, end) by kind (email, ip, card, phone, generalised, removed), then
     start, in code points, end exclusive. A null text is empty. An entity that only one document
     mentions discloses nothing about others, so it gets no further spans (``support``). Repeated
-    rows count as documents of their own; other columns are not read.
+    rows count as documents of their own; other columns are not read. With ``everywhere`` a telling
+    word is marked wherever it stands in a text that holds its entity, else near the mention only.
     """
-    mentions = settled(_mentions(docs, id_col, text_col, window), "mentions")
+    mentions = settled(_mentions(docs, id_col, text_col, window, everywhere), "mentions")
     shares = disclosures(mentions, term_counts(docs, text_col), docs.count(), support)
     telling = shares.where(F.col("share") >= generalise)
     near = mentions.where(F.size("context") > 0).select("row", F.inline("context"))
+    marked = near.join(telling, ["entity", "term"])
+    if everywhere:
+        telling = settled(telling, "telling")
+        held = near.select("row", "entity").distinct()
+        words = mentions.where(F.size("words") > 0).select("row", F.inline("words"))
+        # only words that tell something about an entity of their own row
+        marked = words.join(telling, "term").join(held, ["row", "entity"])
     extra = (
-        near.join(telling, ["entity", "term"])
+        marked
         .groupBy("row", "start", "end")
         .agg(F.max("share").alias("share"))
         .groupBy("row")
@@ -283,7 +310,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     with their spans.
     """
     found = (
-        find_personal(docs, id_col, text_col, **how)
+        find_personal(docs, id_col, text_col, **({"everywhere": True} | how))
         .where(F.size("spans") > 0)
         .select(F.col("digest").alias("__digest"), F.col("spans").alias("__spans"))
         .dropDuplicates(["__digest"])

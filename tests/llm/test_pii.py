@@ -135,3 +135,13 @@ def test_edges(request, name):
 def test_cleaned_merges_spans():
     assert pii.cleaned("call +1 2345 6789 x", [("phone", 5, 17), ("card", 8, 17)]) == "call [PHONE] x"
     assert pii.cleaned("Anna met bob", [("generalised", 0, 4), ("removed", 9, 12)]) == "[name] met "
+
+
+def test_telling_words_go_wherever_they_stand(spark):
+    """A name far from the address in the same text goes too; in a text without the address it stays."""
+    far = " ".join(["filler common words stay"] * 10)
+    rows = [(i, f"Zebulon heads this. {far} write Zebulon at zeb@example.com soon. {far} Yours Zebulon") for i in range(3)]
+    rows += [(i, f"{far} write at other@example.com soon") for i in range(3, 20)] + [(20, "Zebulon alone")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    texts = {r["doc_id"]: r["text"] for r in pii.sanitise(docs, generalise=0.7, remove=0.7).collect()}
+    assert all("Zebulon" not in texts[i] for i in range(3)) and texts[20] == "Zebulon alone"
