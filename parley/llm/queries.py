@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from parley.catalog.base import Query, table
-from parley.llm import chat, exact, neighbours, packing, pieces, pii, quality, shards, simhash, toxicity
+from parley.llm import chat, exact, linked, neighbours, packing, periods, pieces, pii, quality, shards, simhash, spectrum, toxicity
+from parley.plans.once import once
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -148,6 +149,57 @@ def op10_factorization_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """Every tenth document, by a hash of its id, with a periodic tail; the others as they are."""
+    hashed = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", F.floor(hashed / 10).alias("g"), (hashed % 10 == 0).alias("chosen"))
+    rows = once(rows, "words", F.when(F.col("chosen"), words))
+    n = F.size("words")
+    rows = rows.withColumn("a", F.expr("cast(if(size(words) > 0, g % size(words), 0) as int)"))
+    rows = rows.withColumn("p", F.expr("cast(1 + (size(words) - a) div (3 + g % 8) as int)"))
+    tail = F.transform(
+        F.sequence(F.lit(0), n - 1),
+        lambda i: F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))),
+    )
+    return rows.select("doc_id", F.when(F.col("chosen") & (n > 0), F.array_join(tail, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periods.word_runs(planted(table(spark, folder, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        best.alias("best"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    ).select(
+        "doc_id",
+        "n_runs",
+        (-F.col("best.col2")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.col3")).alias("period"),
+        F.expr("1000 * best.length div -best.col3").alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
+@query("op12_linked_embeddings")
+def op12_linked_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    found = linked.linked_vectors(table(spark, folder, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+@query("op13_whitened_embeddings")
+def op13_whitened_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return spectrum.whiten(table(spark, folder, "embeddings"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)

@@ -101,3 +101,32 @@ def terms_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     sizes = np.diff(np.append(0, np.cumsum(keep))[inner_ends])
     places, lengths = ragged_join(sizes, codes)
     return terms, inner[keep][places], np.append(0, np.cumsum(lengths))[ends]
+
+
+# -- hot keys -------------------------------------------------------------------------------------
+
+SALTS = 64
+
+
+def salt_of(by: Column, salts: int = SALTS) -> Column:
+    return F.pmod(F.xxhash64(by), F.lit(salts))
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], by: Column, salts: int = SALTS) -> DataFrame:
+    """Inner join with a table of one row per key, for rows of which many may share a key.
+
+    ``by`` differs among the rows of a key and salts them. Only the (key, salt) pairs that occur meet
+    the table, one row each; then rows and pairs meet by key and salt. No null among the keys.
+    """
+    salted = rows.withColumn("__salt", salt_of(by, salts))
+    pairs = salted.select(*keys, "__salt").distinct().join(table, keys)
+    return salted.join(pairs, [*keys, "__salt"]).drop("__salt")
+
+
+def spread_min(rows: DataFrame, keys: list[str], value: str, name: str, by: Column, salts: int = SALTS) -> DataFrame:
+    """Rows with the smallest ``value`` of their key as ``name``, combined and sent back by salt."""
+    salted = rows.withColumn("__salt", salt_of(by, salts))
+    parts = salted.groupBy(*keys, "__salt").agg(F.min(value).alias("__least"))
+    least = parts.groupBy(*keys).agg(F.min("__least").alias(name))
+    pairs = parts.select(*keys, "__salt").join(least, keys)
+    return salted.join(pairs, [*keys, "__salt"]).drop("__salt")
