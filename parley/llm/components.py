@@ -1,29 +1,31 @@
 """Connected components of a link table of any size, by alternating large and small stars.
 
 Every round is joins and groupings; the rows are written to the shared folder between rounds, and
-only a count and a checksum come to the driver.
+only a count and a checksum come to the driver. A node with very many links is dealt out by salt:
+its smallest neighbour is found per salt, then over the salts, and goes back to each salt.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.shared import settled
+from parley.llm.shared import settled, spread_min
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, salts: int) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = spread_min(both, ["a"], "b", "m", F.col("b"), salts)
+    return least.where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, salts: int) -> DataFrame:
     """Every smaller neighbour of a node, and the node, is linked to the smallest one. Links have a > b."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
-    rest = links.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return rest.unionByName(least.select("a", F.col("m").alias("b")))
+    least = spread_min(links, ["a"], "b", "m", F.col("b"), salts)
+    return least.select(F.when(F.col("b") > F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b"))
 
 
 def _state(links: DataFrame) -> tuple:
@@ -43,7 +45,9 @@ def components(links: DataFrame) -> DataFrame:
     )
     seen = _state(now)
     while seen[0]:
-        now = settled(_small_star(_large_star(now)).distinct(), "links")
+        # a node with all the links then meets as many rows per salt as it has salts
+        salts = max(8, min(4_096, math.isqrt(seen[0])))
+        now = settled(_small_star(_large_star(now, salts).distinct(), salts).distinct(), "links")
         state = _state(now)
         if state == seen:
             break

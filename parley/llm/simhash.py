@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.llm.components import components
-from parley.llm.shared import ROW_KEY, any_row, repeats, settled, with_row_key
+from parley.llm.shared import ROW_KEY, any_row, repeats, settled, spread_min, with_row_key
 
 SHINGLE = 3
 BITS = 2
@@ -239,8 +239,7 @@ def near_copies(
     member = codes.join(linked.withColumnRenamed("node", "code"), "code", "left").withColumn(
         "root", F.coalesce("root", "code")
     )
-    least = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = member.select("code", "root").join(least, "root").select("code", "component_id")
+    named = spread_min(member, ["root"], "first", "component_id", F.col("code")).select("code", "component_id")
     return rows.join(named, "code").select(F.col("id").alias(id_col), "code", "component_id")
 
 
