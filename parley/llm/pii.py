@@ -1,16 +1,22 @@
-"""Personal data: base patterns, and words around them that disclose them.
-
-Base entities (email, ip, card, phone) are found by patterns. For the words in the context of a
-mention the corpus says how much they tell about the entity: PMI(word, entity) against the
-entity's own information IC(entity) = -log2 p(entity). The share PMI / IC is 1 when whoever sees
-the word knows the entity. Context words at or above one threshold are generalised, at or above
-a second one removed. Counts run over all documents; a document without an entity never changes.
+"""Personal data: base patterns, and words of the text that disclose them.
+
+Base entities (email, ip, card, phone) are found by patterns. For the other words of a text that
+holds an entity the corpus says how much they tell about it: the pointwise mutual information of
+word and entity, counted over whole documents, against the entity's own information
+IC(entity) = -log2 p(entity). The share PMI / IC is 1 when whoever sees the word knows the entity.
+The chance of the entity given the word is smoothed towards p(entity) by ``PRIOR`` documents, so a
+word that was seen once with it tells less than one that was seen often and always with it. Words
+at or above one threshold are generalised, at or above a second one removed, wherever they stand
+in the text. A document without an entity never changes.
+
+What a word tells depends on the set of documents that hold the entity, not on the entity, so
+entities of one set are one class. A word in more documents than a class allows at the lower
+threshold (an exact bound, met only if all of the class's documents held it) is never paired with it.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,14 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.shared import settled
+from parley.llm.shared import salt_of, settled, spread_join
 
 KINDS = ("email", "ip", "card", "phone")
 EXTRA = ("generalised", "removed")
-#: Words on either side of a mention that count as its context.
-WINDOW = 8
-#: Documents in which a word must stand near the entity before the estimate counts.
-SUPPORT = 2
+#: Documents without the entity that a word is taken to have been seen in besides those counted.
+PRIOR = 0.5
 GENERALISE, REMOVE = 0.75, 0.95
 _COUNTED = 200_000
 
@@ -36,7 +40,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TERM = re.compile(r"[^\W\d_]{3,}")
+_TERM = re.compile(r"[^\W_]+")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -88,20 +92,9 @@ def free_words(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[tuple
     return words
 
 
-def contexts(text: str, spans: dict[str, list[tuple[int, int]]], window: int) -> set[tuple[str, str, int, int]]:
-    """(entity, word in lower case, start, end) for the words around every mention, none inside a span."""
-    words = free_words(text, spans)
-    starts = [s for s, _ in words]
-    found = set()
-    for kind, some in spans.items():
-        for start, end in some:
-            value = text[start:end].lower()
-            if kind in ("card", "phone"):
-                value = "".join(_DIGIT.findall(value))
-            here = bisect_left(starts, start)
-            for s, e in words[max(0, here - window) : here + window]:
-                found.add((f"{kind}:{value}", text[s:e].lower(), s, e))
-    return found
+def entity_name(kind: str, value: str) -> str:
+    """Numbers are the same however they are spaced, addresses however they are cased."""
+    return f"{kind}:{''.join(_DIGIT.findall(value)) if kind in ('card', 'phone') else value.lower()}"
 
 
 def may_hold(text: Column) -> Column:
@@ -119,25 +112,17 @@ _SPANS = T.ArrayType(
         [T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]
     )
 )
-_CONTEXT = T.ArrayType(
+_WORDS = T.ArrayType(
     T.StructType(
-        [
-            T.StructField("entity", T.StringType()),
-            T.StructField("term", T.StringType()),
-            T.StructField("start", T.IntegerType()),
-            T.StructField("end", T.IntegerType()),
-        ]
+        [T.StructField("term", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]
     )
 )
 
 
-_WORDS = T.ArrayType(T.StructType(_CONTEXT.elementType.fields[1:]))
+def _mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, digest, spans, entities, words) for every row; only texts that may hold an entity go to Python.
 
-
-def _mentions(docs: DataFrame, id_col: str, text_col: str, window: int, everywhere: bool = False) -> DataFrame:
-    """(row, id, digest, spans, context) for every row; only texts that may hold an entity go to Python.
-
-    ``everywhere`` adds ``words``, all (term, start, end) of a text that holds an entity.
+    ``words`` are all (term, start, end) outside the spans of a text that holds an entity.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).select(
@@ -151,35 +136,33 @@ def _mentions(docs: DataFrame, id_col: str, text_col: str, window: int, everywhe
             T.StructField("id", docs.schema[id_col].dataType),
             T.StructField("digest", T.BinaryType()),
             T.StructField("spans", _SPANS),
-            T.StructField("context", _CONTEXT),
+            T.StructField("entities", T.ArrayType(T.StringType())),
+            T.StructField("words", _WORDS),
         ]
     )
-    if everywhere:
-        schema = schema.add("words", _WORDS)
     rows = rows.select("row", "id", "text", F.unhex(F.sha2("text", 256)).alias("digest"))
-    spans_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    context_type = pa.list_(
-        pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-    )
-
-    words_type = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    place = [("start", pa.int32()), ("end", pa.int32())]
+    spans_type = pa.list_(pa.struct([("kind", pa.string()), *place]))
+    words_type = pa.list_(pa.struct([("term", pa.string()), *place]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, context, words = [], [], []
+            spans, entities, words = [], [], []
             for value in batch.column(2):
                 text = value.as_py()
                 found = base_spans(text) if text else {}
-                spans.append(
-                    [{"kind": k, "start": s, "end": e} for k in KINDS for s, e in found.get(k, ())]
-                )
-                near = contexts(text, found, window) if spans[-1] else ()
-                context.append([{"entity": x, "term": t, "start": s, "end": e} for x, t, s, e in sorted(near)])
-                if everywhere:
-                    places = free_words(text, found) if spans[-1] else ()
-                    words.append([{"term": text[s:e].lower(), "start": s, "end": e} for s, e in places])
-            columns = [batch.column(0), batch.column(1), batch.column(3), pa.array(spans, spans_type), pa.array(context, context_type)]
-            columns += [pa.array(words, words_type)] if everywhere else []
+                spans.append([{"kind": k, "start": s, "end": e} for k in KINDS for s, e in found.get(k, ())])
+                entities.append(sorted({entity_name(k, text[s:e]) for k, some in found.items() for s, e in some}))
+                places = free_words(text, found) if spans[-1] else ()
+                words.append([{"term": text[s:e].lower(), "start": s, "end": e} for s, e in places])
+            columns = [
+                batch.column(0),
+                batch.column(1),
+                batch.column(3),
+                pa.array(spans, spans_type),
+                pa.array(entities, pa.list_(pa.string())),
+                pa.array(words, words_type),
+            ]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return rows.mapInArrow(run, schema)
@@ -211,22 +194,43 @@ def term_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "term string, rows bigint").groupBy("term").agg(F.sum("rows").alias("rows"))
 
 
-def disclosures(mentions: DataFrame, terms: DataFrame, total: int, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, share): PMI(term, entity) / IC(entity) for pairs with enough support."""
-    near = mentions.where(F.size("context") > 0).select("row", F.explode("context").alias("c"))
-    pairs = near.select("row", "c.entity", "c.term").distinct()
-    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("n")).where(F.col("n") >= support)
-    entities = (
-        near.select("row", "c.entity").distinct().groupBy("entity").agg(F.count("*").alias("entity_rows"))
+def entity_classes(held: DataFrame) -> DataFrame:
+    """(row, class, class_rows): the classes of entities of every row; a class is one set of rows."""
+    pairs = held.select("row", F.explode("entities").alias("entity"))
+    stats = pairs.groupBy("entity").agg(
+        F.count("*").alias("class_rows"),
+        F.struct(F.bit_xor(F.xxhash64("row")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("b")).alias("class"),
     )
-    known = F.log2(F.lit(float(total)) / F.col("entity_rows"))
-    pmi = F.log2(F.col("n") * F.lit(float(total)) / (F.col("rows") * F.col("entity_rows")))
+    return spread_join(pairs, stats, ["entity"], F.col("row")).select("row", "class", "class_rows").distinct()
+
+
+def _limit(total: int, prior: float, share: float) -> Column:
+    """In how many rows a word may stand to tell ``share`` of a class, if all rows of the class held it."""
+    chance = F.col("class_rows") / F.lit(float(total))
+    return (F.col("class_rows") + prior * chance) * F.pow(chance, F.lit(share - 1.0)) - prior
+
+
+def disclosures(held: DataFrame, terms: DataFrame, total: int, generalise: float, prior: float = PRIOR) -> DataFrame:
+    """(row, term, share): the words of every row that tell at least ``generalise`` of one of its entities."""
     # an entity that is everywhere has no information to disclose
-    return (
-        joint.join(entities.where(F.col("entity_rows") < total), "entity")
-        .join(terms, "term")
-        .select("entity", "term", (pmi / known).alias("share"))
+    classes = settled(
+        entity_classes(held).where(F.col("class_rows") < total).withColumn("most", _limit(total, prior, generalise) + 1e-6),
+        "classes",
+    )
+    most = classes.agg(F.max("most")).first()[0] or 0.0
+    words = held.select("row", F.explode(F.array_distinct(F.col("words.term"))).alias("term"))
+    counted = spread_join(words, terms.where(F.col("rows") <= most), ["term"], F.col("row"))
+    pairs = settled(
+        counted.join(classes, "row").where(F.col("rows") <= F.col("most")).select("row", "class", "class_rows", "term", "rows"),
+        "pairs",
     )
+    joint = pairs.groupBy("class", "class_rows", "term", "rows").agg(F.count("*").alias("n"))
+    chance = F.col("class_rows") / F.lit(float(total))
+    given = (F.col("n") + prior * chance) / (F.col("rows") + prior)
+    share = F.log2(given / chance) / -F.log2(chance)
+    telling = joint.select("class", "term", share.alias("share")).where(F.col("share") >= generalise)
+    told = spread_join(pairs.select("row", "class", "term"), telling, ["class", "term"], F.col("row"))
+    return told.groupBy("row", "term").agg(F.max("share").alias("share"))
 
 
 def find_personal(
@@ -234,47 +238,25 @@ def find_personal(
     id_col: str = "doc_id",
     text_col: str = "text",
     *,
-    window: int = WINDOW,
-    support: int = SUPPORT,
+    prior: float = PRIOR,
     generalise: float = GENERALISE,
     remove: float = REMOVE,
-    everywhere: bool = False,
 ) -> DataFrame:
     """One row per input row: id, digest (SHA-256 of a text that may hold an entity, else null), spans.
 
     ``spans`` are (kind, start, end) by kind (email, ip, card, phone, generalised, removed), then
-    start, in code points, end exclusive. A null text is empty. An entity that only one document
-    mentions discloses nothing about others, so it gets no further spans (``support``). Repeated
-    rows count as documents of their own; other columns are not read. With ``everywhere`` a telling
-    word is marked wherever it stands in a text that holds its entity, else near the mention only.
+    start, in code points, end exclusive. A null text is empty. Words are runs of letters and digits
+    outside the base spans. Repeated rows count as documents of their own; other columns are not read.
     """
-    mentions = settled(_mentions(docs, id_col, text_col, window, everywhere), "mentions")
-    shares = disclosures(mentions, term_counts(docs, text_col), docs.count(), support)
-    telling = shares.where(F.col("share") >= generalise)
-    near = mentions.where(F.size("context") > 0).select("row", F.inline("context"))
-    marked = near.join(telling, ["entity", "term"])
-    if everywhere:
-        telling = settled(telling, "telling")
-        held = near.select("row", "entity").distinct()
-        words = mentions.where(F.size("words") > 0).select("row", F.inline("words"))
-        # only words that tell something about an entity of their own row
-        marked = words.join(telling, "term").join(held, ["row", "entity"])
+    mentions = settled(_mentions(docs, id_col, text_col), "mentions")
+    held = mentions.where(F.size("entities") > 0).select("row", "entities", "words")
+    telling = disclosures(held, term_counts(docs, text_col), docs.count(), generalise, prior)
+    kind = F.when(F.col("share") >= remove, F.lit("removed")).otherwise(F.lit("generalised")).alias("kind")
     extra = (
-        marked
-        .groupBy("row", "start", "end")
-        .agg(F.max("share").alias("share"))
+        held.select("row", F.inline("words"))
+        .join(telling, ["row", "term"])
         .groupBy("row")
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        F.when(F.col("share") >= remove, F.lit("removed")).otherwise(F.lit("generalised")).alias("kind"),
-                        "start",
-                        "end",
-                    )
-                )
-            ).alias("extra")
-        )
+        .agg(F.array_sort(F.collect_list(F.struct(kind, "start", "end"))).alias("extra"))
     )
     none = F.array().cast(_SPANS)
     return mentions.join(extra, "row", "left").select(
@@ -307,10 +289,11 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """The rows with all their columns, entities and telling words taken out of the text.
 
     Rows in which no pattern can match are passed on where they are; only the others are joined
-    with their spans.
+    with their spans. Equal texts have equal spans, so these go by digest, dealt out by the other
+    columns where many rows share a text.
     """
     found = (
-        find_personal(docs, id_col, text_col, **({"everywhere": True} | how))
+        find_personal(docs, id_col, text_col, **how)
         .where(F.size("spans") > 0)
         .select(F.col("digest").alias("__digest"), F.col("spans").alias("__spans"))
         .dropDuplicates(["__digest"])
@@ -329,10 +312,14 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    marked = (
+    plain = [f.name for f in schema.fields if isinstance(f.dataType, T.AtomicType) and f.name != text_col]
+    others = [F.col(f"`{c}`") for c in plain]
+    keyed = (
         docs.where(held)
         .withColumn("__digest", F.unhex(F.sha2(F.col(text_col), 256)))
-        .join(found, "__digest", "left")
-        .select(*[F.col(c) for c in names], "__spans")
+        .withColumn("__salt", salt_of(F.struct(*others)) if others else F.lit(0))
     )
+    # spans meet the digests and salts that occur, then go with them to the rows
+    pairs = keyed.select("__digest", "__salt").distinct().join(found, "__digest")
+    marked = keyed.join(pairs, ["__digest", "__salt"], "left").select(*[F.col(f"`{c}`") for c in names], "__spans")
     return docs.where(~held).unionByName(marked.mapInArrow(run, schema))

@@ -79,7 +79,7 @@ def test_pipeline(spark):
     text = {max(ids): text[max(ids)] for ids in groups.values()}
     root = plain_components({i: plain_fingerprint(t) for i, t in text.items()})
     text = {i: t for i, t in text.items() if root[i] == i}
-    spans = brute(text.items(), pii.WINDOW, pii.SUPPORT, pii.GENERALISE, pii.REMOVE)
+    spans = brute(text.items())
     text = {i: pii.cleaned(t, spans[i][0]) for i, t in text.items()}
 
     for _, stage in corpus_pipeline.STAGES[:-1]:
