@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.shared import salt_of, settled, spread_join
+from parley.llm.shared import salt_of, settled, slices, spread_join
 
 KINDS = ("email", "ip", "card", "phone")
 EXTRA = ("generalised", "removed")
@@ -33,6 +33,8 @@ EXTRA = ("generalised", "removed")
 PRIOR = 0.5
 GENERALISE, REMOVE = 0.75, 0.95
 _COUNTED = 200_000
+#: Bytes of text whose words are held at once.
+_SLICE = 1 << 20
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -119,6 +121,24 @@ _WORDS = T.ArrayType(
 )
 
 
+class _Lists:
+    """Lists of a string, and two numbers if there are three fields, kept by column while they are gathered."""
+
+    def __init__(self, fields: int) -> None:
+        self.values: list[list] = [[] for _ in range(fields)]
+        self.ends = [0]
+
+    def add(self, rows: list[tuple]) -> None:
+        for column, values in zip(self.values, zip(*rows)):
+            column.extend(values)
+        self.ends.append(len(self.values[0]))
+
+    def array(self, names: list[str] | None) -> pa.ListArray:
+        columns = [pa.array(c, pa.int32() if i else pa.string()) for i, c in enumerate(self.values)]
+        flat = pa.StructArray.from_arrays(columns, names) if names else columns[0]
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), flat)
+
+
 def _mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row, id, digest, spans, entities, words) for every row; only texts that may hold an entity go to Python.
 
@@ -141,29 +161,30 @@ def _mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         ]
     )
     rows = rows.select("row", "id", "text", F.unhex(F.sha2("text", 256)).alias("digest"))
-    place = [("start", pa.int32()), ("end", pa.int32())]
-    spans_type = pa.list_(pa.struct([("kind", pa.string()), *place]))
-    words_type = pa.list_(pa.struct([("term", pa.string()), *place]))
+
+    def found(part: pa.RecordBatch) -> pa.RecordBatch:
+        spans, entities, words = _Lists(3), _Lists(1), _Lists(3)
+        for value in part.column(2):
+            text = value.as_py()
+            some = base_spans(text) if text else {}
+            places = [(k, s, e) for k in KINDS for s, e in some.get(k, ())]
+            spans.add(places)
+            entities.add(sorted({(entity_name(k, text[s:e]),) for k, s, e in places}))
+            words.add([(text[s:e].lower(), s, e) for s, e in free_words(text, some)] if places else [])
+        columns = [
+            part.column(0),
+            part.column(1),
+            part.column(3),
+            spans.array(["kind", "start", "end"]),
+            entities.array(None),
+            words.array(["term", "start", "end"]),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, entities, words = [], [], []
-            for value in batch.column(2):
-                text = value.as_py()
-                found = base_spans(text) if text else {}
-                spans.append([{"kind": k, "start": s, "end": e} for k in KINDS for s, e in found.get(k, ())])
-                entities.append(sorted({entity_name(k, text[s:e]) for k, some in found.items() for s, e in some}))
-                places = free_words(text, found) if spans[-1] else ()
-                words.append([{"term": text[s:e].lower(), "start": s, "end": e} for s, e in places])
-            columns = [
-                batch.column(0),
-                batch.column(1),
-                batch.column(3),
-                pa.array(spans, spans_type),
-                pa.array(entities, pa.list_(pa.string())),
-                pa.array(words, words_type),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            for part in slices(batch, 2, _SLICE):
+                yield found(part)
 
     return rows.mapInArrow(run, schema)
 
@@ -303,12 +324,12 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (p for batch in batches for p in slices(batch, at, 4 * _SLICE)):
             texts = [
                 t.as_py() if not s.is_valid else cleaned(t.as_py(), [(x["kind"], x["start"], x["end"]) for x in s.as_py()])
-                for t, s in zip(batch.column(at), batch.column(len(names)))
+                for t, s in zip(part.column(at), part.column(len(names)))
             ]
-            columns = [batch.column(i) for i in range(len(names))]
+            columns = [part.column(i) for i in range(len(names))]
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
