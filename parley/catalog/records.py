@@ -17,7 +17,7 @@ from parley.catalog.base import (
 from parley.functions import records as R
 from parley.functions import render
 from parley.functions.arrays import first_filled, first_present
-from parley.operators import pairing, validate
+from parley.operators import lists, pairing, validate
 from parley.operators.sampling import split_rows
 from parley.plans.folds import Order, carry, last_rows, measure
 from parley.plans.once import once
@@ -156,18 +156,13 @@ def first_key_with_value(spark, sf):
     )
 
 
-def _message_lists(spark, sf, role: str, value: str):
-    """Every conversation as one record with its whole message list, as such files hold it."""
-    messages = table(spark, sf, "conversations")
-    name = F.when(F.col("role") == "assistant", F.lit("gpt")).otherwise(F.col("role"))
+def _message_blocks(spark, sf, role: str, value: str, name: str):
+    """Every conversation as block rows with runs of its messages, under the keys that such files have."""
+    said = F.when(F.col("role") == "assistant", F.lit("gpt")).otherwise(F.col("role"))
     fields = {f: F.lit(None).cast("string") for f in ("role", "from", "content", "value", "text")}
-    fields[role], fields[value] = name, F.col("text")
-    item = F.struct("turn", *[c.alias(n) for n, c in fields.items()])
-    rows = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return rows.select(
-        "conv_id",
-        F.transform("items", lambda m: F.struct(*[m[f].alias(f) for f in fields])).alias("list"),
-    )
+    fields[role], fields[value] = said, F.col("text")
+    item = F.struct(*[c.alias(n) for n, c in fields.items()])
+    return lists.cut_blocks(table(spark, sf, "conversations"), "conv_id", "turn", item, name)
 
 
 @query(
@@ -185,11 +180,7 @@ def _message_lists(spark, sf, role: str, value: str):
     WHERE l.conv_id NOT IN (SELECT conv_id FROM pairs) GROUP BY l.conv_id""",
 )
 def map_message_lists(spark, sf):
-    records = _message_lists(spark, sf, "role", "content").withColumnRenamed("list", "messages")
-    mapped = R.map_chat_record(records)
-    return mapped.select("conv_id", "system", F.posexplode("turns").alias("place", "t")).select(
-        "conv_id", "place", "system", "t.user", "t.assistant"
-    )
+    return lists.message_turns(_message_blocks(spark, sf, "role", "content", "messages"), "conv_id")
 
 
 @query(
@@ -198,11 +189,8 @@ def map_message_lists(spark, sf):
     "(PARTITION BY conv_id ORDER BY turn) - 1 AS place, user_text AS user, reply AS assistant FROM pairs",
 )
 def map_conversation_lists(spark, sf):
-    records = _message_lists(spark, sf, "from", "value")
-    turns = R.conversation_turns(F.col("list"))
-    return records.select("conv_id", F.posexplode(turns).alias("place", "t")).select(
-        "conv_id", "place", "t.user", "t.assistant"
-    )
+    blocks = _message_blocks(spark, sf, "from", "value", "conversations")
+    return lists.conversation_turns(blocks, "conv_id").drop("system")
 
 
 @query(
@@ -351,14 +339,12 @@ def transcripts(spark, sf):
 
 @query(
     "transcript_lists",
-    f"SELECT conv_id, string_agg({LINE_SQL}, {NL} ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
+    f"SELECT conv_id, (no - 1) // {lists.BLOCK} AS part, string_agg({LINE_SQL}, {NL} ORDER BY turn) AS text FROM "
+    "(SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS no FROM conversations) GROUP BY 1, 2",
 )
 def transcript_lists(spark, sf):
-    records = R.with_record_keys(
-        _message_lists(spark, sf, "from", "value").withColumnRenamed("list", "conversations")
-    )
-    text = R.transcript_record(fixed.SOURCE_SIDE_KEYS, fixed.TARGET_SIDE_KEYS)
-    return records.select("conv_id", text.alias("text"))
+    """A transcript goes on in the next part after a block of messages."""
+    return lists.transcript_parts(_message_blocks(spark, sf, "from", "value", "conversations"), "conv_id")
 
 
 @query(
@@ -573,7 +559,7 @@ def decode_store_rows(spark, sf):
     return validate.decode_store_rows(rows, ["event_id", "content"], "role").drop("content")
 
 
-def _chat_rows(spark, sf, pairs_kept: int | None):
+def _chat_rows(spark, sf, pairs_kept: int):
     messages = chat(spark, sf)
     pairs = pairing.pair_messages(messages.drop("user_id"))
     turns = pairing.gather_turns(pairs, "conv_id", "turn", pairs_kept)
@@ -601,10 +587,37 @@ def _rendered_sql(tail: str, kept: str = "true") -> str:
     {tail}"""
 
 
-@query("chat_texts", _rendered_sql("SELECT conv_id, text FROM texts"))
+def _chat_parts_sql() -> str:
+    return f"""
+    WITH {CHAT}, {pairs_sql('chat')},
+    placed AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // {lists.BLOCK} AS part FROM pairs),
+    sys AS (SELECT conv_id, arg_max(text, turn) AS t FROM chat WHERE role = 'system' GROUP BY conv_id),
+    src AS (SELECT conv_id || '/' || part || '/' || turn || '/u' AS id, user_text AS t FROM placed
+      UNION ALL SELECT conv_id || '/' || part || '/' || turn || '/a', reply FROM placed
+      UNION ALL SELECT conv_id || '///s', t FROM sys),
+    {aggressive_sql('src', 'done')},
+    bits AS (SELECT split_part(id, '/', 1)::BIGINT AS conv_id, split_part(id, '/', 2) AS part,
+      split_part(id, '/', 3) AS turn, split_part(id, '/', 4) AS side, t FROM done),
+    body AS (SELECT u.conv_id, u.part, string_agg('<|user|>' || {NL} || u.t || {NL} || '<|assistant|>' || {NL} || a.t || {NL},
+        '' ORDER BY u.turn::BIGINT) FILTER (WHERE u.t <> '' AND a.t <> '') AS t
+      FROM bits u JOIN bits a ON u.conv_id = a.conv_id AND u.turn = a.turn AND u.side = 'u' AND a.side = 'a'
+      GROUP BY u.conv_id, u.part)
+    SELECT b.conv_id, b.part::BIGINT AS part, CASE b.part WHEN '0' THEN '<|system|>' || {NL} || coalesce(s.t, '{SYS}') || {NL}
+      ELSE '' END || coalesce(b.t, '') AS text
+    FROM body b LEFT JOIN bits s ON s.conv_id = b.conv_id AND s.side = 's'"""
+
+
+@query("chat_texts", _chat_parts_sql())
 def chat_texts(spark, sf):
-    rows = _chat_rows(spark, sf, None)
-    return rows.select("conv_id", render.chat_text(F.col("system"), F.col("turns")).alias("text"))
+    """The text of a conversation is its parts in order; the first one has the system block."""
+    messages = chat(spark, sf)
+    order = measure(messages, ["conv_id"], "turn")
+    pairs = pairing.pair_messages(messages.drop("user_id"), order=order)
+    turns = lists.cut_blocks(pairs, "conv_id", "turn", F.struct("user", "assistant"), "turns", order=order)
+    systems = pairing.last_system(messages, "conv_id", "turn").withColumn("block", F.lit(0).cast("bigint"))
+    rows = turns.join(systems, ["conv_id", "block"], "left")
+    text = render.chat_text(F.col("system"), F.col("turns"), F.col("block") == 0)
+    return rows.select("conv_id", F.col("block").alias("part"), text.alias("text"))
 
 
 CUT = 900

@@ -44,8 +44,11 @@ def _system(system: Column) -> Column:
     )
 
 
-def chat_text(system: Column, turns: Column) -> Column:
-    """Training text; turns that normalize to nothing on either side are left out."""
+def chat_text(system: Column, turns: Column, opening: Column | None = None) -> Column:
+    """Training text; turns that normalize to nothing on either side are left out.
+
+    ``opening`` tells the first of several parts of a conversation, which alone has the system block.
+    """
     filled = F.filter(_clean_pairs(turns), lambda t: (t["user"] != "") & (t["assistant"] != ""))
     body = F.transform(
         filled,
@@ -53,7 +56,10 @@ def chat_text(system: Column, turns: Column) -> Column:
             _block(fixed.USER_MARK, t["user"]), _block(fixed.ASSISTANT_MARK, t["assistant"])
         ),
     )
-    return F.concat(_block(fixed.SYSTEM_MARK, _system(system)), F.array_join(body, ""))
+    head = _block(fixed.SYSTEM_MARK, _system(system))
+    if opening is not None:
+        head = F.when(opening, head).otherwise("")
+    return F.concat(head, F.array_join(body, ""))
 
 
 def category_text(system: Column, turns: Column) -> Column:

@@ -130,6 +130,22 @@ def number(df: DataFrame, order: Order, name: str) -> DataFrame:
     )
 
 
+def total_before(df: DataFrame, order: Order, value: str, name: str) -> DataFrame:
+    """Add the sum of ``value`` over the group's rows strictly before this one; 0 at its start."""
+    frame = order.window().rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum(value).over(frame), F.lit(0))
+    if order.block is None:
+        return df.withColumn(name, inside)
+    cells = order.cells(df)
+    sums = cells.groupBy(*order.cell_keys).agg(F.sum(value).alias("__sum"))
+    before = sums.select(*order.cell_keys, F.sum("__sum").over(order.blocks_of_group()).alias("__old"))
+    return (
+        _join_back(cells.withColumn(name, inside), before, order)
+        .withColumn(name, F.coalesce(F.col("__old"), F.lit(0)) + F.col(name))
+        .drop(_BLOCK, "__old")
+    )
+
+
 def items_before(df: DataFrame, order: Order, item: Column, n: int, name: str) -> DataFrame:
     """Add an array of the last ``n`` items of the group before this row, oldest first."""
     frame = order.window().rowsBetween(-n, -1)
