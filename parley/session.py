@@ -63,3 +63,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def working_folder(spark: SparkSession, name: str) -> str:
     """A new folder for one run, in the shared one."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once to the shared folder and read back: lineage ends here, columns stay prunable."""
+    folder = working_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
