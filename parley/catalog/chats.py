@@ -519,18 +519,18 @@ def embedded_sql(source: str, name: str) -> str:
     )
 
 
-@query(
-    "turn_prompts_with_memory",
-    f"""
+def _memory_prompts_sql(capacity: int) -> str:
+    return f"""
     WITH {_states_sql('1 PRECEDING')},
     said AS (SELECT *, row_number() OVER (ORDER BY turn, conv_id) AS seq FROM states),
     asked AS (SELECT seq AS id, u AS t, user_id FROM said WHERE u <> ''),
     scored AS (SELECT *, {_POINTS} AS points FROM (SELECT seq AS id, user_id, {squeeze_sql('u')} AS m FROM said)),
-    kept AS (SELECT id, m AS t, user_id FROM scored WHERE m <> '' AND points >= 3),
+    kept AS (SELECT id, m AS t, user_id, row_number() OVER (ORDER BY id) AS no FROM scored WHERE m <> '' AND points >= 3),
+    held AS (SELECT a.id, count(k.id) AS held FROM asked a LEFT JOIN kept k ON k.id < a.id GROUP BY a.id),
     {embedded_sql('asked', 'qv')}, {embedded_sql('kept', 'mv')},
     gaps AS (SELECT q.id AS query_id, m.id AS mem_id,
       round(list_sum(list_transform(list_zip(q.e, m.e), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)), 9) AS gap
-      FROM qv q JOIN mv m ON m.id < q.id),
+      FROM qv q JOIN held h ON q.id = h.id JOIN kept k ON k.id < q.id AND k.no > h.held - {capacity} JOIN mv m ON m.id = k.id),
     near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gap, mem_id) AS rn FROM gaps)
       WHERE rn <= 12),
     mine AS (SELECT n.query_id, k.t, row_number() OVER (PARTITION BY n.query_id ORDER BY rn) AS place
@@ -538,16 +538,33 @@ def embedded_sql(source: str, name: str) -> str:
     lists AS (SELECT query_id, string_agg('- ' || t, {NL} ORDER BY place) AS bullets FROM mine WHERE place <= 4
       GROUP BY query_id),
     told AS (SELECT s.*, coalesce(bullets, '(none)') AS bullets FROM said s LEFT JOIN lists ON seq = query_id),
-    {_prompt_sql('told', 'bullets')} SELECT conv_id, turn, prompt FROM whole""",
-)
-def turn_prompts_with_memory(spark, sf):
+    {_prompt_sql('told', 'bullets')} SELECT conv_id, turn, prompt FROM whole"""
+
+
+def _memory_prompts(spark, sf, capacity: int):
     turns, order = _turns(spark, sf)
     # the order in which all users' turns come in: by turn, then conversation
     numbered = number_rows(turns, [F.col("turn"), F.col("conv_id")], "said_at")
-    prompts = P.replay_prompts(numbered, _profiles(spark, sf), order, F.col("said_at"), initial_name=AFRICA)
+    prompts = P.replay_prompts(
+        numbered, _profiles(spark, sf), order, F.col("said_at"), initial_name=AFRICA, capacity=capacity
+    )
     return prompts.select("conv_id", "turn", "prompt")
 
 
+@query("turn_prompts_with_memory", _memory_prompts_sql(fixed.MEMORY_CAPACITY))
+def turn_prompts_with_memory(spark, sf):
+    return _memory_prompts(spark, sf, fixed.MEMORY_CAPACITY)
+
+
+SMALL_STORE = 50
+
+
+@query("turn_prompts_with_small_memory", _memory_prompts_sql(SMALL_STORE))
+def turn_prompts_with_small_memory(spark, sf):
+    """A store that holds the newest 50 memories at any turn."""
+    return _memory_prompts(spark, sf, SMALL_STORE)
+
+
 def _store_sql(gap: str, end: str) -> str:
     labels = " || ".join(
         f"'{label}: ' || coalesce({col}, '{default}') || {NL}"

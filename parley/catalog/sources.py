@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from parley import fixed
 from parley.catalog.base import pairs_sql, query, table
 from parley.functions.records import map_chat_record
-from parley.operators import pairing, replay, validate
+from parley.operators import lists, pairing, replay, validate
 from parley.session import working_folder
 from parley.sources import files, snapshots, tables
 
+#: Turns of a script.
+SCRIPT = 1_000
 PAIRS = f"WITH {pairs_sql('conversations')}"
 PLAIN = f"{PAIRS} SELECT conv_id || '/' || turn AS system, user_text AS user, reply AS assistant FROM pairs"
 
@@ -64,34 +66,61 @@ def read_json_lines(spark, sf):
 
 @query(
     "numbered_json_lines",
-    f"{PAIRS} SELECT count(*) AS rows, count(*) AS numbers, CAST(count(*) * (count(*) + 1) / 2 AS BIGINT) AS total FROM pairs",
+    f"{PAIRS} SELECT count(*) AS rows, count(*) AS numbers, count(*) AS last_numbers FROM pairs",
 )
 def numbered_json_lines(spark, sf):
-    """One file: its line numbers are 1 to the number of rows."""
+    """In every file the line numbers are 1 to the number of its rows; counts over all files."""
     rows = _records(spark, sf).select("system", "user", "assistant")
-    folder = _lines(rows.coalesce(1), working_folder(spark, "source"))
+    folder = _lines(rows, working_folder(spark, "source"))
     numbered = files.read_json_lines(spark, folder, numbered=True)
-    return numbered.agg(
-        F.count("*").alias("rows"), F.countDistinct("row_no").alias("numbers"), F.sum("row_no").alias("total")
+    per_file = numbered.groupBy("path").agg(
+        F.count("*").alias("rows"), F.countDistinct("row_no").alias("numbers"), F.max("row_no").alias("last")
     )
+    return per_file.agg(*[F.sum(c).alias(n) for c, n in (("rows", "rows"), ("numbers", "numbers"), ("last", "last_numbers"))])
+
+
+#: Records of one JSON document, and messages of a conversation that stay together in it.
+DOCUMENT, TOGETHER = 5_000, 256
+
+
+def _documents(spark, sf) -> DataFrame:
+    """(value): the pairs as JSON documents with records under ``data``; their number grows, not their size."""
+    rows = _records(spark, sf)
+    documents = max(1, rows.count() // DOCUMENT)
+    k = F.pmod(F.xxhash64("conv_id", F.floor(F.col("turn") / TOGETHER)), F.lit(documents))
+    item = F.struct("system", "user", "assistant")
+    lists = rows.groupBy(k.alias("k")).agg(F.collect_list(item).alias("data"))
+    return lists.select(F.to_json(F.struct("data")).alias("value"))
 
 
 @query("read_json_documents", PLAIN)
 def read_json_documents(spark, sf):
-    """Ten documents, each a list of records under ``data``."""
-    item = F.struct("system", "user", "assistant")
-    lists = _records(spark, sf).groupBy((F.col("conv_id") % 10).alias("k")).agg(F.collect_list(item).alias("data"))
-    folder = working_folder(spark, "source")
-    lists.select("data").write.option("maxRecordsPerFile", 1).json(folder)
+    folder = _one_per_file(_documents(spark, sf), working_folder(spark, "source"), "json")
     return files.read_json_documents(spark, folder).select("system", "user", "assistant")
 
 
+@query("read_json_documents_in_pieces", PLAIN)
+def read_json_documents_in_pieces(spark, sf):
+    """The same documents, cut into records from byte ranges as files of any length are."""
+    folder = _one_per_file(_documents(spark, sf), working_folder(spark, "source"), "json")
+    return files.read_json_documents(spark, folder, long=0).select("system", "user", "assistant")
+
+
 @query("read_csv", PLAIN)
 def read_csv(spark, sf):
     folder = _delimited(_records(spark, sf).select("user", "system", "assistant"), working_folder(spark, "source"), "csv")
     return files.read_delimited(spark, folder, "csv").select("system", "user", "assistant")
 
 
+@query("read_csv_in_pieces", PLAIN)
+def read_csv_in_pieces(spark, sf):
+    """Quoted files with line ends in their cells, cut into records from byte ranges."""
+    rows = _records(spark, sf).select("user", "system", F.replace("assistant", F.lit(". "), F.lit('."\n"')).alias("assistant"))
+    folder = _delimited(rows, working_folder(spark, "source"), "csv")
+    read = files.read_delimited(spark, folder, "csv", long=0)
+    return read.select("system", "user", F.replace("assistant", F.lit('."\n"'), F.lit(". ")).alias("assistant"))
+
+
 @query("read_tsv", PLAIN)
 def read_tsv(spark, sf):
     folder = _delimited(_records(spark, sf).select("assistant", "system", "user"), working_folder(spark, "source"), "tsv")
@@ -127,12 +156,15 @@ def load_corpus_folder(spark, sf):
 @query(
     "load_sources",
     f"{PAIRS} SELECT 'good' AS source, 'loaded' AS status, count(*) AS rows FROM pairs "
-    "UNION ALL SELECT 'gone', 'failed', 0",
+    "UNION ALL SELECT 'gone', 'failed', 0 UNION ALL SELECT 'late', 'failed', 0",
 )
 def load_sources(spark, sf):
+    """A source of lines, one that is not there, and one of whole documents beside a broken one."""
     folder = working_folder(spark, "source")
     good = _lines(_records(spark, sf).select("system", "user", "assistant"), f"{folder}/good")
-    _, report = files.load_sources(spark, {"good": good, "gone": f"{folder}/none.jsonl"})
+    broken = _documents(spark, sf).limit(1).select(F.substring("value", F.lit(1), F.length("value") - 3).alias("value"))
+    late = _one_per_file(_documents(spark, sf).unionByName(broken), f"{folder}/late", "json")
+    _, report = files.load_sources(spark, {"good": good, "gone": f"{folder}/none.jsonl", "late": late})
     return report.select("source", F.split("status", ":")[0].alias("status"), "rows")
 
 
@@ -202,22 +234,21 @@ def snapshot_versions(spark, sf):
 
 @query(
     "turn_scripts",
-    "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn, text AS user FROM conversations "
-    "WHERE role = 'user'",
+    f"SELECT conv_id, (no - 1) // {SCRIPT} AS script, (no - 1) % {SCRIPT} + 1 AS turn, text AS user FROM (SELECT *, "
+    "row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS no FROM conversations WHERE role = 'user')",
 )
 def turn_scripts(spark, sf):
-    """A script a conversation: a JSON list for even ones, JSON lines for odd ones. The name says which."""
+    """Scripts of so many turns: a JSON list for even conversations, JSON lines for odd ones. The name says which."""
     said = table(spark, sf, "conversations").where(F.col("role") == "user")
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda m: m["text"])
-    lists = said.groupBy("conv_id").agg(texts.alias("said"))
+    scripts = lists.cut_blocks(said, "conv_id", "turn", F.col("text"), "said", SCRIPT)
     as_list = F.to_json("said")
     as_lines = F.array_join(F.transform("said", lambda t: F.to_json(F.struct(t.alias("user")))), "\n")
     folder = working_folder(spark, "source")
-    scripts = lists.select("conv_id", F.when(F.col("conv_id") % 2 == 0, as_list).otherwise(as_lines).alias("value"))
-    scripts.write.option("maxRecordsPerFile", 1).partitionBy("conv_id").text(folder)
-    read = tables.read_turn_scripts(spark, f"{folder}/*/part-*")
-    conv = F.regexp_extract("path", r"conv_id=(\d+)/", 1).cast("bigint")
-    return read.select(conv.alias("conv_id"), "turn", "user")
+    texts = scripts.select("conv_id", "block", F.when(F.col("conv_id") % 2 == 0, as_list).otherwise(as_lines).alias("value"))
+    texts.write.option("maxRecordsPerFile", 1).partitionBy("conv_id", "block").text(folder)
+    read = tables.read_turn_scripts(spark, f"{folder}/*/*/part-*")
+    part = lambda name: F.regexp_extract("path", rf"{name}=(\d+)/", 1).cast("bigint")
+    return read.select(part("conv_id").alias("conv_id"), part("block").alias("script"), "turn", "user")
 
 
 @query(

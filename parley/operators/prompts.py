@@ -69,11 +69,13 @@ def replay_prompts(
     initial_id: str = fixed.DEFAULT_CHARACTER,
     initial_name: str | None = None,
     max_chars: int = fixed.MAX_CHARS,
+    capacity: int | None = fixed.MEMORY_CAPACITY,
 ) -> DataFrame:
     """All folds of a scripted conversation and one prompt per turn.
 
     With ``seq``, the global number of a turn over all users, memories of earlier turns are
-    looked up too; ``turns`` then needs ``user_id``.
+    looked up too, the newest ``capacity`` that the store held at the turn; ``turns`` then needs
+    ``user_id``.
     """
     states = with_profile_prompt(
         replay_states(turns, profiles, order, initial_id, initial_name), profiles
@@ -88,7 +90,7 @@ def replay_prompts(
         "user",
     )
     memory = embed(remember(numbered, F.col("seq"), F.col("seq")))
-    hits = retrieve(queries, memory, earlier_only=True)
+    hits = retrieve(queries, memory, capacity=capacity, earlier_only=True)
     recalled = recalled_texts(hits, memory).withColumnRenamed("query_id", "seq")
     joined = numbered.join(recalled, "seq", "left")
     return assemble(joined, F.col("memories"), max_chars).drop("seq")

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from parley import fixed
 from parley.functions.text import attachment_block, strip
+from parley.plans.sizes import checked_broadcast
+from parley.sources.files import read_lines, with_line_numbers
 
 LOG = "ts timestamp, user_id string, character string, user string, assistant string, quality_score double"
 
@@ -38,25 +40,25 @@ def _quoted(name: str) -> str:
 def read_turn_scripts(spark: SparkSession, path: str) -> DataFrame:
     """(path, turn, user) of scripted user turns.
 
-    A file is a JSON list of texts, or one JSON text or object with ``user`` or ``text`` a line.
+    A file is a JSON list of texts, or one JSON text or object with ``user`` or ``text`` a line; its
+    first sign that is no blank tells which. Files of lines are read by line and numbered by file
+    split, so a script of any length is many tasks; a list is put together from its own lines.
     """
-    whole = spark.read.text(path, wholetext=True).select(
-        strip(F.col("value")).alias("value"), F.col("_metadata.file_path").alias("path")
-    )
     texts = T.ArrayType(T.StringType())
-    listed = F.from_json("value", texts, {"mode": "FAILFAST"})
-    lines = F.filter(F.split("value", "\r?\n"), lambda x: strip(x) != "")
-
-    def of_line(line: Column) -> Column:
-        body = strip(line)
-        plain = F.get(F.from_json(F.concat(F.lit("["), body, F.lit("]")), texts), F.lit(0))
-        key = lambda k: F.nullif(F.get_json_object(body, f"$.{k}"), F.lit(""))
-        said = F.when(F.startswith(body, F.lit('"')), plain).otherwise(F.coalesce(key("user"), key("text")))
-        return F.coalesce(said, F.raise_error(F.concat(F.lit("invalid turn line: "), body)).cast("string"))
-
-    turns = F.when(F.startswith("value", F.lit("[")), listed).otherwise(F.transform(lines, of_line))
-    rows = whole.where(F.col("value") != "").select("path", F.posexplode(turns).alias("__i", "user"))
-    return rows.select("path", (F.col("__i") + 1).alias("turn"), "user")
+    lines = with_line_numbers(read_lines(spark, path).where(strip(F.col("value")) != ""))
+    opening = F.substring(F.ltrim(strip(F.col("value"))), 1, 1)
+    forms = lines.where(F.col("row_no") == 1).select("path", (opening == "[").alias("is_list"))
+    told = lines.join(checked_broadcast(forms), "path")
+    body = strip(F.col("value"))
+    plain = F.get(F.from_json(F.concat(F.lit("["), body, F.lit("]")), texts), F.lit(0))
+    key = lambda k: F.nullif(F.get_json_object(body, f"$.{k}"), F.lit(""))
+    said = F.when(F.startswith(body, F.lit('"')), plain).otherwise(F.coalesce(key("user"), key("text")))
+    wrong = F.raise_error(F.concat(F.lit("invalid turn line: "), body)).cast("string")
+    by_line = told.where(~F.col("is_list")).select("path", F.col("row_no").alias("turn"), F.coalesce(said, wrong).alias("user"))
+    whole = told.where("is_list").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("row_no", "value"))).alias("rows"))
+    listed = F.from_json(F.array_join(F.transform("rows", lambda r: r["value"]), "\n"), texts, {"mode": "FAILFAST"})
+    of_lists = whole.select("path", F.posexplode(listed).alias("__i", "user"))
+    return by_line.unionByName(of_lists.select("path", (F.col("__i") + 1).cast("bigint").alias("turn"), "user"))
 
 
 def run_records(
