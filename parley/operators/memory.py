@@ -15,7 +15,7 @@ from parley.plans.folds import last_rows
 from parley.plans.once import once
 from parley.plans.ranks import newest_rows, rank_by_ordinal, running_rows
 from parley.plans.sizes import checked_broadcast
-from parley.session import checkpoint_ready
+from parley.session import cut_lineage
 
 TILE = 8_192
 QUERIES = 8_192
@@ -73,8 +73,7 @@ def _positions(queries: DataFrame, memory: DataFrame) -> tuple[DataFrame, DataFr
         .select(*kept, "mem_id", "stored", "pos")
     )
     # read three times: for the queries, the memories and the size of the query sets
-    checkpoint_ready(queries.sparkSession)
-    placed = placed.checkpoint()
+    placed = cut_lineage(placed)
     return (
         placed.where(F.col("stored") == 0).select(*kept, F.col("pos").alias("hi")),
         placed.where(F.col("stored") == 1).select("mem_id", "user_id", "vec", "pos"),

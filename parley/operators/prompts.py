@@ -13,7 +13,7 @@ from parley.operators.replay import DYNAMIC, replay_states, template_profile
 from parley.operators.validate import valid_profiles
 from parley.plans.folds import Order
 from parley.plans.sizes import checked_broadcast
-from parley.session import checkpoint_ready
+from parley.session import cut_lineage
 
 _FIELDS = [*fixed.PROFILE_REQUIRED, fixed.PROFILE_OPTIONAL]
 
@@ -83,8 +83,7 @@ def replay_prompts(
     if seq is None:
         return assemble(states, max_chars=max_chars)
     # read three times below: once for the queries, for the memories and for the prompts
-    checkpoint_ready(states.sparkSession)
-    numbered = states.withColumn("seq", seq).checkpoint()
+    numbered = cut_lineage(states.withColumn("seq", seq))
     queries = embed(
         numbered.where(F.col("user") != "").select(F.col("seq").alias("query_id"), "user_id", "seq", "user"),
         "user",

@@ -12,7 +12,7 @@ from parley.functions.text import slug, strip
 from parley.plans.folds import last_rows
 from parley.plans.ranks import rank_by_ordinal, running_rows
 from parley.plans.sizes import checked_broadcast
-from parley.session import checkpoint_ready
+from parley.session import cut_lineage
 
 CHARACTER_SCHEMA = "id string, name string, personality string, world string, tone string"
 _BLOCK = 65_536
@@ -190,24 +190,21 @@ def unique_ids(
 
     ``newcomer`` is the arrival number. Where a numbered name meets a literal one (``x`` gives
     ``x_2`` and somebody is called ``x 2``) the earlier arrival keeps the id and the later ones
-    of the losing name are numbered again. Rounds are written to the checkpoint folder, so the
+    of the losing name are numbered again. Rounds are written to the shared folder, so the
     plan of a round does not contain those before it.
     """
-    checkpoint_ready(new.sparkSession)
     asked = F.coalesce(F.nullif(strip(F.col(requested)), F.lit("")), F.col(name))
     open_ = new.select(F.col(newcomer).alias("newcomer"), slug(asked, "letters").alias("base"))
     taken, done = existing.select("id"), None
     # the first arrival of all that are open always keeps its id, so every round settles some
     while True:
-        given = _free_numbers(open_, _readings(taken)).withColumn(
-            "id", _numbered_id(F.col("base"), F.col("number"))
-        ).checkpoint()
+        numbered = _free_numbers(open_, _readings(taken))
+        given = cut_lineage(numbered.withColumn("id", _numbered_id(F.col("base"), F.col("number"))))
         first = given.groupBy("id").agg(F.min("newcomer").alias("__first"))
         judged = given.join(first, "id").withColumn("lost", F.col("newcomer") != F.col("__first"))
         lost_from = judged.where("lost").groupBy("base").agg(F.min("newcomer").alias("__from"))
-        judged = judged.join(lost_from, "base", "left").withColumn(
-            "again", F.coalesce(F.col("newcomer") >= F.col("__from"), F.lit(False))
-        ).checkpoint()
+        again = F.coalesce(F.col("newcomer") >= F.col("__from"), F.lit(False))
+        judged = cut_lineage(judged.join(lost_from, "base", "left").withColumn("again", again))
         kept = judged.where(~F.col("again")).select("newcomer", "id")
         done = kept if done is None else done.unionByName(kept)
         open_ = judged.where("again").select("newcomer", "base")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from parley.functions.arrays import tail
-from parley.session import checkpoint_ready
+from parley.session import cut_lineage
 
 BLOCK = 20_000
 _BLOCK = "__block"
@@ -77,8 +77,7 @@ def settle(df: DataFrame, order: Order) -> DataFrame:
     """Cut lineage before a blocked fold reads its input twice; plain folds need no cut."""
     if order.block is None:
         return df
-    checkpoint_ready(df.sparkSession)
-    return df.checkpoint()
+    return cut_lineage(df)
 
 
 def _join_back(df: DataFrame, per_block: DataFrame, order: Order) -> DataFrame:

@@ -48,18 +48,6 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="parley-")
 
 
-def checkpoint_ready(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable without moving a folder that is set already."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows computed once and kept in the checkpoint folder, for several passes over them."""
-    checkpoint_ready(df.sparkSession)
-    return df.checkpoint()
-
-
 def working_folder(spark: SparkSession, name: str) -> str:
     """A new folder for one run, in the shared one."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -70,3 +58,8 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     folder = working_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows computed once, for several passes over them."""
+    return settled(df, "rows")

@@ -7,18 +7,22 @@ of arrival, and a batch holds at most what its trigger admits.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import MapState
 
 from parley import fixed
 from parley.functions import cues
 from parley.operators.replay import DYNAMIC, hear_personas
 from parley.functions.text import slug, strip
 from parley.operators.validate import valid_profiles
+from parley.plans.sizes import checked_broadcast
 
 WORLD = list(fixed.WORLD_DEFAULTS)
 
@@ -33,10 +37,36 @@ def _use_state_store(df: DataFrame) -> None:
 
 #: Rows of a session that go out in one frame: each carries the turns before it.
 CHUNK = 1_000
+#: Turn numbers whose rows are put in order together.
+CELL = 4_096
+_INBOX = ("cell bigint, run int", "rows binary")
 
 
-def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(batches), ignore_index=True).sort_values("turn", kind="stable")
+def in_order(frames: Iterator[pd.DataFrame], inbox: MapState) -> Iterator[pd.DataFrame]:
+    """The rows of a session's batch by turn, in frames of bounded size.
+
+    One frame is sorted as it is. Of several, the rows are laid into state by cells of turn numbers,
+    a run for each frame and cell, and the cells come back one after another. So no more than a
+    frame, or the runs of a cell, is in memory however long the session is.
+    """
+    first, second = next(frames, None), next(frames, None)
+    if first is None:
+        return
+    if second is None:
+        yield first.sort_values("turn", kind="stable")
+        return
+    runs: dict[int, int] = {}
+    for frame in chain([first, second], frames):
+        for cell, rows in frame.groupby(frame["turn"] // CELL, sort=False):
+            run = runs.get(cell, 0)
+            inbox.updateValue((int(cell), run), (pickle.dumps(rows),))
+            runs[cell] = run + 1
+    for cell in sorted(runs):
+        parts = []
+        for run in range(runs[cell]):
+            parts.append(pickle.loads(bytes(inbox.getValue((int(cell), run))[0])))
+            inbox.removeKey((int(cell), run))
+        yield pd.concat(parts, ignore_index=True).sort_values("turn", kind="stable")
 
 
 class PairMessages(StatefulProcessor):
@@ -44,21 +74,23 @@ class PairMessages(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getValueState("open", "text string, turn bigint")
+        self.inbox = handle.getMapState("inbox", *_INBOX)
 
     def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
         held = self.open.get() if self.open.exists() else None
-        out = []
-        for row in _in_order(rows).itertuples(index=False):
-            if row.by_user:
-                held = (row.text, row.turn)
-            elif held is not None:
-                out.append((row.conv_id, row.user_id, row.turn, held[0], row.text))
-                held = None
+        for frame in in_order(rows, self.inbox):
+            out = []
+            for row in frame.itertuples(index=False):
+                if row.by_user:
+                    held = (row.text, row.turn)
+                elif held is not None:
+                    out.append((row.conv_id, row.user_id, row.turn, held[0], row.text))
+                    held = None
+            yield pd.DataFrame(out, columns=["conv_id", "user_id", "turn", "user", "assistant"])
         if held is None:
             self.open.clear()
         else:
             self.open.update((held[0], int(held[1])))
-        yield pd.DataFrame(out, columns=["conv_id", "user_id", "turn", "user", "assistant"])
 
     def close(self) -> None:
         pass
@@ -93,6 +125,7 @@ class FollowSession(StatefulProcessor):
         self.moods = handle.getMapState("moods", "id string", "emotion string")
         self.counts = handle.getMapState("counts", "id string", "uses bigint")
         self.history = handle.getListState("history", "user string, assistant string")
+        self.inbox = handle.getMapState("inbox", *_INBOX)
 
     def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
         who = tuple(self.persona.get()) if self.persona.exists() else self.initial
@@ -101,7 +134,7 @@ class FollowSession(StatefulProcessor):
         columns = ["conv_id", "turn", "user", "assistant", "character_id", "character_name", "emotion"]
         columns += [*WORLD, "uses", "history"]
         out = []
-        for row in _in_order(rows).itertuples(index=False):
+        for row in chain.from_iterable(f.itertuples(index=False) for f in in_order(rows, self.inbox)):
             uses = 0
             if row.switch_id is not None:
                 if not self.names.containsKey((row.switch_id,)):
@@ -149,7 +182,11 @@ def follow_sessions(
     )
     heard = hear_personas(turns)
     asked = F.col("persona").isNotNull()
-    found = heard.withColumn("__slug", slug(F.col("persona.name"))).join(known, "__slug", "left")
+    # rows that name nobody are spread over keys that no profile has
+    nobody = F.concat_ws(" ", F.lit(" "), "conv_id", "turn")
+    found = heard.withColumn("__slug", F.coalesce(slug(F.col("persona.name")), nobody)).join(
+        checked_broadcast(known), "__slug", "left"
+    )
     switch = F.when(asked, F.when(F.col("__known").isNotNull(), F.col("__slug")).otherwise(
         F.concat(F.lit(DYNAMIC), F.col("__slug"))
     ))

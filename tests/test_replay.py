@@ -1,7 +1,9 @@
 """Replay of hand-written sessions, and batch against stream."""
 
 import json
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +162,60 @@ def test_stream_equals_batch(spark, profiles, tmp_path):
     assert got.agg(F.max("uses")).first()[0] > 1
 
 
+def test_long_session_in_frames(spark, profiles, tmp_path):
+    """A batch that holds a session in many frames, out of order: the same rows as the batch folds."""
+    chat = messages(spark).where("conv_id > 0")
+    texts = [u for u, _ in SCRIPT]
+    long = spark.range(2_000).select(
+        F.lit(9).cast("bigint").alias("conv_id"),
+        F.lit(1).cast("bigint").alias("user_id"),
+        (F.col("id") * 7).alias("turn"),
+        F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+        F.get(F.array(*[F.lit(t) for t in texts]), (F.col("id") % len(texts)).cast("int")).alias("text"),
+    )
+    chat = chat.unionByName(long)
+    order = Order(("conv_id",), "turn", 512)
+    batch = replay.replay_states(
+        pair_messages(chat, "conv_id", "turn", order=order).drop("user_turn"), profiles, order, before=False
+    )
+    chat.repartition(4, F.rand(3)).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "150")
+    try:
+        stream = jobs.read_stream(spark, str(tmp_path / "in"), chat.schema)
+        followed = sessions.follow_sessions(sessions.pair_stream(stream), profiles)
+        jobs.append_to(followed, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    columns = ["conv_id", "turn", "user", "assistant", "character_id", "character_name", "emotion", *fixed.WORLD_DEFAULTS, "history"]
+    rows = lambda df: sorted(map(tuple, df.select(*columns).collect()))
+    got = rows(spark.read.schema(followed.schema).parquet(str(tmp_path / "out")))
+    assert got == rows(batch) and len(got) > 900
+
+
+class Held(dict):
+    """A map state in memory, and the most bytes that it held."""
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def getValue(self, key):
+        return self[key]
+
+    def removeKey(self, key):
+        del self[key]
+
+
+def test_frames_come_in_order():
+    turns = random.Random(5).sample(range(50_000), 20_000)
+    frames = (pd.DataFrame({"turn": turns[i : i + 700], "x": i}) for i in range(0, 20_000, 700))
+    held, got = Held(), []
+    for frame in sessions.in_order(frames, held):
+        assert len(frame) <= sessions.CELL
+        got += frame["turn"].tolist()
+    assert got == sorted(turns) and not held
+    assert list(sessions.in_order(iter([]), held)) == []
+
+
 def test_stream_of_files_and_views(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
