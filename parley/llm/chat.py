@@ -4,8 +4,9 @@ For each participant the same dialogue is rendered once: that speaker's turns as
 those of all others as a named user's, shared turns (system) as they are. The mask covers the
 assistant's contents with their end mark. Only DataFrame functions are used.
 
-A dialogue is rendered in parts of ``PART`` turn numbers, whatever its length, so no task ever
-holds a whole dialogue; the output has one shape at every length.
+A dialogue is rendered in parts of ``PART`` turns, whatever its length and its numbers, so no task
+ever holds a whole dialogue. All turns are placed by one range-partitioned sort of the table, which
+splits a dialogue like any other run of rows.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.llm.shared import spread_join, spread_min
+from parley.plans.ranks import number_rows
+
 PART = 256
 SHARED = "system"
 UNKNOWN = "unknown"
@@ -38,7 +42,8 @@ def perspectives(
     """(chat, speaker, part, turns, text, mask) for every speaker but the shared one, and every part.
 
     ``mask`` is an array of (start, end) in code points of ``text``, end exclusive: the contents
-    to learn. Turns stand in order of their number, ties in order of speaker and text. A null
+    to learn. Turns stand in order of their number, ties in order of speaker and text, ``part`` of them
+    in a part. A null
     text is empty, a null speaker is ``unknown``, a null number comes before all others; rows
     without a chat id belong to no dialogue and are left out, and so are dialogues in which only
     the shared speaker speaks. Repeated rows are turns of their own.
@@ -49,10 +54,14 @@ def perspectives(
         _safe(F.coalesce(F.col(speaker_col).cast("string"), F.lit(UNKNOWN))).alias("who"),
         _safe(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("said"),
     )
+    # equal turns may trade places, but not all of them meet in one range
+    order = [F.col(c) for c in ("chat", "at", "who", "said", "tie")]
+    placed = number_rows(lines.withColumn("tie", F.monotonically_increasing_id()), order, "place").drop("at", "tie")
+    cut = spread_min(placed, ["chat"], "place", "first", F.col("place"))
     parts = (
-        lines.withColumn("part", F.floor(F.col("at") / part))
+        cut.withColumn("part", F.floor((F.col("place") - F.col("first")) / part))
         .groupBy("chat", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "who", "said"))).alias("lines"))
+        .agg(F.array_sort(F.collect_list(F.struct("place", "who", "said"))).alias("lines"))
     )
     speakers = lines.where(F.col("who") != shared).select("chat", F.col("who").alias("speaker")).distinct()
 
@@ -80,7 +89,7 @@ def perspectives(
     none = F.array().cast("array<struct<start:int,end:int>>")
     start = F.struct(F.lit(0).alias("at"), none.alias("mask"))
     return (
-        parts.join(speakers, "chat")
+        spread_join(parts, speakers, ["chat"], F.col("part"))
         .withColumn("segments", F.transform("lines", segment))
         .select(
             F.col("chat").alias(chat_col),

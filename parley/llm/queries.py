@@ -125,10 +125,11 @@ _HEAD = (
         replace(coalesce(text, ''), '<|im_', '< |im_') AS said
       FROM conversations WHERE conv_id IS NOT NULL),
     speakers AS (SELECT DISTINCT conv_id, who AS speaker FROM lines WHERE who <> 'system'),
+    cut AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY place, who, said) - 1) // {chat.PART} AS part FROM lines),
     seg AS (
-      SELECT l.conv_id, s.speaker, CAST(floor(l.place / {chat.PART}) AS BIGINT) AS part, l.place, l.who, l.said,
+      SELECT l.conv_id, s.speaker, l.part, l.place, l.who, l.said,
         {_HEAD} AS head, l.said || '<|im_end|>' || chr(10) AS body
-      FROM lines l JOIN speakers s ON l.conv_id = s.conv_id),
+      FROM cut l JOIN speakers s ON l.conv_id = s.conv_id),
     placed AS (
       SELECT *, sum(length(head) + length(body)) OVER (
         PARTITION BY conv_id, speaker, part ORDER BY place, who, said ROWS UNBOUNDED PRECEDING) AS upto FROM seg)

@@ -113,10 +113,10 @@ def salt_of(by: Column, salts: int = SALTS) -> Column:
 
 
 def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], by: Column, salts: int = SALTS) -> DataFrame:
-    """Inner join with a table of one row per key, for rows of which many may share a key.
+    """Inner join with a table of few rows per key, for rows of which many may share a key.
 
     ``by`` differs among the rows of a key and salts them. Only the (key, salt) pairs that occur meet
-    the table, one row each; then rows and pairs meet by key and salt. No null among the keys.
+    the table; then rows and pairs meet by key and salt. No null among the keys.
     """
     salted = rows.withColumn("__salt", salt_of(by, salts))
     pairs = salted.select(*keys, "__salt").distinct().join(table, keys)
