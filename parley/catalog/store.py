@@ -261,9 +261,21 @@ def insert_with_derived_ids(spark, sf):
     return ST.with_new_ids(rows, "conv_id", "turn").select("id", "conv_id", "turn")
 
 
-@query("insert_with_random_ids")
+@query(
+    "insert_with_random_ids",
+    "SELECT role, count(*) AS rows, count(*) AS ids, 36 AS shortest, 36 AS longest, count(*) AS dated "
+    "FROM conversations GROUP BY role",
+)
 def insert_with_random_ids(spark, sf):
-    return ST.with_new_ids(table(spark, sf, "conversations"))
+    """Random ids are of one form, and all of them differ; every row has its time."""
+    rows = ST.with_new_ids(table(spark, sf, "conversations"))
+    return rows.groupBy("role").agg(
+        F.count("*").alias("rows"),
+        F.countDistinct("id").alias("ids"),
+        F.min(F.length("id")).alias("shortest"),
+        F.max(F.length("id")).alias("longest"),
+        F.count("created_at").alias("dated"),
+    )
 
 
 @query(
