@@ -8,6 +8,7 @@ from parley.catalog.base import aggressive_sql, query, squeeze_sql, table, with_
 from parley.catalog.chats import _POINTS, _STATE_COLUMNS, AFRICA, NL, PAIRS, _profiles, _states_sql
 from parley.catalog.records import SYS
 from parley.session import working_folder
+from parley.sources import live
 from parley.sources.snapshots import load_snapshot, load_view
 from parley.streaming import jobs, sessions
 
@@ -89,3 +90,88 @@ def stream_memory_store(spark, sf):
     folder = working_folder(spark, "memory")
     jobs.keep_memory(memories, f"{folder}/view", f"{folder}/state", rows=40).awaitTermination()
     return load_snapshot(spark, f"{folder}/view", memories.schema).select("seq", "user_id", "text")
+
+
+#: A message's place in the stream of changes is twice its turn; its deletion comes right after it.
+_BURIED_AT = 7
+
+
+def _store_changes(rows):
+    """Messages put, some deleted again, and some sessions deleted in between, out of order over many files."""
+    key = F.shiftleft("conv_id", 31) + F.col("turn")
+    at = F.col("turn").cast("bigint") * 2
+
+    def change(kind, id_, version, deleted):
+        return F.struct(
+            F.lit(kind).alias("kind"), id_.alias("id"), F.col("conv_id").alias("session"), version.alias("version"),
+            F.lit(deleted).alias("deleted"), F.when(F.lit(not deleted), F.col("text")).alias("text"),
+        )
+
+    both = F.array(
+        change("message", key, at, False),
+        F.when((F.col("conv_id") + F.col("turn")) % 11 == 0, change("message", key, at + 1, True)),
+        F.when((F.col("turn") == 0), change("session", F.col("conv_id"), at, False)),
+        F.when((F.col("turn") == 1) & (F.col("conv_id") % 5 == 0), change("session", F.col("conv_id"), F.lit(_BURIED_AT).cast("bigint"), True)),
+        F.when((F.col("turn") == 2) & (F.col("conv_id") % 10 == 0), change("session", F.col("conv_id"), F.lit(_BURIED_AT + 1).cast("bigint"), False)),
+    )
+    return rows.select(F.explode(F.filter(both, lambda c: c.isNotNull())).alias("c")).select("c.*")
+
+
+def _kept_store(spark, sf):
+    """The folder of a store fed in three batches, and the columns of its changes."""
+    folder = working_folder(spark, "store")
+    files = max(6, spark.sparkContext.defaultParallelism)
+    changes = _store_changes(table(spark, sf, "conversations").select("conv_id", "turn", "text"))
+    changes.repartition(files, "id", "deleted").write.parquet(f"{folder}/arriving")
+    schema = changes.schema
+    arriving = jobs.read_stream(spark, f"{folder}/arriving", schema, files_per_batch=-(-files // 3))
+    by = [F.desc("version"), F.desc("id")]
+    jobs.keep_store(arriving, f"{folder}/store", f"{folder}/state", by, n=3).awaitTermination()
+    return f"{folder}/store", schema
+
+
+_LIVE = (
+    "SELECT conv_id * 2147483648 + turn AS id, conv_id AS session, turn * 2 AS version, text FROM conversations "
+    f"WHERE (conv_id + turn) % 11 <> 0 AND NOT (conv_id % 5 = 0 AND turn * 2 <= {_BURIED_AT} "
+    "AND conv_id IN (SELECT conv_id FROM conversations WHERE turn = 1))"
+)
+
+
+@query("stream_cascade_view", _LIVE)
+def stream_cascade_view(spark, sf):
+    folder, schema = _kept_store(spark, sf)
+    return live.load_live(spark, folder, live.MESSAGES, schema)
+
+
+@query(
+    "stream_recent_messages",
+    f"SELECT id, session, version, text FROM ({_LIVE}) QUALIFY row_number() OVER (PARTITION BY session ORDER BY version DESC, id DESC) <= 3",
+)
+def stream_recent_messages(spark, sf):
+    folder, schema = _kept_store(spark, sf)
+    return live.load_live(spark, folder, live.RECENT, schema)
+
+
+@query(
+    "stream_store_feed",
+    f"""
+    WITH live AS ({_LIVE})
+    SELECT 'feed' AS feed, 'message' AS kind, * FROM live UNION ALL
+    SELECT 'recent_feed', 'message', * FROM live
+    QUALIFY row_number() OVER (PARTITION BY session ORDER BY version DESC, id DESC) <= 3 UNION ALL
+    SELECT 'feed', 'session', conv_id, conv_id, CASE WHEN conv_id % 10 = 0 AND back THEN {_BURIED_AT + 1} ELSE 0 END, CASE WHEN conv_id % 10 = 0 AND back THEN again ELSE text END
+    FROM (
+      SELECT conv_id, bool_or(turn = 0) AS known, bool_or(turn = 1) AS gone, bool_or(turn = 2) AS back,
+        max(text) FILTER (WHERE turn = 0) AS text, max(text) FILTER (WHERE turn = 2) AS again
+      FROM conversations GROUP BY conv_id)
+    WHERE (known OR (conv_id % 10 = 0 AND back)) AND (conv_id % 5 <> 0 OR NOT gone OR (conv_id % 10 = 0 AND back))
+    """,
+)
+def stream_store_feed(spark, sf):
+    """What a reader of the feeds holds in the end is what the store holds."""
+    folder, schema = _kept_store(spark, sf)
+    held = [
+        live.replay(live.load_feed(spark, folder, name, schema)).select(F.lit(name).alias("feed"), "kind", "id", "session", "version", "text")
+        for name in (live.FEED, live.RECENT_FEED)
+    ]
+    return held[0].unionByName(held[1])

@@ -16,7 +16,7 @@ VERSION = "snapshot"
 #: Versions kept: the newest and the one before it, which a repeated batch starts from.
 KEPT = 2
 BUCKETS = 64
-_BUCKET = "bucket"
+BUCKET = "bucket"
 
 
 def _place(spark: SparkSession, folder: str):
@@ -92,23 +92,56 @@ def load_snapshot_or_empty(spark: SparkSession, folder: str, schema: T.StructTyp
 # -- keyed views ----------------------------------------------------------------------------------
 
 
-def _manifest(spark: SparkSession, folder: str, before: int | None = None) -> dict[int, int]:
+def manifest_of(spark: SparkSession, folder: str, before: int | None = None) -> dict[int, int]:
     """Per bucket the version that wrote it last: at most as many rows as buckets."""
     rows = load_snapshot(spark, f"{folder}/manifest", T._parse_datatype_string("bucket int, written int"), before)
     return {r["bucket"]: r["written"] for r in rows.collect()}
 
 
 def _bucket_path(folder: str, bucket: int, version: int) -> str:
-    return f"{_path(f'{folder}/data', version)}/{_BUCKET}={bucket}"
+    return f"{_path(f'{folder}/data', version)}/{BUCKET}={bucket}"
 
 
-def _read(spark: SparkSession, folder: str, schema: T.StructType, manifest: dict[int, int]) -> DataFrame:
+def read_buckets(spark: SparkSession, folder: str, schema: T.StructType, manifest: dict[int, int]) -> DataFrame:
     paths = [_bucket_path(folder, b, v) for b, v in sorted(manifest.items())]
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def load_view(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    return _read(spark, folder, schema, _manifest(spark, folder))
+    return read_buckets(spark, folder, schema, manifest_of(spark, folder))
+
+
+def _buckets_of(spark: SparkSession, folder: str, version: int) -> list[int]:
+    """The buckets that hold rows of a version: a bucket whose rows are all gone has no folder."""
+    files, path = _place(spark, _path(f"{folder}/data", version))
+    if not files.exists(path):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(path)]
+    return [int(n.removeprefix(f"{BUCKET}=")) for n in names if n.startswith(f"{BUCKET}=")]
+
+
+def write_buckets(
+    rows: DataFrame, folder: str, number: int, manifest: dict[int, int], touched: list[int]
+) -> dict[int, int]:
+    """Write all rows of the ``touched`` buckets (column ``bucket``) as version ``number``; the others stay.
+
+    Buckets that neither of the two newest versions refers to are removed. Returns the new manifest.
+    """
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").partitionBy(BUCKET).parquet(_path(f"{folder}/data", number))
+    untouched = {b: v for b, v in manifest.items() if b not in set(touched)}
+    manifest = untouched | dict.fromkeys(_buckets_of(spark, folder, number), number)
+    listed = spark.createDataFrame(list(manifest.items()), "bucket int, written int")
+    save_snapshot(listed.coalesce(1), f"{folder}/manifest", number)
+    used = set(manifest.items()) | set(manifest_of(spark, folder, before=number).items())
+    for old in versions(spark, f"{folder}/data"):
+        there = _buckets_of(spark, folder, old)
+        for b in there:
+            if (b, old) not in used:
+                _remove(spark, _bucket_path(folder, b, old))
+        if not any((b, old) in used for b in there) and old != number:
+            _remove(spark, _path(f"{folder}/data", old))
+    return manifest
 
 
 def save_view(
@@ -117,26 +150,12 @@ def save_view(
     """Version ``number`` of a view: the buckets of the changed keys are written anew, the others stay.
 
     The newest row of a key by ``version`` holds, so a late change never replaces a newer row.
-    Buckets that neither of the two newest versions refers to are removed.
     """
     spark, schema = changes.sparkSession, changes.schema
     bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
     touched = [r[0] for r in changes.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets``
-    manifest = _manifest(spark, folder, before=number)
-    held = _read(spark, folder, schema, {b: manifest[b] for b in touched if b in manifest})
+    manifest = manifest_of(spark, folder, before=number)
+    held = read_buckets(spark, folder, schema, {b: manifest[b] for b in touched if b in manifest})
     again = held.join(changes.select(key).distinct(), key, "left_semi")
     rows = upsert(held, changes.unionByName(again), key, version)
-    rows.withColumn(_BUCKET, bucket).write.mode("overwrite").partitionBy(_BUCKET).parquet(_path(f"{folder}/data", number))
-    manifest |= dict.fromkeys(touched, number)
-    listed = spark.createDataFrame(list(manifest.items()), "bucket int, written int")
-    save_snapshot(listed.coalesce(1), f"{folder}/manifest", number)
-    used = set(manifest.items()) | set(_manifest(spark, folder, before=number).items())
-    for old in versions(spark, f"{folder}/data"):
-        left = False
-        for b in range(buckets):
-            if (b, old) in used:
-                left = True
-            else:
-                _remove(spark, _bucket_path(folder, b, old))
-        if not left and old != number:
-            _remove(spark, _path(f"{folder}/data", old))
+    write_buckets(rows.withColumn(BUCKET, bucket), folder, number, manifest, touched)

@@ -6,7 +6,7 @@ goes on from its checkpoint when started again.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from parley.functions.records import map_chat_record
 from parley.operators.memory import keep_capacity, remember
 from parley.operators.validate import curate, validate_rows
 from parley.sources.files import CORRUPT, parse_json_lines
+from parley.sources.live import apply_changes
 from parley.sources.snapshots import load_snapshot, save_snapshot, save_view
 from parley.sources.tables import LOG
 
@@ -114,3 +115,17 @@ def keep_view(
         save_view(batch, folder, key, version, number + 1)
 
     return _each_batch(changes, work, checkpoint, trigger)
+
+
+def keep_store(
+    changes: DataFrame, folder: str, checkpoint: str, by: Sequence[Column], n: int = fixed.TOP_MEMORIES, **trigger
+) -> StreamingQuery:
+    """Maintain sessions, messages and the first ``n`` messages of each, with deletions that cascade and feeds.
+
+    See ``parley.sources.live`` for the columns of a change and what can be read meanwhile.
+    """
+
+    def work(batch: DataFrame, number: int) -> None:
+        apply_changes(batch, folder, number + 1, by, n)
+
+    return _each_batch(changes, work, checkpoint, trigger)
