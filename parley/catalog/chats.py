@@ -395,15 +395,38 @@ def _persona_prompt_sql(persona: str) -> str:
     )
 
 
-@query(
-    "switch_prompts",
-    f"""
-    WITH {PAIRS}, {_switch_sql('pairs', 'user_text')},
+_SAID = f"""
+    {PAIRS}, {_switch_sql('pairs', 'user_text')},
     said AS (SELECT conv_id, turn, rest AS u, reply,
       coalesce(last_value(persona IGNORE NULLS) {_UPTO.format('CURRENT ROW')}, '{fixed.SWITCH_DEFAULT_PERSONA}') AS persona
       FROM sw),
     lined AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS no,
-      '<|user|>' || {NL} || u || '</s>' || {NL} || '<|assistant|>' || {NL} || reply || '</s>' || {NL} AS line FROM said),
+      '<|user|>' || {NL} || u || '</s>' || {NL} || '<|assistant|>' || {NL} || reply || '</s>' || {NL} AS line FROM said)"""
+
+
+@query(
+    "switch_history_pieces",
+    f"WITH {_SAID} SELECT conv_id, no // {replay.HISTORY_PART} AS part, string_agg(line, '' ORDER BY no) AS told FROM lined GROUP BY ALL",
+)
+def switch_history_pieces(spark, sf):
+    """Whole histories, every line written once."""
+    return replay.switch_store(*_turns(spark, sf))[1].select("conv_id", "part", "told")
+
+
+@query(
+    "switch_history_turns",
+    f"WITH {_SAID} SELECT conv_id, turn, persona, u AS user, no // {replay.HISTORY_PART} AS last, CAST(coalesce(sum(length(line)) OVER ("
+    f"PARTITION BY conv_id, no // {replay.HISTORY_PART} ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS upto FROM lined",
+)
+def switch_history_turns(spark, sf):
+    """What of the pieces every turn's prompt tells."""
+    return replay.switch_store(*_turns(spark, sf))[0].select("conv_id", "turn", "persona", "user", "last", "upto")
+
+
+@query(
+    "switch_prompts",
+    f"""
+    WITH {_SAID},
     parts AS (SELECT *, no // {replay.HISTORY_PART} AS last, unnest(range(0, no // {replay.HISTORY_PART} + 1)) AS part FROM lined),
     told AS (SELECT p.conv_id, p.turn, p.part, string_agg(e.line, '' ORDER BY e.no) AS hist FROM parts p JOIN lined e
       ON e.conv_id = p.conv_id AND e.no // {replay.HISTORY_PART} = p.part AND e.no < p.no GROUP BY p.conv_id, p.turn, p.part)

@@ -7,6 +7,8 @@ prompt are those of the turns before.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,31 +148,45 @@ def carry_history(turns: DataFrame, order: Order, pairs: int = fixed.HISTORY_PAI
     return items_before(turns, order, item, pairs, "history")
 
 
-def history_parts(turns: DataFrame, order: Order, line: Column, part: int = HISTORY_PART) -> DataFrame:
-    """Every turn once per part of its whole history: adds ``part``, ``last`` and ``told``.
+def history_store(
+    turns: DataFrame, order: Order, line: Column, part: int = HISTORY_PART
+) -> tuple[DataFrame, DataFrame]:
+    """Whole histories, every line written once: (turns, pieces).
 
-    Part ``p`` tells the ``line`` of turns ``p * part`` to ``(p + 1) * part - 1`` of the session,
-    as far as they are earlier than the turn. A part that lies behind a turn is put together once
-    and joined to all later turns, so a task holds parts, never a session; the rows written grow
-    with the square of a session's length because the histories do.
+    A piece is (session, ``part``, ``told``): the ``line`` of turns ``p * part`` to
+    ``(p + 1) * part - 1`` of the session. A turn gets ``last`` and ``upto``: its history is the
+    pieces before ``last`` and the first ``upto`` characters of that one. Rows and bytes of both
+    grow with the turns, however long a session is; ``told_parts`` gives the texts of chosen turns.
     """
     numbered = settle(number(turns, order, "__no"), order)
     cut = numbered.withColumns({"__line": line, "last": F.floor((F.col("__no") - 1) / part)})
     keys = [*order.keys, "last"]
     lines = F.array_sort(F.collect_list(F.struct("__no", "__line")))
-    whole = (
+    pieces = (
         cut.groupBy(*keys)
         .agg(F.array_join(F.transform(lines, lambda x: x["__line"]), "").alias("told"))
         .withColumnRenamed("last", "part")
     )
     earlier = Window.partitionBy(*keys).orderBy("__no").rowsBetween(Window.unboundedPreceding, -1)
-    own = cut.withColumns(
-        {"part": F.col("last"), "told": F.array_join(F.collect_list("__line").over(earlier), "")}
-    )
-    behind = cut.where(F.col("last") > 0).withColumn(
-        "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last") - 1))
-    )
-    return own.unionByName(behind.join(whole, [*order.keys, "part"])).drop("__no", "__line")
+    upto = F.coalesce(F.sum(F.length("__line")).over(earlier), F.lit(0)).cast("int")
+    return cut.withColumn("upto", upto).drop("__no", "__line"), pieces
+
+
+def told_parts(turns: DataFrame, pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The given turns of a history store once per piece of their histories: adds ``part`` and ``told``."""
+    reached = turns.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))))
+    whole = F.col("part") < F.col("last")
+    told = F.when(whole, F.col("told")).otherwise(F.col("told").substr(F.lit(1), F.col("upto")))
+    return reached.join(pieces, [*keys, "part"]).withColumn("told", told).drop("upto")
+
+
+def history_parts(turns: DataFrame, order: Order, line: Column, part: int = HISTORY_PART) -> DataFrame:
+    """Every turn once per part of its whole history: adds ``part``, ``last`` and ``told``.
+
+    The expansion of a history store for all turns: no task holds a session, but the rows written
+    grow with the square of a session's length because the histories do.
+    """
+    return told_parts(*history_store(turns, order, line, part), order.keys)
 
 
 def replay_states(
@@ -271,6 +287,46 @@ def recent_pairs(
     return pair_messages(last, key, by, text=text, keep_blank=True, order=Order((key,), by))
 
 
+def _switched(turns: DataFrame, order: Order, initial: str, use_remainder: bool) -> DataFrame:
+    heard = once(turns, "__switch", persona_switch(F.col("user"))).withColumn(
+        "__persona", F.col("__switch.persona")
+    )
+    if use_remainder:
+        heard = heard.withColumn(
+            "user", F.when(F.col("__persona").isNotNull(), F.col("__switch.remainder")).otherwise(F.col("user"))
+        )
+    heard = settle(heard.drop("__switch"), order)
+    voiced = settle(carry(heard, order, {"persona": F.col("__persona")}), order)
+    return voiced.withColumn("persona", F.coalesce("persona", F.lit(initial))).drop("__persona")
+
+
+def switch_store(
+    turns: DataFrame,
+    order: Order,
+    initial: str = fixed.SWITCH_DEFAULT_PERSONA,
+    *,
+    use_remainder: bool = True,
+    end: str = fixed.END_MARK,
+) -> tuple[DataFrame, DataFrame]:
+    """Replay with start-of-message persona switches as a history store: (turns with ``persona``, pieces).
+
+    ``switch_told`` makes the prompts of chosen turns from it.
+    """
+    said = F.struct(F.col("user").alias("user"), F.coalesce("assistant", F.lit("")).alias("assistant"))
+    voiced = _switched(turns, order, initial, use_remainder)
+    return history_store(voiced, order, render.history_chat(F.array(said), end))
+
+
+def switch_told(turns: DataFrame, pieces: DataFrame, keys: Sequence[str], end: str = fixed.END_MARK) -> DataFrame:
+    """Prompts of the given turns of a ``switch_store``: the rows of a turn in order of ``part``."""
+    prompt = F.concat(
+        F.when(F.col("part") == 0, render.tagged_opening(render.persona_prompt(F.col("persona")), end)).otherwise(""),
+        F.col("told"),
+        F.when(F.col("part") == F.col("last"), render.tagged_question(F.col("user"), end)).otherwise(""),
+    )
+    return told_parts(turns, pieces, keys).withColumn("prompt", prompt).drop("told", "last")
+
+
 def switch_replay(
     turns: DataFrame,
     order: Order,
@@ -285,28 +341,8 @@ def switch_replay(
     With a number of ``pairs`` there is one prompt a turn. Without, the whole history is told: the
     prompt of a turn is the text of its rows in order of ``part``.
     """
-    heard = once(turns, "__switch", persona_switch(F.col("user"))).withColumn(
-        "__persona", F.col("__switch.persona")
-    )
-    if use_remainder:
-        heard = heard.withColumn(
-            "user", F.when(F.col("__persona").isNotNull(), F.col("__switch.remainder")).otherwise(F.col("user"))
-        )
-    heard = settle(heard.drop("__switch"), order)
-    voiced = settle(carry(heard, order, {"persona": F.col("__persona")}), order)
-    voiced = voiced.withColumn("persona", F.coalesce("persona", F.lit(initial)))
-    system = render.persona_prompt(F.col("persona"))
-    if pairs is not None:
-        told = carry_history(voiced, order, pairs)
-        prompt = render.tagged_prompt(system, F.col("history"), F.col("user"), end)
-        return told.withColumn("prompt", prompt).drop("__persona", "history")
-    line = render.history_chat(
-        F.array(F.struct(F.col("user").alias("user"), F.coalesce("assistant", F.lit("")).alias("assistant"))), end
-    )
-    parts = history_parts(voiced, order, line)
-    prompt = F.concat(
-        F.when(F.col("part") == 0, render.tagged_opening(system, end)).otherwise(""),
-        F.col("told"),
-        F.when(F.col("part") == F.col("last"), render.tagged_question(F.col("user"), end)).otherwise(""),
-    )
-    return parts.withColumn("prompt", prompt).drop("__persona", "told", "last")
+    if pairs is None:
+        return switch_told(*switch_store(turns, order, initial, use_remainder=use_remainder, end=end), order.keys, end)
+    told = carry_history(_switched(turns, order, initial, use_remainder), order, pairs)
+    prompt = render.tagged_prompt(render.persona_prompt(F.col("persona")), F.col("history"), F.col("user"), end)
+    return told.withColumn("prompt", prompt).drop("history")

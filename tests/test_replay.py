@@ -129,6 +129,26 @@ def test_history_parts(spark, block):
     assert [(r["session"], r["turn"], r["part"], r["last"], r["told"]) for r in got] == want
 
 
+@pytest.mark.parametrize("block", [None, 4])
+def test_history_store_is_linear(spark, block):
+    """Every line stands in one piece; any turn's prompt comes from the pieces, with astral letters too."""
+    order = Order(("session",), "turn", block)
+    rows = [("s", i, f"u\U0001f600{i}", f"a{i}") for i in range(300)] + [("t", 5, "x", None)]
+    df = spark.createDataFrame(rows, "session string, turn int, user string, assistant string")
+    turns, pieces = replay.switch_store(df, order)
+    told = {(r["session"], r["part"]): r["told"] for r in pieces.collect()}
+    assert turns.count() == 301 and set(told) == {("s", p) for p in range(5)} | {("t", 0)}
+    lines = [f"<|user|>\n{u}</s>\n<|assistant|>\n{a or ''}</s>\n" for _, _, u, a in rows]
+    assert "".join(told["s", p] for p in range(5)) == "".join(lines[:300]) and told["t", 0] == lines[300]
+    some = replay.switch_told(turns.where("turn in (0, 63, 64, 200)"), pieces, order.keys)
+    prompts = {}
+    for r in some.orderBy("turn", "part").collect():
+        prompts[r["turn"]] = prompts.get(r["turn"], "") + r["prompt"]
+    for turn, prompt in prompts.items():
+        assert prompt.endswith("</s>\n" + "".join(lines[:turn]) + f"<|user|>\n{rows[turn][2]}</s>\n<|assistant|>\n")
+    assert set(prompts) == {0, 63, 64, 200}
+
+
 def messages(spark):
     """Chat of five sessions, one of them long, with gaps in the pairing."""
     rows = []
