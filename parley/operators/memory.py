@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +24,10 @@ QUERIES = 8_192
 #: Decimals of a squared distance that count; equal ones go by age, not by rounding.
 SAME = 9
 SEQ_BLOCK = 65_536
+#: Memories that tiles are gathered around, at most: their vectors come to the driver.
+PIVOTS = 256
+#: More than the rounding of a distance taken from products, as a share of the lengths.
+_ROUNDING = 1e-6
 
 
 def remember(turns: DataFrame, mem_id: Column, seq: Column, user_id: str = "user_id") -> DataFrame:
@@ -129,6 +135,108 @@ def _search(left: pa.Table, right: pa.Table, fetch: int, own_first: bool) -> pa.
     )
 
 
+def _pivots(stored: DataFrame, total: int) -> np.ndarray:
+    """Memories that others gather around, one per tile and at most ``PIVOTS``.
+
+    Of four times as many, chosen by hash, the next pivot is always the one farthest from all
+    pivots before it, so that no heap of memories is left without one.
+    """
+    count = min(PIVOTS, -(-total // TILE))
+    chosen = stored.select("mem_vec", F.xxhash64("mem_id").alias("h")).orderBy("h", "mem_vec").limit(4 * count)
+    rows = np.array([r["mem_vec"] for r in chosen.collect()], dtype=np.float64)
+    taken, gap = [0], ((rows - rows[0]) ** 2).sum(axis=1)
+    while len(taken) < count and gap.max() > 0:
+        taken.append(int(gap.argmax()))
+        gap = np.minimum(gap, ((rows - rows[taken[-1]]) ** 2).sum(axis=1))
+    return rows[taken]
+
+
+def _centred(rows: DataFrame, vec: str, pivots: np.ndarray, every: bool) -> DataFrame:
+    """Add ``gaps``, no more than the distances to all pivots, or ``cell`` and ``gap``, no less than that to the nearest."""
+    sizes = (pivots * pivots).sum(axis=1)
+    largest = float(np.sqrt(sizes.max(initial=0.0)))
+    added = "gaps array<double>" if every else "cell bigint, gap double"
+    schema = T.StructType([*rows.schema.fields, *T._parse_datatype_string(added).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = _matrix(pa.chunked_array([batch.column(vec)]))
+            own = (v * v).sum(axis=1)
+            gaps = np.sqrt(np.maximum(own[:, None] + sizes - 2.0 * (v @ pivots.T), 0.0))
+            slack = _ROUNDING * (np.sqrt(own) + largest)
+            if every:
+                low = np.maximum(gaps - slack[:, None], 0.0)
+                offsets = pa.array(np.arange(len(v) + 1) * len(pivots), pa.int32())
+                more = [pa.ListArray.from_arrays(offsets, pa.array(low.ravel()))]
+            else:
+                cell = gaps.argmin(axis=1)
+                more = [pa.array(cell.astype(np.int64)), pa.array(gaps[np.arange(len(v)), cell] + slack)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _tiled(stored: DataFrame, cell: str) -> DataFrame:
+    """Add ``tile``: at most ``TILE`` memories of one cell that follow each other in it."""
+    placed = rank_by_ordinal(stored, "pos", [cell], "__rank", SEQ_BLOCK)
+    # two tiles of one number are searched as one
+    return placed.withColumn("tile", F.xxhash64(cell, F.floor((F.col("__rank") - 1) / TILE))).drop("__rank")
+
+
+def _spans(tiles: DataFrame, cell: str = "mem_user") -> DataFrame:
+    """One row per cell and tile: the numbers it spans, and how far its memories are from the pivot."""
+    radius = [F.max("gap").alias("radius")] if "gap" in tiles.columns else []
+    return cut_lineage(tiles.groupBy(cell, "tile").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), *radius))
+
+
+def _reached(met: DataFrame) -> DataFrame:
+    """Tiles that hold numbers of the query's range."""
+    return met.where((F.col("first") < F.col("hi")) & (F.col("last") >= F.col("lo")))
+
+
+def _open_tiles(asked: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(query_id, tile, gap, bound): nothing of a tile is nearer to the query than ``bound``. No vectors."""
+    spans = checked_broadcast(_spans(tiles, "cell"))
+    met = asked.select("query_id", "lo", "hi", F.posexplode("gaps").alias("at", "gap"))
+    met = _reached(met.join(spans, F.col("at") == F.col("cell")))
+    return met.select("query_id", "tile", "gap", F.greatest(F.col("gap") - F.col("radius"), F.lit(0.0)).alias("bound"))
+
+
+def _may_be_nearer(open_: DataFrame, closest: DataFrame, near: DataFrame, fetch: int) -> DataFrame:
+    """(query_id, tile): tiles not searched yet that may change the first ``fetch`` rows of a query."""
+    held = near.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
+    limit = held.where(F.col("n") >= fetch).select("query_id", (F.col("far") * F.col("far") + 2 * 10.0**-SAME).alias("limit"))
+    others = open_.join(closest.withColumnRenamed("tile", "__done"), "query_id").where(F.col("tile") != F.col("__done"))
+    nearer = F.col("limit").isNull() | (F.col("bound") * F.col("bound") <= F.col("limit"))
+    return others.join(limit, "query_id", "left").where(nearer).select("query_id", "tile").distinct()
+
+
+def _matched(reach: DataFrame, tiles: DataFrame, fetch: int, own_first: bool) -> DataFrame:
+    """The best rows of every query in every tile that it reaches."""
+    sets = reach.groupBy("tile").agg(F.ceil(F.count("*") / QUERIES).alias("sets"))
+    sets = checked_broadcast(sets)
+    reach = reach.join(sets, "tile").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("sets"))).drop("sets")
+    dealt = tiles.select("mem_id", "mem_user", "mem_vec", "pos", "tile").join(sets, "tile")
+    dealt = dealt.withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("sets") - 1))
+    ).drop("sets")
+    schema = reach.select("query_id", "user_id").schema
+    for name in ("mem_id", "mem_user"):
+        schema = schema.add(name, tiles.schema[name].dataType)
+    schema = schema.add("pos", T.LongType()).add("distance", T.DoubleType())
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _search(left, right, fetch, own_first)
+
+    return (
+        reach.groupBy("tile", "part")
+        .cogroup(dealt.groupBy("tile", "part"))
+        .applyInArrow(search, schema)
+    )
+
+
 def nearest(
     queries: DataFrame,
     memory: DataFrame,
@@ -145,49 +253,50 @@ def nearest(
     newest, with ``earlier_only`` those there were at its own ``seq``. Equal distances
     (``SAME`` decimals of the square) go to the older memory.
 
-    Memories are cut into tiles by insertion number and queries into sets; every tile meets a set
-    in one task that returns ``fetch`` rows per query, and the rows of all tiles are merged. So
-    no task holds more than a tile and a set, and no pair of rows is ever written out.
+    Memories are cut into tiles and queries into sets; a tile meets a set in one task that returns
+    ``fetch`` rows per query, and the rows of all tiles are merged. So no task holds more than a
+    tile and a set, and no pair of rows is ever written out. With ``own_first`` a tile holds one
+    user's memories and meets only that user's queries; users that are null find nothing. With a
+    capacity below all memories and ``earlier_only``, tiles go by insertion number, and a query
+    meets those of its window. Else tiles are made of memories near one of at most ``PIVOTS``
+    memories; a query first searches the tile it is closest to, and then only those that by the
+    triangle inequality may hold something at least as near as the last row found.
     """
+    total = memory.count()
     if earlier_only:
         asked, stored = _positions(queries, memory)
     else:
-        total = F.lit(memory.count()).cast("bigint")
         stored = rank_by_ordinal(memory, "seq", (), "__rank", SEQ_BLOCK).select(
             "mem_id", "user_id", "vec", (F.col("__rank") - 1).alias("pos")
         )
-        asked = queries.select("query_id", "user_id", "vec", total.alias("hi"))
+        asked = queries.select("query_id", "user_id", "vec", F.lit(total).cast("bigint").alias("hi"))
     # names of their own: queries and memories may come from one table
     stored = stored.select("mem_id", F.col("user_id").alias("mem_user"), F.col("vec").alias("mem_vec"), "pos")
     lowest = F.lit(0).cast("bigint") if capacity is None else F.greatest(F.col("hi") - capacity, F.lit(0))
     asked = asked.withColumn("lo", lowest).where(F.col("hi") > 0)
-    first, last = F.floor(F.col("lo") / TILE), F.floor((F.col("hi") - 1) / TILE)
-    spans = asked.select("query_id", first.alias("__a"), last.alias("__b"))
-    sets = (
-        spans.select(F.explode(F.sequence("__a", "__b")).alias("tile"))
-        .groupBy("tile")
-        .agg(F.ceil(F.count("*") / QUERIES).alias("sets"))
-    )
-    sets = checked_broadcast(sets)
-    reach = asked.withColumn("tile", F.explode(F.sequence(first, last))).join(sets, "tile")
-    reach = reach.withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("sets"))).drop("sets")
-    tiles = stored.withColumn("tile", F.floor(F.col("pos") / TILE)).join(sets, "tile")
-    tiles = tiles.withColumn(
-        "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("sets") - 1))
-    ).drop("sets")
-    schema = asked.select("query_id", "user_id").schema
-    for name in ("mem_id", "mem_user"):
-        schema = schema.add(name, stored.schema[name].dataType)
-    schema = schema.add("pos", T.LongType()).add("distance", T.DoubleType())
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _search(left, right, fetch, own_first)
-
-    near = (
-        reach.groupBy("tile", "part")
-        .cogroup(tiles.groupBy("tile", "part"))
-        .applyInArrow(search, schema)
-    )
+    if total <= TILE:
+        one = F.lit(0).cast("bigint")
+        near = _matched(asked.withColumn("tile", one), stored.withColumn("tile", one), fetch, own_first)
+    elif own_first:
+        tiles = cut_lineage(_tiled(stored, "mem_user"))
+        reach = _reached(asked.join(checked_broadcast(_spans(tiles)), F.col("user_id") == F.col("mem_user")))
+        near = _matched(reach.drop("mem_user", "first", "last"), tiles, fetch, True)
+    elif earlier_only and capacity is not None and capacity < total:
+        first, last = F.floor(F.col("lo") / TILE), F.floor((F.col("hi") - 1) / TILE)
+        reach = asked.withColumn("tile", F.explode(F.sequence(first, last)))
+        near = _matched(reach, stored.withColumn("tile", F.floor(F.col("pos") / TILE)), fetch, False)
+    else:
+        if capacity is not None and capacity < total:
+            stored = stored.where(F.col("pos") >= total - capacity)
+        pivots = _pivots(stored, total if capacity is None else min(total, capacity))
+        tiles = cut_lineage(_tiled(_centred(stored, "mem_vec", pivots, False), "cell"))
+        asked = cut_lineage(_centred(asked, "vec", pivots, True))
+        open_ = _open_tiles(asked, tiles)
+        closest = open_.groupBy("query_id").agg(F.min_by("tile", F.struct("gap", "tile")).alias("tile"))
+        asked = asked.drop("gaps")
+        near = cut_lineage(_matched(asked.join(closest, "query_id"), tiles, fetch, False))
+        rest = _may_be_nearer(open_, closest, near, fetch)
+        near = near.unionByName(_matched(asked.join(rest, "query_id"), tiles, fetch, False))
     merged = Window.partitionBy("query_id").orderBy(F.round(F.col("distance") * F.col("distance"), SAME), "pos")
     return near.withColumn("rank", F.row_number().over(merged)).where(F.col("rank") <= fetch).drop("pos")
 

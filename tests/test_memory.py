@@ -53,6 +53,38 @@ def test_retrieval(spark, vectors, monkeypatch, earlier, own, capacity, tile, qu
     assert got == brute(asks, stored, 12, 4, capacity, earlier, own)
 
 
+def test_most_tiles_are_skipped(spark, monkeypatch):
+    """Memories in 12 heaps of 64: the rows of a full search, from a fraction of the tiles."""
+    monkeypatch.setattr(M, "TILE", 32)
+    rng = np.random.default_rng(2)
+    heaps = rng.normal(size=(12, 16)) * 10
+    vec = (heaps[rng.integers(0, 12, 768)] + rng.normal(size=(768, 16))).astype(np.float32)
+    stored = [(i, 0, i, vec[i].tolist()) for i in range(768)]
+    asks = [(i, 0, 768, (vec[i] + 0.1).tolist()) for i in range(0, 768, 12)]
+    q = spark.createDataFrame(asks, "query_id bigint, user_id int, seq bigint, vec array<float>")
+    m = spark.createDataFrame(stored, "mem_id bigint, user_id int, seq bigint, vec array<float>")
+    sent = []
+    matched = M._matched
+    monkeypatch.setattr(M, "_matched", lambda reach, tiles, *more: sent.append((reach.count(), tiles.select("tile").distinct().count())) or matched(reach, tiles, *more))
+    got = {}
+    for r in M.retrieve(q, m, earlier_only=True).orderBy("query_id", "place").collect():
+        got.setdefault(r["query_id"], []).append(r["mem_id"])
+    assert got == brute(asks, stored, 12, 4, 768, True, False)
+    searched, tiles = sum(n for n, _ in sent), sent[0][1]
+    print(f"{searched} of {tiles * len(asks)} pairs of a tile and a query searched")
+    assert searched < 0.35 * tiles * len(asks)
+
+
+def test_nothing_stored_or_asked(spark):
+    q = spark.createDataFrame([(1, 0, 5, [1.0, 0.0])], "query_id bigint, user_id int, seq bigint, vec array<float>")
+    m = spark.createDataFrame([(1, 0, 1, [1.0, 0.0])], "mem_id bigint, user_id int, seq bigint, vec array<float>")
+    for earlier in (False, True):
+        for own in (False, True):
+            assert M.retrieve(q, m.limit(0), earlier_only=earlier, own_first=own).count() == 0
+            assert M.retrieve(q.limit(0), m, earlier_only=earlier, own_first=own).count() == 0
+            assert M.retrieve(q, m, earlier_only=earlier, own_first=own).count() == 1
+
+
 def test_embedding_is_unit_length(spark):
     df = spark.createDataFrame([("Été dans la mer, été",), ("other words here",), ("été dans la mer été!",)], "text string")
     rows = [np.array(r[0]) for r in embed(df).select("vec").collect()]
