@@ -274,17 +274,15 @@ def nearest(
     stored = stored.select("mem_id", F.col("user_id").alias("mem_user"), F.col("vec").alias("mem_vec"), "pos")
     lowest = F.lit(0).cast("bigint") if capacity is None else F.greatest(F.col("hi") - capacity, F.lit(0))
     asked = asked.withColumn("lo", lowest).where(F.col("hi") > 0)
-    if total <= TILE:
-        one = F.lit(0).cast("bigint")
-        near = _matched(asked.withColumn("tile", one), stored.withColumn("tile", one), fetch, own_first)
+    windowed = earlier_only and capacity is not None and capacity < total
+    if total <= TILE or (windowed and not own_first):
+        first, last = F.floor(F.col("lo") / TILE), F.floor((F.col("hi") - 1) / TILE)
+        reach = asked.withColumn("tile", F.explode(F.sequence(first, last)))
+        near = _matched(reach, stored.withColumn("tile", F.floor(F.col("pos") / TILE)), fetch, own_first)
     elif own_first:
         tiles = cut_lineage(_tiled(stored, "mem_user"))
         reach = _reached(asked.join(checked_broadcast(_spans(tiles)), F.col("user_id") == F.col("mem_user")))
         near = _matched(reach.drop("mem_user", "first", "last"), tiles, fetch, True)
-    elif earlier_only and capacity is not None and capacity < total:
-        first, last = F.floor(F.col("lo") / TILE), F.floor((F.col("hi") - 1) / TILE)
-        reach = asked.withColumn("tile", F.explode(F.sequence(first, last)))
-        near = _matched(reach, stored.withColumn("tile", F.floor(F.col("pos") / TILE)), fetch, False)
     else:
         if capacity is not None and capacity < total:
             stored = stored.where(F.col("pos") >= total - capacity)
