@@ -290,10 +290,10 @@ def nearest(
         tiles = cut_lineage(_tiled(_centred(stored, "mem_vec", pivots, False), "cell"))
         asked = cut_lineage(_centred(asked, "vec", pivots, True))
         open_ = _open_tiles(asked, tiles)
-        closest = open_.groupBy("query_id").agg(F.min_by("tile", F.struct("gap", "tile")).alias("tile"))
+        closest = cut_lineage(open_.groupBy("query_id").agg(F.min_by("tile", F.struct("gap", "tile")).alias("tile")))
         asked = asked.drop("gaps")
         near = cut_lineage(_matched(asked.join(closest, "query_id"), tiles, fetch, False))
-        rest = _may_be_nearer(open_, closest, near, fetch)
+        rest = cut_lineage(_may_be_nearer(open_, closest, near, fetch))
         near = near.unionByName(_matched(asked.join(rest, "query_id"), tiles, fetch, False))
     merged = Window.partitionBy("query_id").orderBy(F.round(F.col("distance") * F.col("distance"), SAME), "pos")
     return near.withColumn("rank", F.row_number().over(merged)).where(F.col("rank") <= fetch).drop("pos")
