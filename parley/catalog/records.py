@@ -19,7 +19,7 @@ from parley.functions import render
 from parley.functions.arrays import first_filled, first_present
 from parley.operators import lists, pairing, validate
 from parley.operators.sampling import split_rows
-from parley.plans.folds import Order, carry, last_rows, measure
+from parley.plans.folds import carry, last_rows, measure
 from parley.plans.once import once
 from parley.session import cut_lineage
 
@@ -395,8 +395,7 @@ def preference_rows(spark, sf):
 
 def _next_reply(pairs, order):
     turned = pairs.withColumn("back", -F.col("turn"))
-    backward = Order(order.keys, "back", order.block)
-    return carry(turned, backward, {"other": F.col("assistant")}, before=True).drop("back")
+    return carry(turned, order.backward("back"), {"other": F.col("assistant")}, before=True).drop("back")
 
 
 @query(

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from parley import fixed
 from parley.functions.cues import memory_candidate
 from parley.functions.vectors import embed
+from parley.plans.cells import cells_for
 from parley.plans.folds import last_rows
 from parley.plans.once import once
 from parley.plans.ranks import newest_rows, rank_by_ordinal, running_rows
@@ -58,7 +59,7 @@ def rebuild_vectors(memory: DataFrame, text: str = "text", into: str = "vec") ->
 def _positions(queries: DataFrame, memory: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Memories with their number in insertion order; queries with the memories before them.
 
-    Both come from one running count over the merged sequence, cut into blocks of it.
+    Both come from one running count over the merged sequence, cut into cells of it.
     """
     kept = ["query_id", "user_id", "vec"]
     asked = queries.select(
@@ -68,7 +69,8 @@ def _positions(queries: DataFrame, memory: DataFrame) -> tuple[DataFrame, DataFr
         F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"),
         "user_id", "vec", "seq", F.lit(1).alias("stored"), "mem_id",
     )
-    merged = asked.unionByName(stored).withColumn("__cell", F.floor(F.col("seq") / SEQ_BLOCK))
+    merged = asked.unionByName(stored)
+    merged = cells_for(merged, "seq", SEQ_BLOCK).add(merged, "seq", "__cell")
     counts = merged.groupBy("__cell").agg(F.sum("stored").alias("__rows"))
     # a query at the number of a memory does not see it
     window = Window.partitionBy("__cell").orderBy("seq", "stored").rowsBetween(Window.unboundedPreceding, -1)

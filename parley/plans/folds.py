@@ -10,7 +10,8 @@ blocks of ``BLOCK`` numbers:
   the rows of every group counted;
 * some group does: windows run inside (group, block), so no task holds more than a block, and
   what a block needs from earlier ones comes from one small row per block, folded by group and
-  joined back. Sparse numbers (milliseconds) are cut into blocks as wide as hold that many rows.
+  joined back. Sparse numbers (milliseconds) are cut at quantiles of the long groups' rows, so
+  blocks hold about that many rows however unevenly the numbers lie.
 
 Both give the same rows.
 """
@@ -19,11 +20,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from parley.functions.arrays import tail
+from parley.plans.cells import SPARSE, Cells, quantile_cells
+from parley.plans.sizes import checked_broadcast
 from parley.session import cut_lineage
 
 BLOCK = 20_000
@@ -32,21 +37,29 @@ _BLOCK = "__block"
 
 @dataclass(frozen=True)
 class Order:
-    """Group keys, order column (unique inside a group), width of a block if needed, most rows of a group."""
+    """Group keys, order column (unique inside a group), size of a block if needed, most rows of a group.
+
+    Blocks are ``block`` numbers wide, or cut by ``cuts``.
+    """
 
     keys: tuple[str, ...]
     by: str
     block: int | None = None
     longest: int | None = None
+    cuts: Cells | None = None
 
     def within(self, *more: str) -> "Order":
         """The same order inside smaller groups."""
         return replace(self, keys=self.keys + more)
 
+    def backward(self, by: str) -> "Order":
+        """The reverse order, ``by`` being the negated order column."""
+        return replace(self, by=by, cuts=self.cuts and self.cuts.backward())
+
     def cells(self, df: DataFrame) -> DataFrame:
         if self.block is None:
             return df
-        return df.withColumn(_BLOCK, F.floor(F.col(self.by) / self.block))
+        return (self.cuts or Cells(self.block)).add(df, self.by, _BLOCK)
 
     @property
     def cell_keys(self) -> list[str]:
@@ -61,16 +74,24 @@ class Order:
 
 
 def measure(df: DataFrame, keys: Sequence[str], by: str, block: int = BLOCK) -> Order:
-    """Decide between plain windows and blocks, and how wide blocks are; a few values come back."""
+    """Decide between plain windows and blocks, and how blocks are cut; a few values come back."""
     largest = df.agg(F.max(by)).first()[0] or 0
     if largest < block:
         return Order(tuple(keys), by, None, largest)
     groups = df.groupBy(*keys).agg(F.count("*").alias("n"), (F.max(by) - F.min(by) + 1).alias("span"))
-    rows, span = groups.agg(F.max("n"), F.max_by("span", "n")).first()
+    long = F.col("n") >= block
+    rows, total, wide = groups.agg(
+        F.max("n"), F.sum(F.when(long, F.col("n"))), F.max(F.when(long, F.col("span") / F.col("n")))
+    ).first()
     if rows < block:
         return Order(tuple(keys), by, None, rows)
-    # dense numbers: blocks of ``block`` numbers; sparse ones: as wide as hold that many rows
-    return Order(tuple(keys), by, max(block, int(span) * block // rows), rows)
+    if wide <= SPARSE:
+        return Order(tuple(keys), by, block, rows)
+    # short groups take no part: their rows may lie elsewhere
+    hot = groups.where(long).select(*[F.col(k).alias(f"__long{i}") for i, k in enumerate(keys)])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__long{i}")) for i, k in enumerate(keys)])
+    cuts = quantile_cells(df.select(*keys, by).join(checked_broadcast(hot), same, "left_semi"), by, block, total)
+    return Order(tuple(keys), by, block, rows, cuts)
 
 
 def settle(df: DataFrame, order: Order) -> DataFrame:

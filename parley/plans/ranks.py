@@ -5,8 +5,8 @@ digits tells where every rank falls; only the rows of one histogram cell meet in
 a question such as "the first n" becomes a comparison with one cutoff key, so the wide rows do
 not move at all.
 
-Natural order: a dense integer (row ordinal, id) is cut into blocks; ranks inside a block plus
-the number of rows in earlier blocks give the rank.
+Natural order: an integer (row ordinal, id, milliseconds) is cut into cells of about equal numbers
+of rows; ranks inside a cell plus the number of rows in earlier cells give the rank.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley import fixed
+from parley.plans.cells import cells_for
 from parley.plans.sizes import checked_broadcast
 from parley.session import cut_lineage
 
@@ -60,9 +61,14 @@ def histogram(df: DataFrame, key: str, groups: Sequence[str] = (), digits: int =
 
 
 def rank_by_key(
-    df: DataFrame, key: str, groups: Sequence[str] = (), name: str = "rank", digits: int = DIGITS
+    df: DataFrame, key: str, groups: Sequence[str] = (), name: str = "rank", digits: int | None = None
 ) -> DataFrame:
-    """Add the exact rank (from 1) in key order, inside the group if one is given."""
+    """Add the exact rank (from 1) in key order, inside the group if one is given.
+
+    Unless ``digits`` says how finely, the rows are counted so that a cell stays small at any size.
+    """
+    if digits is None:
+        digits = max(DIGITS, digits_for(df.count()))
     cells = histogram(df, key, groups, digits).drop("__rows")
     window = Window.partitionBy(*groups, "__cell").orderBy(key)
     return (
@@ -163,8 +169,8 @@ def running_rows(cells: DataFrame, groups: Sequence[str], cell: str) -> DataFram
 def rank_by_ordinal(
     df: DataFrame, by: str, groups: Sequence[str] = (), name: str = "rank", block: int = BLOCK
 ) -> DataFrame:
-    """Add the exact rank (from 1) in the order of a unique, roughly dense integer column."""
-    cut = df.withColumn("__cell", F.floor(F.col(by) / block))
+    """Add the exact rank (from 1) in the order of an integer column, unique inside the group."""
+    cut = cells_for(df, by, block).add(df, by, "__cell")
     counts = cut.groupBy(*groups, "__cell").agg(F.count("*").alias("__rows"))
     window = Window.partitionBy(*groups, "__cell").orderBy(by)
     return (
@@ -177,10 +183,11 @@ def rank_by_ordinal(
 def newest_rows(df: DataFrame, by: str, n: int, block: int = BLOCK) -> DataFrame:
     """The ``n`` rows with the largest order numbers.
 
-    Rows per block tell in which block the n-th newest row lies; only the order numbers of that
-    block are sorted, and the wide rows are just compared with the one number found.
+    Rows per cell tell in which cell the n-th newest row lies; only the order numbers of that
+    cell are sorted, and the wide rows are just compared with the one number found.
     """
-    cut = cut_lineage(df.select(by, F.floor(F.col(by) / block).alias("__cell")))
+    numbers = cut_lineage(df.select(by))
+    cut = cells_for(numbers, by, block).add(numbers, by, "__cell")
     counts = cut.groupBy(-F.col("__cell")).agg(F.count("*").alias("__rows")).toDF("__cell", "__rows")
     edge = (
         running_rows(counts, (), "__cell")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from parley.operators import sampling as S
 from parley.operators.pairing import number_pairs, pair_messages
 from parley.plans import ranks
+from parley.plans.cells import cells_for
 from parley.plans.folds import Order, carry, items_before, measure, number
 from parley.plans.sizes import checked_broadcast
 
@@ -104,6 +105,80 @@ def test_measure_of_milliseconds(spark):
     assert [r["n"] for r in got] == list(range(1, 3_001))
 
 
+@pytest.fixture(scope="module")
+def bursts(spark):
+    """Milliseconds of one year: nine tenths of a long group's rows lie in one hour, a few in 2^60."""
+    rng = random.Random(11)
+    start, hour = 1_700_000_000_000, 3_600_000
+    year = 365 * 24 * hour
+    at = set()
+    while len(at) < 2_700:
+        at.add(start + year // 2 + rng.randrange(hour))
+    while len(at) < 2_990:
+        at.add(start + rng.randrange(year))
+    at |= {2**60 + i for i in range(10)}
+    rows = [("long", t) for t in at]
+    rows += [(f"s{i % 40}", start + rng.randrange(year) * 50 + i) for i in range(800)]
+    rows += [(None, start + i * 7_919) for i in range(1_500)]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_blocks_of_uneven_numbers(spark, bursts):
+    """Rows of one hour of a year still fall into many blocks, and folds over them stay right."""
+    df = spark.createDataFrame(bursts, "k string, at bigint")
+    order = measure(df, ["k"], "at", 200)
+    assert order.cuts is not None and order.longest == 3_000
+    sizes = order.cells(df).groupBy(*order.cell_keys).count().where("k = 'long'").collect()
+    assert len(sizes) >= 12 and max(r["count"] for r in sizes) <= 400
+    cue = F.when(F.col("at") % 5 == 0, F.col("at"))
+    named = df.where("k IS NOT NULL")
+    got = number(carry(named, order, {"now": cue}), order, "n")
+    got = items_before(got, order, F.col("at"), 3, "past")
+    found = {(r["k"], r["at"]): (r["now"], r["n"], r["past"]) for r in got.collect()}
+    back = order.backward("back")
+    turned = carry(named.withColumn("back", -F.col("at")), back, {"next": cue}, before=True)
+    ahead = {(r["k"], r["at"]): r["next"] for r in turned.collect()}
+    want, want_ahead = {}, {}
+    for key, rows in groups([r for r in bursts if r[0]]).items():
+        times, last, following = [r[1] for r in rows], None, None
+        for i, t in enumerate(times):
+            last = t if t % 5 == 0 else last
+            want[key, t] = (last, i + 1, times[max(0, i - 3) : i])
+        for t in reversed(times):
+            want_ahead[key, t] = following
+            following = t if t % 5 == 0 else following
+    assert found == want and ahead == want_ahead
+
+
+def test_ranks_of_uneven_numbers(spark, bursts):
+    rows = [r for r in bursts if r[0]]
+    df = spark.createDataFrame(rows, "k string, at bigint")
+    cells = cells_for(df, "at", 100)
+    sizes = cells.add(df, "at", "cell").groupBy("k", "cell").count().collect()
+    assert len({r["cell"] for r in sizes}) >= 25 and max(r["count"] for r in sizes) <= 200
+    assert max(r["cell"] for r in sizes) <= 2 * len(rows) // 100  # as many cells as rows ask for, however wide the numbers
+    got = ranks.rank_by_ordinal(df, "at", ["k"], block=100).collect()
+    want = {(k, r[1]): i for k, rs in groups(rows).items() for i, r in enumerate(rs, 1)}
+    assert {(r["k"], r["at"]): r["rank"] for r in got} == want
+    newest = sorted(r[1] for r in rows)[::-1]
+    for n in (1, 500, 3_800):
+        assert {r["at"] for r in ranks.newest_rows(df, "at", n, 100).collect()} == set(newest[:n])
+
+
+def test_cells_of_odd_columns(spark):
+    """Empty tables, nulls, one number only and negative numbers."""
+    empty = spark.createDataFrame([], "at bigint")
+    assert cells_for(empty, "at", 10).add(empty, "at", "c").collect() == []
+    odd = spark.createDataFrame([(None,), (5,), (-(2**62),), (2**62,)], "at bigint")
+    got = cells_for(odd, "at", 1).add(odd, "at", "c")
+    cells = [r["c"] for r in got.where("at IS NOT NULL").orderBy("at").collect()]
+    assert cells == sorted(cells) and got.where("at IS NULL").first()["c"] is None
+    same = spark.createDataFrame([(2**61,)] * 9 + [(0,)], "at bigint")
+    cells = cells_for(same, "at", 2).add(same, "at", "c")
+    assert {r["at"] for r in cells.orderBy("c").limit(1).collect()} == {0}
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     """1,000 rows, a third of them from one source, ids with gaps."""
