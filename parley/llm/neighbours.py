@@ -6,15 +6,18 @@ row is then put into its most probable part, a query goes to its several most pr
 what is there is ranked by the exact distance. How many parts are asked is chosen on vectors of
 the sample that the network was not fitted on.
 
-Parts are divided into blocks of rows and of queries, so a part that holds a third of all rows is
-many small tasks.
+A large table takes more parts than the sample can teach. Then the parts are themselves divided by
+the same method, each on a bounded sample of its own rows, in a task of its own: a query asks some
+parts of each part that it is sent to. Parts are divided into blocks of rows and of queries, so a
+part that holds a third of all rows is many small tasks.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,10 @@ NEIGHBOURS = 10
 #: Recall on the sample's held-out vectors that the number of parts asked must reach.
 RECALL = 0.97
 ROWS, QUERIES = 8_192, 4_096
+#: Sampled vectors for each part that is learned.
+PER_PART = 64
 _HIDDEN = 64
+_DRAWS = 1 << 30
 
 
 # -- fitting on the sample ------------------------------------------------------------------------
@@ -179,6 +185,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
+def _chosen(
+    router: Router, vectors: np.ndarray, asked: int, sizes: dict[int, int] | None, least: int, first: int = 0
+) -> tuple[np.ndarray, np.ndarray]:
+    """(row, part) pairs: the parts asked for each row; further ones until they hold ``least`` rows."""
+    order = router.order(vectors)
+    take = np.broadcast_to(np.arange(order.shape[1]) < asked, order.shape)
+    if sizes is not None:
+        filled = np.array([sizes.get(first + p, 0) for p in range(order.shape[1])])[order]
+        take = take | (np.cumsum(filled, 1) - filled < least)
+    at, which = np.nonzero(take)
+    return at, first + order[at, which]
+
+
 def _routed(rows: DataFrame, router: Router, asked: int, sizes: dict[int, int] | None = None, least: int = 0) -> DataFrame:
     """Rows with ``part``, once for each part asked; further parts until they hold ``least`` rows."""
     schema = T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType())])
@@ -187,18 +206,71 @@ def _routed(rows: DataFrame, router: Router, asked: int, sizes: dict[int, int] |
         for batch in batches:
             if not batch.num_rows:
                 continue
-            order = router.order(_matrix(batch.column(1)))
-            take = np.broadcast_to(np.arange(order.shape[1]) < asked, order.shape)
-            if sizes is not None:
-                filled = np.vectorize(lambda p: sizes.get(int(p), 0))(order)
-                take = take | (np.cumsum(filled, 1) - filled < least)
-            at, which = np.nonzero(take)
+            at, part = _chosen(router, _matrix(batch.column(1)), asked, sizes, least)
             picked = batch.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(order[at, which].astype(np.int32))], schema.names)
+            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(part.astype(np.int32))], schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
+def _inner_routers(index: DataFrame, sizes: dict[int, int], inner: int, sample: int, recall: float) -> dict[int, Router]:
+    """A router inside every part, fitted on at most ``sample`` of its rows by a task of its own.
+
+    What comes back is one small network per part, in single precision; parts are at most ``sample // PER_PART``.
+    """
+    draw = F.pmod(F.xxhash64(F.lit("inner"), "id"), F.lit(_DRAWS))
+    # a little fewer than may be, so that chance seldom gives more
+    shares = [x for p, n in sizes.items() for x in (F.lit(p), F.lit(int(min(1.0, 0.9 * sample / n) * _DRAWS)))]
+    if not shares:
+        return {}
+    drawn = index.withColumn("draw", draw).where(F.col("draw") < F.create_map(*shares)[F.col("part")])
+
+    def fit(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("draw", "ascending"), ("id", "ascending")]).slice(0, sample)
+        vectors = _matrix(rows.column("vector").combine_chunks())
+        router = learn(vectors, max(1, min(inner, len(vectors) // PER_PART)), recall)
+        small = {f.name: getattr(router, f.name) for f in fields(router)}
+        small = {n: v.astype(np.float32) if isinstance(v, np.ndarray) else v for n, v in small.items()}
+        return pa.table([rows.column("part").slice(0, 1), pa.array([pickle.dumps(small)], pa.binary())], ["part", "router"])
+
+    fitted = drawn.groupBy("part").applyInArrow(fit, "part int, router binary").collect()
+    return {r["part"]: Router(**pickle.loads(r["router"])) for r in fitted}
+
+
+def _deeper(
+    rows: DataFrame, routers: dict[int, Router], inner: int, sizes: dict[int, int] | None = None, least: int = 0
+) -> DataFrame:
+    """Rows with the parts of their part: the most probable one, or, given ``sizes``, all that are asked."""
+    schema = rows.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts, vectors = batch.column("part").to_numpy(), _matrix(batch.column("vector"))
+            at, leaves = [], []
+            for p in np.unique(parts).tolist():
+                here = np.flatnonzero(parts == p)
+                if p in routers:
+                    asked = 1 if sizes is None else routers[p].asked
+                    a, leaf = _chosen(routers[p], vectors[here], asked, sizes, least, p * inner)
+                    here = here[a]
+                else:  # no row of the part was drawn: it stays whole
+                    leaf = np.full(len(here), p * inner)
+                at.append(here)
+                leaves.append(leaf)
+            picked = batch.take(pa.array(np.concatenate(at)))
+            leaf = pa.array(np.concatenate(leaves).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*picked.columns[:-1], leaf], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _part_sizes(rows: DataFrame) -> dict[int, int]:
+    """Rows of every part, one number for each."""
+    return {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
+
+
 def best_in_tile(ids: np.ndarray, base: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple:
     """(query, id, distance) of the k nearest rows per query, exact; ties to the smaller id."""
     found = []
@@ -252,6 +324,9 @@ def nearest_rows(
     smaller id. Vectors that are null, all zero or hold a null or non-finite component take no
     part, nor do those of another length than the smallest id's, nor rows without an id. A row is
     no candidate for its own id. Of rows that repeat an id, one counts. Ids are integers.
+
+    ``parts`` grow with the root of the table. The sample teaches ``sample // PER_PART`` of them;
+    more are learned in two levels, up to the square of that number.
     """
     some = rows.where(F.col(id_col).isNotNull() & (F.size(F.col(vector_col)) > 0))
     size = some.agg(F.min_by(F.size(F.col(vector_col)), F.col(id_col))).first()[0] or 0
@@ -262,39 +337,50 @@ def nearest_rows(
     if repeats(usable_rows.select("id"), "id"):
         usable_rows = usable_rows.dropDuplicates(["id"])
     total = usable_rows.count()
+    most = max(1, sample // PER_PART)
     if parts is None:
-        parts = max(1, min(total // 256, int(math.sqrt(total) / 4), sample // 64))
+        parts = max(1, min(total // 256, int(math.sqrt(total) / 4)))
+    inner = 1 if parts <= most else min(most, math.ceil(math.sqrt(parts)))
+    outer = min(most, math.ceil(parts / inner))
+    if inner > 1:  # each level may lose a share
+        recall = math.sqrt(recall)
     picked = usable_rows.select("id").orderBy(F.xxhash64("id"), "id").limit(sample)
     fitted = usable_rows.join(F.broadcast(picked), "id").select("id", "vector").toArrow().sort_by("id")
-    router = learn(_matrix(fitted.column("vector").combine_chunks()), parts, recall)
+    router = learn(_matrix(fitted.column("vector").combine_chunks()), outer, recall)
 
     index = settled(_routed(usable_rows.select("id", "vector"), router, 1), "index")
-    sizes = {r["part"]: r["n"] for r in index.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row per part
+    sizes = _part_sizes(index)
     asking = usable_rows.where("asks").select("id", "vector")
     routed = settled(_routed(asking, router, router.asked, sizes, k + 1), "queries")
-    asked = {r["part"]: r["n"] for r in routed.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    if inner > 1:
+        routers = _inner_routers(index, sizes, inner, sample, recall)
+        index = settled(_deeper(index, routers, inner), "index")
+        routed = settled(_deeper(routed, routers, inner, _part_sizes(index), k + 1), "queries")
 
-    def blocks(counts: dict[int, int], rows: int) -> Column:
-        pairs = [x for p, n in counts.items() for x in (F.lit(p), F.lit(math.ceil(n / rows)))]
-        return F.create_map(*pairs)[F.col("part")] if pairs else F.lit(1)
+    def block(of: str) -> Column:
+        return F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
 
-    def block(of: Column) -> Column:
-        return F.pmod(F.xxhash64("id"), of).cast("int")
+    def every(of: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
 
-    def every(of: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0), of - 1))
+    def blocks(of: DataFrame, rows: int, name: str) -> DataFrame:
+        return of.groupBy("part").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
 
-    of_rows, of_queries = blocks(sizes, tile_rows), blocks(asked, tile_queries)
+    # one row per part, and parts are at most the square of ``sample // PER_PART``
+    both = blocks(index, tile_rows, "blocks").join(blocks(routed, tile_queries, "query_blocks"), "part")
+    both = F.broadcast(settled(both, "parts"))
     key = ["part", "block", "query_block"]
     left = (
-        index.where(F.col("part").isin(list(asked)))
-        .withColumn("block", block(of_rows))
-        .withColumn("query_block", every(of_queries))
+        index.join(both, "part")
+        .withColumn("block", block("blocks"))
+        .withColumn("query_block", every("query_blocks"))
+        .select("id", "vector", *key)
     )
     right = (
-        routed.where(F.col("part").isin(list(sizes)))
-        .withColumn("query_block", block(of_queries))
-        .withColumn("block", every(of_rows))
+        routed.join(both, "part")
+        .withColumn("query_block", block("query_blocks"))
+        .withColumn("block", every("blocks"))
+        .select("id", "vector", *key)
     )
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_tile(k), "query_id bigint, id bigint, score double")
     best = Window.partitionBy("query_id").orderBy("score", "id")

@@ -50,6 +50,42 @@ def test_recall(spark, parts):
         assert got[q] == sorted(got[q], key=lambda x: (x[1], x[0]))
 
 
+def test_two_levels(spark):
+    """More parts than the sample teaches: parts of parts, of fewer rows, recall as promised."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(80, 16))
+    rows = {i: (centres[i % 80] + 0.5 * rng.normal(size=16)).tolist() for i in range(5000)}
+    rows |= {i: rows[0] for i in range(5000, 6000)}
+    want = brute(rows)
+    df = make(spark, rows.items())
+    got = found(df, parts=64, sample=1024, tile_rows=128, tile_queries=32)
+    assert got.keys() == want.keys() and all(len(v) == 10 for v in got.values())
+    hits = np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 10 for q in want])
+    assert hits >= 0.9
+    for q in want:
+        assert got[q] == sorted(got[q], key=lambda x: (x[1], x[0]))
+
+
+def test_parts_of_parts(spark):
+    """Every row lies in one leaf, leaves are many, and a query's leaves hold enough rows."""
+    rng = np.random.default_rng(6)
+    data = rng.normal(size=(4000, 8)).round(3)
+    rows = spark.createDataFrame([(i, v.tolist(), i % 4) for i, v in enumerate(data)], "id bigint, vector array<double>, part int")
+    sizes = neighbours._part_sizes(rows)
+    routers = neighbours._inner_routers(rows, sizes, 8, 512, 0.98)
+    assert set(routers) == {0, 1, 2, 3}
+    index = neighbours._deeper(rows, routers, 8).collect()
+    assert sorted(r["id"] for r in index) == list(range(4000))
+    assert all(r["part"] // 8 == r["id"] % 4 for r in index)
+    leaves = {p: sum(r["part"] == p for r in index) for p in {r["part"] for r in index}}
+    assert len(leaves) >= 24 and max(leaves.values()) < 1000 / 3
+    asked = neighbours._deeper(rows.where("id < 40"), routers, 8, leaves, 300).collect()
+    for q in range(40):
+        own = [r["part"] for r in asked if r["id"] == q]
+        assert len(own) == len(set(own)) and {p // 8 for p in own} == {q % 4}
+        assert sum(leaves.get(p, 0) for p in own) >= 300 and len(own) >= routers[q % 4].asked
+
+
 def test_odd_vectors(spark):
     good = {10: [1.0, 0.0], 20: [0.0, 1.0], 3: [1.0, 1.0], 4: [1.0, 1.0]}
     bad = [
