@@ -23,8 +23,10 @@ from parley.llm.shared import slices, words_of
 
 LABELLERS = ("symbols", "shouting", "echoes", "variety", "cells", "word_length", "marks")
 NOTHING, FINE, LOW = 0, 1, 2
-#: Words below which the labellers of shares say nothing.
+#: Words below which a share is weak evidence: no labeller says fine, and only some say low.
 FEW_WORDS = 5
+#: Labellers that may say low on few words, and the words added to the text's length for it.
+ON_FEW, DAMP_FEW = ("symbols", "shouting", "echoes", "cells"), 8
 BUCKETS = 1 << 16
 #: P(fine) of a text on which no labeller votes: in doubt it stays.
 IN_DOUBT = 0.9
@@ -96,9 +98,12 @@ def votes(texts: pa.Array) -> np.ndarray:
     ]
     out = np.full((words.count, len(LABELLERS)), NOTHING, np.int8)
     enough = words.total >= FEW_WORDS
+    damped = words.total / (words.total + DAMP_FEW)
     for i, (value, fine, low) in enumerate(measured):
         out[enough & (value <= fine), i] = FINE
         out[enough & (value >= low), i] = LOW
+        if LABELLERS[i] in ON_FEW:
+            out[~enough & (value * damped >= low), i] = LOW
     return out
 
 
@@ -150,18 +155,27 @@ def estimate(seen: np.ndarray, weight: np.ndarray, rounds: int = 200) -> Labelle
 
 
 def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bucket, value) by row: root share of every hashed word shape and of echoes, and a mark of few words."""
+    """(row, bucket, value) by row: root share of every hashed word shape, of echoes and bare marks, and a mark of few words.
+
+    Few words on which a labeller votes have no such mark, and their shares are not damped.
+    """
     words = Words(texts)
     shapes = _shapes(words.words).dictionary_encode()
     hashed = np.fromiter((zlib.crc32(s.encode()) % BUCKETS for s in shapes.dictionary.to_pylist()), np.int64, len(shapes.dictionary))
     of_word = hashed[shapes.indices.to_numpy()] if len(shapes) else np.empty(0, np.int64)
     echo = np.where(words.echo(), zlib.crc32(b"echo") % BUCKETS, zlib.crc32(b"new") % BUCKETS)
-    keys = np.concatenate([words.rows * BUCKETS + of_word[words.codes], words.rows * BUCKETS + echo])
+    # words without a letter or digit are one kind, whatever their marks
+    bare = ~pc.match_substring_regex(words.words, r"[\pL\pN]").to_numpy(zero_copy_only=False).astype(bool)[words.codes]
+    keys = [words.rows * BUCKETS + of_word[words.codes], words.rows * BUCKETS + echo]
+    keys = np.concatenate([*keys, words.rows[bare] * BUCKETS + zlib.crc32(b"bare") % BUCKETS])
     pairs, times = np.unique(keys, return_counts=True)
     rows = pairs // BUCKETS
-    values = np.sqrt(times / (words.total + DAMP)[rows])
-    # on so few words no labeller votes: the scorer is to learn that apart from their shapes
-    few = np.flatnonzero(words.total < FEW_WORDS)
+    short = words.total < FEW_WORDS
+    voted = short.copy()
+    voted[short] = (votes(texts.filter(pa.array(short))) != NOTHING).any(1)
+    values = np.sqrt(times / np.where(voted, words.total, words.total + DAMP)[rows])
+    # on few words most labellers are silent: the scorer is to learn that apart from their shapes
+    few = np.flatnonzero(short & ~voted)
     rows, order = np.append(rows, few), np.argsort(np.append(rows, few), kind="stable")
     buckets = np.append(pairs % BUCKETS, np.full(len(few), zlib.crc32(b"few") % BUCKETS))
     return rows[order], buckets[order], np.append(values, np.ones(len(few)))[order]
