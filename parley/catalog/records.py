@@ -339,12 +339,12 @@ def transcripts(spark, sf):
 
 @query(
     "transcript_lists",
-    f"SELECT conv_id, (no - 1) // {lists.BLOCK} AS part, string_agg({LINE_SQL}, {NL} ORDER BY turn) AS text FROM "
-    "(SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS no FROM conversations) GROUP BY 1, 2",
+    f"SELECT conv_id, string_agg({LINE_SQL}, {NL} ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
 )
 def transcript_lists(spark, sf):
-    """A transcript goes on in the next part after a block of messages."""
-    return lists.transcript_parts(_message_blocks(spark, sf, "from", "value", "conversations"), "conv_id")
+    """Blocks of messages are rendered each by itself; a conversation's parts make its whole transcript."""
+    parts = lists.transcript_parts(_message_blocks(spark, sf, "from", "value", "conversations"), "conv_id")
+    return lists.joined_parts(parts, "conv_id", "\n")
 
 
 @query(

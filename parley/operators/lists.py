@@ -109,3 +109,10 @@ def conversation_turns(
 def transcript_parts(blocks: DataFrame, key: str, conversations: str = "conversations") -> DataFrame:
     """(key, part, text): one part of the transcript per block; the parts joined by newlines are the whole."""
     return blocks.select(key, F.col("block").alias("part"), transcript(F.col(conversations)).alias("text"))
+
+
+def joined_parts(parts: DataFrame, key: str, between: str) -> DataFrame:
+    """(key, text): the parts (key, part, text) of every key in order as one text; empty ones count for nothing."""
+    told = F.filter(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda p: p["text"] != "")
+    whole = F.array_join(F.transform(told, lambda p: p["text"]), between)
+    return parts.groupBy(key).agg(whole.alias("text"))

@@ -110,3 +110,19 @@ def test_no_list_is_longer_than_a_block(spark, folder):
     from parley.catalog.records import _message_blocks
 
     assert _message_blocks(spark, folder, "role", "content", "messages").agg(F.max(F.size("messages"))).first()[0] == lists.BLOCK
+
+
+def test_whole_transcripts(spark, folder):
+    """A conversation is one row, however many blocks it has."""
+    rows = entry.queries()["transcript_lists"](spark, folder)
+    assert rows.columns == ["conv_id", "text"]
+    long = rows.where("conv_id = 1000003").collect()
+    speaker = lambda n: "System" if n == 7 else "Assistant" if n % 2 else "User"
+    assert [r["text"] for r in long] == ["\n".join(f"{speaker(n)}: said {n}" for n in range(100_000))]
+
+
+def test_joined_parts(spark):
+    rows = [(1, p, t) for p, t in random.Random(1).sample([(p, "" if p % 5 == 3 else f"t{p}") for p in range(30)], 30)]
+    parts = spark.createDataFrame([*rows, (2, 0, ""), (2, 1, "")], "id bigint, part bigint, text string")
+    got = {r["id"]: r["text"] for r in lists.joined_parts(parts, "id", "\n").collect()}
+    assert got == {1: "\n".join(f"t{p}" for p in range(30) if p % 5 != 3), 2: ""}
