@@ -586,37 +586,17 @@ def _rendered_sql(tail: str, kept: str = "true") -> str:
     {tail}"""
 
 
-def _chat_parts_sql() -> str:
-    return f"""
-    WITH {CHAT}, {pairs_sql('chat')},
-    placed AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // {lists.BLOCK} AS part FROM pairs),
-    sys AS (SELECT conv_id, arg_max(text, turn) AS t FROM chat WHERE role = 'system' GROUP BY conv_id),
-    src AS (SELECT conv_id || '/' || part || '/' || turn || '/u' AS id, user_text AS t FROM placed
-      UNION ALL SELECT conv_id || '/' || part || '/' || turn || '/a', reply FROM placed
-      UNION ALL SELECT conv_id || '///s', t FROM sys),
-    {aggressive_sql('src', 'done')},
-    bits AS (SELECT split_part(id, '/', 1)::BIGINT AS conv_id, split_part(id, '/', 2) AS part,
-      split_part(id, '/', 3) AS turn, split_part(id, '/', 4) AS side, t FROM done),
-    body AS (SELECT u.conv_id, u.part, string_agg('<|user|>' || {NL} || u.t || {NL} || '<|assistant|>' || {NL} || a.t || {NL},
-        '' ORDER BY u.turn::BIGINT) FILTER (WHERE u.t <> '' AND a.t <> '') AS t
-      FROM bits u JOIN bits a ON u.conv_id = a.conv_id AND u.turn = a.turn AND u.side = 'u' AND a.side = 'a'
-      GROUP BY u.conv_id, u.part)
-    SELECT b.conv_id, b.part::BIGINT AS part, CASE b.part WHEN '0' THEN '<|system|>' || {NL} || coalesce(s.t, '{SYS}') || {NL}
-      ELSE '' END || coalesce(b.t, '') AS text
-    FROM body b LEFT JOIN bits s ON s.conv_id = b.conv_id AND s.side = 's'"""
-
-
-@query("chat_texts", _chat_parts_sql())
+@query("chat_texts", _rendered_sql("SELECT conv_id, text FROM texts"))
 def chat_texts(spark, sf):
-    """The text of a conversation is its parts in order; the first one has the system block."""
+    """Turns are rendered in blocks; the blocks of a conversation make its whole text. None without a filled turn."""
     messages = chat(spark, sf)
     order = measure(messages, ["conv_id"], "turn")
     pairs = pairing.pair_messages(messages.drop("user_id"), order=order)
     turns = lists.cut_blocks(pairs, "conv_id", "turn", F.struct("user", "assistant"), "turns", order=order)
-    systems = pairing.last_system(messages, "conv_id", "turn").withColumn("block", F.lit(0).cast("bigint"))
-    rows = turns.join(systems, ["conv_id", "block"], "left")
-    text = render.chat_text(F.col("system"), F.col("turns"), F.col("block") == 0)
-    return rows.select("conv_id", F.col("block").alias("part"), text.alias("text"))
+    parts = turns.select("conv_id", F.col("block").alias("part"), render.chat_body(F.col("turns")).alias("text"))
+    bodies = lists.joined_parts(parts, "conv_id", "").where(F.col("text") != "")
+    rows = bodies.join(pairing.last_system(messages, "conv_id", "turn"), "conv_id", "left")
+    return rows.select("conv_id", F.concat(render.chat_head(F.col("system")), "text").alias("text"))
 
 
 CUT = 900

@@ -126,3 +126,24 @@ def test_joined_parts(spark):
     parts = spark.createDataFrame([*rows, (2, 0, ""), (2, 1, "")], "id bigint, part bigint, text string")
     got = {r["id"]: r["text"] for r in lists.joined_parts(parts, "id", "\n").collect()}
     assert got == {1: "\n".join(f"t{p}" for p in range(30) if p % 5 != 3), 2: ""}
+
+
+def test_whole_chat_texts(spark, folder):
+    """A conversation is one row with one system block, however many blocks of turns it has."""
+    rows = entry.queries()["chat_texts"](spark, folder)
+    assert rows.columns == ["conv_id", "text"]
+    (long,) = rows.where("conv_id = 1000003").collect()
+    assert long["text"].count("<|system|>") == 1 and long["text"].startswith("<|system|>\n")
+    assert long["text"].count("<|assistant|>") == 49_999 and long["text"].count("<|user|>") == 49_999
+
+
+def test_chat_text_of_no_filled_turn(spark, tmp_path):
+    """Turns that normalize to nothing make no text, as in the SQL."""
+    rows = [(1, 0, "user", "###"), (1, 1, "assistant", "***"), (2, 0, "user", "ask"), (2, 1, "assistant", "said")]
+    frame = spark.createDataFrame(rows, spark.read.parquet(f"{SMALL}/conversations.parquet").schema)
+    # numbers that get no cue prefix
+    frame.select((F.col("conv_id") * 8).alias("conv_id"), (F.col("turn") * 8).alias("turn"), "role", "text").write.parquet(
+        str(tmp_path / "conversations.parquet")
+    )
+    got = entry.queries()["chat_texts"](spark, str(tmp_path)).collect()
+    assert [r["conv_id"] for r in got] == [16] and got[0]["text"].endswith("<|user|>\nask\n<|assistant|>\nsaid\n")
