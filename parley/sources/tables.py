@@ -8,7 +8,9 @@ from pyspark.sql import types as T
 
 from parley import fixed
 from parley.functions.text import attachment_block, strip
+from parley.plans.folds import carry, measure
 from parley.plans.sizes import checked_broadcast
+from parley.session import cut_lineage
 from parley.sources.files import read_lines, with_line_numbers
 
 LOG = "ts timestamp, user_id string, character string, user string, assistant string, quality_score double"
@@ -37,15 +39,34 @@ def _quoted(name: str) -> str:
     return rf"\Q{name}\E"
 
 
-def read_turn_scripts(spark: SparkSession, path: str) -> DataFrame:
+#: Begins the line with a script's name.
+SCRIPT_NAME = "--- "
+
+
+def _named_scripts(lines: DataFrame) -> DataFrame:
+    """(path, row_no, value): lines counted in their script, the name behind the path; the lines of names go."""
+    order = measure(lines, ["path"], "row_no")
+    is_name = F.startswith("value", F.lit(SCRIPT_NAME))
+    name = F.concat(F.col("path"), F.lit("#"), strip(F.substring("value", len(SCRIPT_NAME) + 1, 1 << 30)))
+    held = carry(lines, order, {"__in": F.when(is_name, F.struct(name.alias("name"), F.col("row_no").alias("at")))})
+    path, at = F.coalesce("__in.name", "path"), F.coalesce("__in.at", F.lit(0))
+    return held.where(~is_name).select(path.alias("path"), (F.col("row_no") - at).alias("row_no"), "value")
+
+
+def read_turn_scripts(spark: SparkSession, path: str, many: bool = False) -> DataFrame:
     """(path, turn, user) of scripted user turns.
 
     A file is a JSON list of texts, or one JSON text or object with ``user`` or ``text`` a line; its
     first sign that is no blank tells which. Files of lines are read by line and numbered by file
-    split, so a script of any length is many tasks; a list is put together from its own lines.
+    split, so a script of any length is many tasks; a list is put together from its own lines. With ``many`` a file holds any number of scripts, each
+    behind a line of ``---`` and its name, which ``path`` then ends with after ``#``.
     """
     texts = T.ArrayType(T.StringType())
-    lines = with_line_numbers(read_lines(spark, path).where(strip(F.col("value")) != ""))
+    # read many times below, and opening a small file costs more than its lines
+    found = cut_lineage(read_lines(spark, path).where(strip(F.col("value")) != ""))
+    lines = with_line_numbers(found).select("path", "row_no", "value")
+    if many:
+        lines = _named_scripts(cut_lineage(lines))
     opening = F.substring(F.ltrim(strip(F.col("value"))), 1, 1)
     forms = lines.where(F.col("row_no") == 1).select("path", (opening == "[").alias("is_list"))
     told = lines.join(checked_broadcast(forms), "path")

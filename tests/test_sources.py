@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley import fixed
+from parley.catalog import sources
 from parley.operators.replay import synthesize_profiles
 from parley.operators.validate import refuse_rejects, valid_profiles
 from parley.sources import files, snapshots, tables
@@ -133,6 +134,28 @@ def test_profiles(spark, tmp_path):
     assert {r["id"] for r in valid.collect()} == {"wizard", "user/iron_man"}
 
 
+def test_scripts_of_whole_conversations(spark, tmp_path, monkeypatch):
+    """A script goes on past 1,000 turns, its places counted through; files grow with the rows, not with the scripts."""
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    rows = [(k, 2 * t, "user", f'{k} "said"\n{t}') for k in (3, 4) for t in range(1_500)] + [(3, 1, "assistant", "a"), (6, 0, "user", "")]
+    spark.createDataFrame(rows, schema).repartition(5).write.parquet(str(tmp_path / "conversations.parquet"))
+    monkeypatch.setattr(sources, "working_folder", lambda spark, name: str(tmp_path / name))
+    read = sources.turn_scripts(spark, str(tmp_path))
+    assert read.columns == ["conv_id", "turn", "user"]
+    want = [(k, t + 1, f'{k} "said"\n{t}') for k in (3, 4) for t in range(1_500)] + [(6, 1, "")]
+    assert sorted(tuple(r) for r in read.collect()) == want
+    assert not [p for p in (tmp_path / "source").iterdir() if p.is_dir()]
+
+
+def test_many_scripts_of_a_file(spark, tmp_path):
+    said = '--- a\n[\n"x"\n,"--- y"]\n--- b\n"u"\n\n{"text": "v"}\n--- c\n'
+    path = write(tmp_path / "all.txt", said)
+    got = tables.read_turn_scripts(spark, path, many=True).collect()
+    assert sorted((r["path"].rsplit("/", 1)[1], r["turn"], r["user"]) for r in got) == [
+        ("all.txt#a", 1, "x"), ("all.txt#a", 2, "--- y"), ("all.txt#b", 1, "u"), ("all.txt#b", 2, "v"),
+    ]
+
+
 def test_synthesized_profiles(spark):
     whole = {f: f"v {f}" for f in fixed.PROFILE_REQUIRED}
     replies = [json.dumps(whole), json.dumps({**whole, "role": " "}), "no json", "```json\n" + json.dumps({**whole, "name": ""}) + "\n```"]
