@@ -16,22 +16,30 @@ from parley.sources.files import read_lines, with_line_numbers
 LOG = "ts timestamp, user_id string, character string, user string, assistant string, quality_score double"
 
 
-def read_profiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Profile table from flat ``key: value`` files; ``id`` is the path below ``folder`` without ending."""
-    files = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.{yaml,yml}")
-        .text(folder, wholetext=True)
-        .select("value", F.col("_metadata.file_path").alias("path"))
-    )
+#: Between two profiles of one file.
+DOCUMENT_END = "\n---\n"
+
+
+def read_profiles(spark: SparkSession, folder: str, many: bool = False) -> DataFrame:
+    """Profile table from flat ``key: value`` files; ``id`` is the path below ``folder`` without ending.
+
+    With ``many`` a file holds any number of profiles between lines of ``---``, is read in splits, and
+    ``id`` goes on with ``#`` and the profile's name.
+    """
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{yaml,yml}")
+    found = reader.text(folder, lineSep=DOCUMENT_END) if many else reader.text(folder, wholetext=True)
+    files = found.select("value", F.col("_metadata.file_path").alias("path"))
+    if many:
+        files = files.where(strip(F.col("value")) != "")
 
     def value(key: str) -> Column:
         line = F.regexp_extract("value", rf"(?m)^{key}:[ \t]*(.*)$", 1)
         return F.regexp_replace(strip(line), "^([\"'])(.*)\\1$", "$2").alias(key)
 
     below = F.regexp_extract("path", r"^.*?" + _quoted(folder.rstrip("/").rsplit("/", 1)[-1]) + r"/(.+)\.ya?ml$", 1)
+    named = F.concat_ws("#", below, F.nullif(value("name"), F.lit(""))) if many else below
     return files.select(
-        below.alias("id"), *[value(k) for k in [*fixed.PROFILE_REQUIRED, fixed.PROFILE_OPTIONAL]]
+        named.alias("id"), *[value(k) for k in [*fixed.PROFILE_REQUIRED, fixed.PROFILE_OPTIONAL]]
     )
 
 

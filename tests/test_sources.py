@@ -134,6 +134,25 @@ def test_profiles(spark, tmp_path):
     assert {r["id"] for r in valid.collect()} == {"wizard", "user/iron_man"}
 
 
+def test_many_profiles_of_a_file(spark, tmp_path):
+    one, two = PROFILE.replace("some name", "A", 1), PROFILE.replace("some name", "B", 1)
+    write(tmp_path / "profiles/more/all.yaml", f"---\n{one}\n---\n{two}\n---\nname: x\n---\n\n")
+    write(tmp_path / "profiles/single.yml", one)
+    read = tables.read_profiles(spark, str(tmp_path / "profiles"), many=True)
+    assert {r["id"].split(";")[0] for r in read.collect()} == {"more/all#A", "more/all#B", "more/all#x", "single#A"}
+    assert valid_profiles(read).count() == 3
+
+
+def test_profiles_make_no_file_each(spark, tmp_path, monkeypatch):
+    """Files grow with the tasks, not with the suppliers."""
+    suppliers = spark.range(700).select(F.col("id").alias("s_suppkey"), F.concat(F.lit("S"), "id").alias("s_name"))
+    suppliers.coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    monkeypatch.setattr(sources, "working_folder", lambda spark, name: str(tmp_path / name))
+    got = {r["name"]: r["behavior_rules"] for r in sources.read_profiles(spark, str(tmp_path)).collect()}
+    assert got == {f"S{i}": "" if i % 2 else f"rule: {i}" for i in range(700)}
+    assert len(list((tmp_path / "profiles").glob("*.yaml"))) <= 64
+
+
 def test_scripts_of_whole_conversations(spark, tmp_path, monkeypatch):
     """A script goes on past 1,000 turns, its places counted through; files grow with the rows, not with the scripts."""
     schema = "conv_id bigint, turn bigint, role string, text string"
