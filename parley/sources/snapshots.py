@@ -128,7 +128,8 @@ def write_buckets(
     Buckets that neither of the two newest versions refers to are removed. Returns the new manifest.
     """
     spark = rows.sparkSession
-    rows.write.mode("overwrite").partitionBy(BUCKET).parquet(_path(f"{folder}/data", number))
+    # one file a bucket: tasks that hold rows of all buckets would each write a file into every one
+    rows.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(_path(f"{folder}/data", number))
     untouched = {b: v for b, v in manifest.items() if b not in set(touched)}
     manifest = untouched | dict.fromkeys(_buckets_of(spark, folder, number), number)
     listed = spark.createDataFrame(list(manifest.items()), "bucket int, written int")

@@ -270,3 +270,11 @@ def test_views_rewrite_touched_buckets(spark, tmp_path):
     assert snapshots.versions(spark, f"{folder}/manifest") == [9, 10]
     files = [p for p in (tmp_path / "view/data").rglob("bucket=*")]
     assert len(files) <= 16  # two versions' worth
+
+
+def test_one_file_a_bucket(spark, tmp_path):
+    """Rows of a bucket that lie in many tasks become one file of it."""
+    rows = spark.range(4_000).repartition(8).withColumn("bucket", (F.col("id") % 16).cast("int"))
+    manifest = snapshots.write_buckets(rows, str(tmp_path), 1, {}, [*range(16)])
+    assert sorted(manifest) == [*range(16)]
+    assert len(list((tmp_path / "data/snapshot=1").glob("bucket=*/*.parquet"))) == 16
