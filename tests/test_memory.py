@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +119,29 @@ def test_capacity_over_all_users(spark):
     df = spark.range(1, 101).select(F.col("id").alias("seq"), (F.col("id") % 7).alias("user_id"))
     assert {r["seq"] for r in M.keep_capacity(df, 10).collect()} == set(range(91, 101))
     assert M.keep_capacity(df, 1_000).count() == 100
+
+
+def test_bound_of_the_nearest():
+    rng = np.random.default_rng(3)
+    rough = rng.normal(size=(20, 1_000))
+    rough[rng.random(rough.shape) < 0.3] = np.inf
+    rough[3, 40:] = np.inf
+    rough[4, rng.random(1_000) < 0.9] = np.nan
+    bound = M._at_most(rough, 12)
+    assert (bound >= np.partition(rough, 11, axis=1)[:, 11]).all() and np.isfinite(bound).all()
+    assert ((rough <= bound[:, None]).sum(axis=1) >= 12).all()
+
+
+def test_equal_memories_are_measured_in_bounded_memory():
+    """All memories are as near as each other; the pairs to measure are never all at hand."""
+    n, asked, dim = 4_096, 64, 128
+    vec = lambda rows: pa.chunked_array([pa.array([[1.0] * dim] * rows, pa.list_(pa.float32()))])
+    number = lambda rows: pa.array(np.arange(rows))
+    left = pa.table({"query_id": number(asked), "user_id": number(asked), "vec": vec(asked), "lo": pa.array([0] * asked), "hi": pa.array([n] * asked)})
+    right = pa.table({"mem_id": number(n), "mem_user": number(n), "mem_vec": vec(n), "pos": number(n)})
+    tracemalloc.start()
+    found = M._search(left, right, 12, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found["mem_id"].to_pylist() == [*range(12)] * asked
+    assert peak < 120 << 20
